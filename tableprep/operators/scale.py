@@ -14,8 +14,8 @@ from tableprep.functions.columns import Roles, filled, replace_columns
 from tableprep.functions.quantiles import exact_quantiles, quantile_grid
 
 LAMBDA_RANGE = (-4.0, 4.0)
-LAMBDA_POINTS = 11
-LAMBDA_PASSES = 7
+LAMBDA_POINTS = 17
+LAMBDA_PASSES = 5
 NEAR_EQUAL = 1e-8  # fixed value: closer bin edges are merged
 
 
@@ -90,10 +90,11 @@ def quantile_transformer(df: DataFrame, roles: Roles = Roles(), points: int = 1_
     return replace_columns(df, {c: place(grids[c])(x[c]) for c in x})
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
+def yeo_johnson(x: Column, lam: Column) -> Column:
     """Power transform that also takes zero and negative values."""
-    positive = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1.0, F.lit(lam)) - 1.0) / lam
-    negative = -F.log1p(-x) if abs(lam - 2.0) < 1e-12 else -(F.pow(1.0 - x, F.lit(2.0 - lam)) - 1.0) / (2.0 - lam)
+    positive = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    rest = 2.0 - lam
+    negative = F.when(F.abs(rest) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, rest) - 1.0) / rest)
     return F.when(x >= 0, positive).otherwise(negative)
 
 
@@ -101,38 +102,42 @@ def fit_power(df: DataFrame, x: dict[str, Column]) -> dict[str, tuple[float, flo
     """Per column the lambda of highest likelihood, then mean and population deviation of the transformed values.
 
     Every pass scores a few lambdas of all columns in one aggregation and narrows to the neighbours of the best one.
+    Lambdas are data, not code, so that all passes run the same compiled stage.
     """
-    step = (LAMBDA_RANGE[1] - LAMBDA_RANGE[0]) / (LAMBDA_POINTS - 1)
-    low = {c: LAMBDA_RANGE[0] for c in x}
-    best = {}
-    logs = df.agg(F.count("*"), *[F.sum(F.signum(v) * F.log1p(F.abs(v))).alias(f"c{i}")
-                                  for i, v in enumerate(x.values())]).first()
-    n, slopes = logs[0], dict(zip(x, logs[1:]))
-    if not n:
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), v.alias("x"))
+                                          for i, v in enumerate(x.values())])).alias("s")).select("s.*")
+    slopes = {r["c"]: (r["n"], r["s"]) for r in cells.groupBy("c").agg(
+        F.count("*").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s")).collect()}
+    if not slopes:
         return {}
+
+    def moments(lams: list[list[float]]) -> list:
+        tried = cells.withColumn("lam", F.explode(F.get(F.lit(np.array(lams)), F.col("c"))))
+        y = yeo_johnson(F.col("x"), F.col("lam"))
+        return tried.groupBy("c", "lam").agg(F.avg(y).alias("mean"), F.var_pop(y).alias("var")).collect()
+
+    step = (LAMBDA_RANGE[1] - LAMBDA_RANGE[0]) / (LAMBDA_POINTS - 1)
+    low = [LAMBDA_RANGE[0]] * len(x)
+    best: dict[int, tuple] = {}
     for _ in range(LAMBDA_PASSES):
-        tried = {c: [low[c] + step * i for i in range(LAMBDA_POINTS)] for c in x}
-        row = df.agg(*[F.array(*[F.var_pop(yeo_johnson(x[c], lam)) for lam in tried[c]]).alias(f"c{i}")
-                       for i, c in enumerate(x)]).first()
-        for c, spreads in zip(x, row):
-            scores = [-np.inf if not v or not np.isfinite(v) else -n / 2 * np.log(v) + (lam - 1) * slopes[c]
-                      for v, lam in zip(spreads, tried[c])]
-            if np.isfinite(max(scores)):
-                best[c] = tried[c][int(np.argmax(scores))]
-                low[c] = best[c] - step
+        scored: dict[int, list] = {}
+        for r in moments([[start + step * i for i in range(LAMBDA_POINTS)] for start in low]):
+            n, slope = slopes[r["c"]]
+            if r["var"] and np.isfinite(r["var"]):
+                score = -n / 2 * np.log(r["var"]) + (r["lam"] - 1) * slope
+                scored.setdefault(r["c"], []).append((score, r["lam"], r["mean"], float(np.sqrt(r["var"]))))
+        for c, found in scored.items():
+            best[c] = max(found)[1:]
+            low[c] = best[c][0] - step
         step = 2 * step / (LAMBDA_POINTS - 1)
-    if not best:
-        return {}
-    stats = df.agg(*[F.struct(F.avg(y), F.stddev_pop(y)).alias(f"c{i}")
-                     for i, y in enumerate(yeo_johnson(x[c], best[c]) for c in best)]).first()
-    return {c: (best[c], *s) for c, s in zip(best, stats)}
+    return {c: best[i] for i, c in enumerate(x) if i in best}
 
 
 def power_transformer(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Yeo-Johnson transform, then standardised. A column without a usable fit (a constant) stays as it is."""
     x = _inputs(df, roles)
     fitted = fit_power(roles.train(df), x)
-    return replace_columns(df, {c: (yeo_johnson(x[c], lam) - F.lit(mean)) / F.lit(std or 1.0)
+    return replace_columns(df, {c: (yeo_johnson(x[c], F.lit(float(lam))) - F.lit(mean)) / F.lit(std or 1.0)
                                 if c in fitted else x[c] for c in x for lam, mean, std in [fitted.get(c, (1, 0, 1))]})
 
 

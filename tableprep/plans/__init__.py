@@ -1,3 +1,3 @@
 """Registered queries: every operator on the given tables."""
 
-from tableprep.plans import transforms  # noqa: F401
+from tableprep.plans import guarding, sources, transforms  # noqa: F401
