@@ -211,7 +211,7 @@ def parse_chain(text: Column) -> Column:
     body = F.when(fenced != "", fenced).otherwise(F.trim(text))
     doc = F.try_parse_json(body)
     wanted = [F.try_variant_get(doc, f"$.{key}", "array<string>") for key in ("suggested_pipeline", "pipe")]
-    items = F.transform(F.coalesce(*wanted), F.trim)
+    items = F.transform(F.coalesce(*wanted), lambda x: F.trim(x))
     digits = F.forall(items, lambda x: x.rlike(r"^\d+$"))
     named = F.when(digits, F.transform(items, lambda x: x.try_cast("int"))).otherwise(F.transform(items, find_operator))
     plain = F.regexp_extract(text, r"\[(\d+(?:,\s*\d+)*)\]", 1)

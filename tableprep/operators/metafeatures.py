@@ -23,7 +23,7 @@ FEATURES = [
 
 def _mean(values) -> float:
     known = [v for v in values if v is not None and not math.isnan(v)]
-    return sum(known) / len(known) if known else 0.0
+    return float(sum(known)) / len(known) if known else 0.0
 
 
 def missing_rates(df: DataFrame) -> dict[str, float | bool]:

@@ -112,7 +112,7 @@ def fit_power(df: DataFrame, x: dict[str, Column]) -> dict[str, tuple[float, flo
         return {}
 
     def moments(lams: list[list[float]]) -> list:
-        tried = cells.withColumn("lam", F.explode(F.get(F.lit(np.array(lams)), F.col("c"))))
+        tried = cells.withColumn("lam", F.explode(F.get(F.array(*[F.lit(row) for row in lams]), F.col("c"))))
         y = yeo_johnson(F.col("x"), F.col("lam"))
         return tried.groupBy("c", "lam").agg(F.avg(y).alias("mean"), F.var_pop(y).alias("var")).collect()
 

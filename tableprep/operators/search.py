@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -81,7 +81,7 @@ def search_dedup(table: DataFrame, query: Sequence[float], k: int = 5, vector: s
     return first_per_id(search_vector(table, query, k * DEDUP_FACTOR, vector, key, where), k, key)
 
 
-def text_index(table: DataFrame, text: str, size: int = 1 << 12):
+def text_index(table: DataFrame, text: str, size: int = 1 << 10):
     """(function from a frame to the same frame with an `embedding` column) fitted on the texts of `table`.
 
     Hashed TF-IDF weights scaled to length 1 stand in for a hosted embedding model.
@@ -89,14 +89,11 @@ def text_index(table: DataFrame, text: str, size: int = 1 << 12):
     tokens = Tokenizer(inputCol=text, outputCol="_words")
     counts = HashingTF(numFeatures=size, inputCol="_words", outputCol="_tf")
     weights = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.transform(tokens.transform(table)))
+    scaled = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_unit")
 
     def embed(df: DataFrame) -> DataFrame:
-        rows = weights.transform(counts.transform(tokens.transform(df)))
-        raw = vector_to_array("_tfidf")
-        length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda t, v: t + v * v))
-        rows = rows.withColumn("_raw", raw).withColumn("_length", F.when(length > 0, length).otherwise(1.0))
-        return (rows.withColumn("embedding", F.transform("_raw", lambda v: v / F.col("_length")))
-                .drop("_words", "_tf", "_tfidf", "_raw", "_length"))
+        rows = scaled.transform(weights.transform(counts.transform(tokens.transform(df))))
+        return rows.withColumn("embedding", vector_to_array("_unit")).drop("_words", "_tf", "_tfidf", "_unit")
 
     return embed
 

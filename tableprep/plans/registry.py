@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -36,3 +37,9 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="tableprep-scratch-")
     return f"{root}/scratch-{uuid.uuid4().hex}"
+
+
+def half_up(value: float, places: int = 6) -> float:
+    """Rounds ties away from zero, as SQL does."""
+    scaled = abs(value) * 10 ** places
+    return math.copysign(math.floor(scaled + 0.5) / 10 ** places, value) + 0.0
