@@ -39,6 +39,7 @@ def dense_codes(distinct: DataFrame, order: Sequence[str], name: str = "code") -
     A short table is numbered in one task. A long one is range-partitioned; its partitions are numbered on their own
     and shifted by the sizes of the earlier ones.
     """
+    distinct = cut_lineage(distinct)  # found once, then counted, numbered and joined
     if is_small(distinct):
         return distinct.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     parts = cut_lineage(distinct.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

@@ -8,19 +8,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+MAX_BLOCKS = 4_096
 
 
 def time_block(df: DataFrame, ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block number of a timestamp, sized from the table's row count and time span."""
+    """Block number of a timestamp. Edges come from a bounded sketch of the column, so a burst is cut finely."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    low, high, n = df.agg(F.min(micros), F.max(micros), F.count(ts)).first()
-    if not n:
+    blocks = min(-(-df.select(F.count(ts)).first()[0] // rows_per_block), MAX_BLOCKS)
+    if blocks <= 1:
         return F.lit(0).cast("long")
-    width = max((high - low) // max(-(-n // rows_per_block), 1) + 1, 1)
-    return F.expr(f"(unix_micros(cast(`{ts}` as timestamp)) - ({low}L)) div {width}L")
+    cuts = df.select(F.percentile_approx(micros, [i / blocks for i in range(1, blocks)], 2 * MAX_BLOCKS)).first()[0]
+    edges = np.unique(np.array(cuts, dtype="int64"))
+
+    @F.pandas_udf("long")
+    def block(values: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, values.to_numpy(dtype="int64"), side="right"))
+
+    return block(micros)
 
 
 def _edges(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:

@@ -29,7 +29,13 @@ def _expressions(df: DataFrame, columns) -> dict[str, Column]:
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
                     probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Quantiles of each column over its non-missing values; all-missing columns give None.
+    """Quantiles of each column over its non-missing values; all-missing columns give None."""
+    return {c: values for c, (_, values) in counted_quantiles(df, columns, probs).items()}
+
+
+def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
+                      probs: Sequence[float]) -> dict[str, tuple[int, list[float | None]]]:
+    """As `exact_quantiles`, with the number of non-missing values of each column.
 
     Scan 1 takes count, minimum and maximum of every column. Each later scan counts the values of every open interval in
     equal-width buckets, with the smallest and largest value of each bucket. Counts are exact, so the bucket that holds
@@ -60,7 +66,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]
         low, high = found[c, math.floor(h)], found[c, math.ceil(h)]
         return low + (high - low) * (h - math.floor(h))
 
-    return {c: [value(c, p) for p in probs] for c in names}
+    return {c: (ends[c][0], [value(c, p) for p in probs]) for c in names}
 
 
 @dataclass

@@ -77,9 +77,9 @@ class ChainRunner:
         frame = self.operators[key[-1]](self.prepared(key[:-1]), self.roles).persist()
         with self._lock:
             frame = self._frames.setdefault(key, frame)
-            # never the start that was just built on
-            while len(self._frames) > self.keep + len(key):
-                self._frames.popitem(last=False)[1].unpersist()
+            old = [k for k in self._frames if k != key[:len(k)]][:max(len(self._frames) - self.keep, 0)]
+            for k in old:  # the starts of this chain stay
+                self._frames.pop(k).unpersist()
         return frame
 
     def predict(self, ops: Sequence[int]) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.functions.columns import Roles, categorical_columns, col
+from tableprep.functions.columns import Roles, col
 from tableprep.functions.counts import SMALL_TABLE, dense_codes, is_small, value_counts
+from tableprep.session import cut_lineage
 
 MISSING = "MISSING"   # fixed value: category of a missing cell
 UNKNOWN = "Unknown"   # fixed value: class of a category not seen in training
@@ -28,7 +29,7 @@ def _text(name: str):
 
 def _categories(df: DataFrame, roles: Roles, names: list[str]) -> DataFrame:
     """Distinct (column, value) of the train rows, one shuffle for all columns."""
-    return value_counts(roles.train(df), {c: _text(c) for c in names}).drop("n")
+    return cut_lineage(value_counts(roles.train(df), {c: _text(c) for c in names}).drop("n"))
 
 
 def one_hot_encoder(df: DataFrame, roles: Roles = Roles(), max_columns: int = MAX_ONE_HOT) -> DataFrame:

@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import col
 from tableprep.functions.counts import modes
-from tableprep.functions.ordered import previous_in_order, time_block
+from tableprep.functions.ordered import ROWS_PER_BLOCK, previous_in_order, time_block
 from tableprep.functions.quantiles import exact_quantiles
 
 Z_FACTOR, Z_LIMIT = 0.6745, 3.5  # fixed values of the modified z-score
 
 
-def inter_arrival(df: DataFrame, key: str, ts: str, rows_per_block: int | None = None) -> DataFrame:
-    """(key, iat): seconds since the previous event of the same key; only times above 0 are kept."""
-    rows = df.select(col(key).alias(key), col(ts).alias(ts))
-    block = time_block(rows, ts, rows_per_block) if rows_per_block else time_block(rows, ts)
+def inter_arrival(df: DataFrame, key: str, ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """(key, iat): seconds since the previous event of the same key; only times above 0 are kept.
+
+    Events of a key at the same instant have no time between them, so repeats are merged before anything is sorted.
+    """
+    rows = df.select(col(key).alias(key), col(ts).alias(ts)).dropna().distinct()
+    block = time_block(df.select(col(ts).alias(ts)).dropna(), ts, rows_per_block)
     rows = previous_in_order(rows, [key], ts, block, "_previous")
     seconds = (F.unix_micros(col(ts).cast("timestamp")) - F.unix_micros(F.col("_previous").cast("timestamp"))) / 1e6
     return rows.select(key, seconds.alias("iat")).filter("iat > 0")

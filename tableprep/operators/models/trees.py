@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,11 +81,25 @@ def _vote(task: Task, votes: list[tuple[Column, float]]) -> DataFrame:
     return task.by_score(scores)
 
 
+def _class_sizes(rows: DataFrame) -> dict[float, int]:
+    return {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
+
+
+def _undersample(task: Task, rows: DataFrame, sizes: dict[float, int], seed: int) -> DataFrame:
+    """About as many rows of every class as the rarest one has.
+
+    A hash of the row decides, so the sample does not change when a partition is computed again.
+    """
+    least = min(sizes.values())
+    share = F.lit(0.0)
+    for c, n in sizes.items():
+        share = F.when(F.col(TARGET) == c, least / n).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64(*task.x, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 < share)
+
+
 def balanced(task: Task, seed: int) -> DataFrame:
     """Train rows with every class sampled down to the size of the rarest one."""
-    sizes = {r[TARGET]: r["count"] for r in task.train.groupBy(TARGET).count().collect()}
-    least = min(sizes.values())
-    return task.train.sampleBy(TARGET, {c: least / n for c, n in sizes.items()}, seed)
+    return _undersample(task, task.train, _class_sizes(task.train), seed)
 
 
 def boost(task: Task, rounds: int, seed: int, rows: DataFrame | None = None,
@@ -97,6 +112,7 @@ def boost(task: Task, rounds: int, seed: int, rows: DataFrame | None = None,
     k = len(task.classes)
     base = task.vectors(task.train if rows is None else rows).select(*task.x, FEATURES, TARGET).persist()
     votes: list[tuple[Column, float]] = []
+    sizes: dict[float, int] = {}
     try:
         for i in range(rounds):
             weight = F.lit(0.0)
@@ -105,9 +121,8 @@ def boost(task: Task, rounds: int, seed: int, rows: DataFrame | None = None,
             weighted = base.withColumn("_w", F.exp(weight))
             sample = weighted
             if undersample:
-                sizes = {r[TARGET]: r["count"] for r in base.groupBy(TARGET).count().collect()}
-                least = min(sizes.values())
-                sample = weighted.sampleBy(TARGET, {c: least / n for c, n in sizes.items()}, seed + i)
+                sizes = sizes or _class_sizes(base)
+                sample = _undersample(task, weighted, sizes, seed + i)
             stump = _seeded(DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed + i)).fit(sample)
             prediction = tree_expression(stump, task.x)
             wrong, total = weighted.agg(F.sum(F.when(prediction != F.col(TARGET), F.col("_w")).otherwise(0.0)),
@@ -151,25 +166,24 @@ def easy_ensemble(df: DataFrame, roles: Roles = Roles(), subsets: int = 10, roun
     return _vote(task, members)
 
 
-def _vote_models(task: Task, models: list) -> DataFrame:
-    """Mean class probabilities of several models."""
-    rows = task.vectors(task.test).drop(TARGET)
+def _vote_models(task: Task, rows: DataFrame, models: list) -> DataFrame:
+    """Mean class probabilities of several models; each reads its own features column or the shared one."""
     for i, model in enumerate(models):
         model.setProbabilityCol(f"_p{i}").setPredictionCol(f"_q{i}").setRawPredictionCol(f"_r{i}")
         rows = model.transform(rows).withColumn(f"_p{i}", vector_to_array(f"_p{i}")).drop(f"_q{i}", f"_r{i}")
-    k = len(task.classes)
     scores = [sum((F.coalesce(F.get(F.col(f"_p{i}"), F.lit(c)), F.lit(0.0)) for i in range(len(models))), F.lit(0.0))
-              for c in range(k)]
+              for c in range(len(task.classes))]
     return task.predicted(rows, task.class_of(argmax(scores)))
 
 
 def balanced_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0):
     """Every tree is grown on its own class-balanced sample."""
     task = classification(df, roles)
+    sizes = _class_sizes(task.train)
     models = [_seeded(RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False,
-                                             featureSubsetStrategy="sqrt")).fit(task.vectors(balanced(task, seed + i)))
-              for i in range(trees)]
-    return _vote_models(task, models)
+                                             featureSubsetStrategy="sqrt"))
+              .fit(task.vectors(_undersample(task, task.train, sizes, seed + i))) for i in range(trees)]
+    return _vote_models(task, task.vectors(task.test).drop(TARGET), models)
 
 
 def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0,
@@ -182,33 +196,21 @@ def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth:
     task = classification(df, roles)
     ends = task.train.agg(F.array(*[F.min(x) for x in task.x]), F.array(*[F.max(x) for x in task.x])).first()
     rng = np.random.default_rng(seed)
-    models, binned = [], []
-    for i in range(trees):
-        exprs = []
-        for x, low, high in zip(task.x, *ends):
-            points = sorted(float(v) for v in rng.uniform(low, high, cuts))
-            exprs.append(_interval(x, points))
-        binned.append(exprs)
-
-    def vectors(rows: DataFrame, i: int) -> DataFrame:
-        staged = rows.select(*[F.col(c) for c in rows.columns if c not in task.names],
-                             *[e.alias(c) for e, c in zip(binned[i], task.names)])
-        return task.vectors(staged)
-
+    test, models = task.test.drop(TARGET), []
     for i in range(trees):
-        models.append(_seeded(RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False,
-                                                     featureSubsetStrategy="sqrt", maxBins=cuts + 1))
-                      .fit(vectors(task.train, i).select(FEATURES, TARGET)))
-    votes = []
-    for i, model in enumerate(models):
-        tree = model.trees[0]
-        votes.append((tree_expression(tree, binned[i]), 1.0))
-    return _vote(task, votes)
-
-
-def _interval(x: Column, points: list[float]) -> Column:
-    """How many of the sorted points lie at or below x."""
-    return F.size(F.filter(F.lit(points), lambda p: p <= x)).cast("double")
+        splits = [[-math.inf, *sorted({float(v) for v in rng.uniform(low, high, cuts)}), math.inf]
+                  for low, high in zip(*ends)]
+        bins = Bucketizer(splitsArray=splits, inputCols=task.names, outputCols=[f"_b{j}" for j in range(len(splits))])
+        pack = VectorAssembler(inputCols=bins.getOutputCols(), outputCol=f"_f{i}")
+
+        def vectors(rows: DataFrame) -> DataFrame:
+            return pack.transform(bins.transform(rows)).drop(*bins.getOutputCols())
+
+        tree = RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False, labelCol=TARGET,
+                                      featuresCol=f"_f{i}", featureSubsetStrategy="sqrt", maxBins=cuts + 1)
+        models.append(tree.fit(vectors(task.train).select(f"_f{i}", TARGET)))
+        test = vectors(test)
+    return _vote_models(task, test, models)
 
 
 def ada_boost_regressor(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, depth: int = 3, seed: int = 0):

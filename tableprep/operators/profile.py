@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tableprep.functions.columns import (categorical_columns, col, dtype, is_missing, number, numeric_columns,
+from tableprep.functions.columns import (categorical_columns, dtype, is_float, is_missing, number, numeric_columns,
                                          small_frame, value_or_null)
 from tableprep.functions.counts import value_counts
 from tableprep.functions.moments import sample_skewness
@@ -24,12 +24,12 @@ def missing_counts(df: DataFrame, names: Sequence[str] | None = None) -> tuple[i
 def distinct_counts(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
     """Distinct non-missing values per column: one shuffle of pre-aggregated values for all columns.
 
-    Numbers and texts go through separate shuffles so that neither is converted to the other.
+    Doubles go through a shuffle of their own; whole numbers stay exact as text.
     """
-    numeric = numeric_columns(df, names)
-    other = [c for c in names if c not in numeric]
+    floats = [c for c in names if is_float(df, c)]
+    other = [c for c in names if c not in floats]
     result = {c: 0 for c in names}
-    for part, kind in ((numeric, "double"), (other, "string")):
+    for part, kind in ((floats, "double"), (other, "string")):
         if part:
             cells = value_counts(df, {c: value_or_null(df, c) for c in part}, kind).filter("value is not null")
             result.update({r["column"]: r["n"] for r in

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprep.functions.columns import (col, dtype, filled, is_missing, number, numeric_columns, string_columns)
 from tableprep.functions.nearest import neighbours_within
-from tableprep.functions.quantiles import exact_quantiles
+from tableprep.functions.quantiles import counted_quantiles, exact_quantiles
 from tableprep.operators.guards import is_not_a_number
 from tableprep.session import cut_lineage
 
@@ -107,7 +107,8 @@ def iqr_outliers(df: DataFrame, gap: float = 1.5, independent: bool = False) ->
     """Values outside the quartiles by more than `gap` interquartile ranges, missing numbers counting as 0.
 
     Columns are taken in order, and rows with an outlier are left out for the columns after it. The rows left are only
-    ever described by a filter on the bounds found so far, which reaches the scan; nothing is cached.
+    ever described by a filter on the bounds found so far, which reaches the scan; nothing is cached. Each row leaves
+    at its first outlier, so the outliers are the rows that are gone at the end.
     `independent` looks at every column over all rows at once.
     """
     x = {c: filled(df, c) for c in numeric_columns(df)}
@@ -120,15 +121,14 @@ def iqr_outliers(df: DataFrame, gap: float = 1.5, independent: bool = False) ->
         bounds = exact_quantiles(df, x, [0.25, 0.75])
         tests = [outside(c, q) for c, q in bounds.items() if q[0] is not None]
         return df.agg(_total([F.count_if(t) for t in tests])).first()[0] if tests else 0
-    left, count = df, 0
+    left, start = df, None
     for c in x:
-        q = exact_quantiles(left, {c: x[c]}, [0.25, 0.75])[c]
-        if q[0] is None:
-            break
-        bad = outside(c, q)
-        count += left.filter(bad).count()
-        left = left.filter(~bad)
-    return count
+        rows, q = counted_quantiles(left, {c: x[c]}, [0.25, 0.75])[c]
+        start = rows if start is None else start
+        if not rows:
+            return start
+        left = left.filter(~outside(c, q))
+    return start - left.count() if x else 0
 
 
 def accuracy(df: DataFrame, gap: float = 1.5) -> float:

@@ -53,7 +53,7 @@ RARE = "CASE WHEN l_extendedprice > 95000 THEN 'rare' ELSE 'common' END"
 _classifier("h1_random_forest", trees.random_forest, 0.95, trees=10, depth=8)
 _classifier("h2_ada_boost", trees.ada_boost, 0.6, rounds=5)
 _classifier("h3_bagging", trees.bagging, 0.95, trees=5, depth=8)
-_classifier("h5_decision_tree", trees.decision_tree, 0.99, depth=8)
+_classifier("h5_decision_tree", trees.decision_tree, 0.95, depth=8)
 _classifier("h6_extra_trees", trees.extra_trees, 0.9, trees=5, depth=8)
 _classifier("h8_gradient_boosting", trees.gradient_boosting, 0.95, rounds=3)
 _classifier("h11_linear_discriminant", bayes.linear_discriminant, 0.9)
@@ -124,8 +124,8 @@ VECTORS = f"e AS (SELECT vec_id, embedding::DOUBLE[64] AS v, label, {sql_split('
 
 @query("h10_k_neighbors", f"""WITH {VECTORS}, d AS (SELECT t.vec_id, r.label FROM e t JOIN e r ON t.split = 'test'
   AND r.split = 'train' QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY array_distance(t.v, r.v), r.vec_id) <= 5),
-  k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM d
-  GROUP BY ALL) SELECT vec_id, label AS prediction FROM k WHERE r = 1""")
+  k AS (SELECT vec_id, label, count(*) AS n FROM d GROUP BY vec_id, label)
+  SELECT vec_id, arg_min(label, (-n, label)) AS prediction FROM k GROUP BY vec_id""")
 def h10(spark, sf):
     rows = hash_split(table(spark, sf, "embeddings"), ["vec_id"])
     wide = rows.select("vec_id", "label", "split", *[F.col("embedding")[i].cast("double").alias(f"x{i}")
