@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import number
 
-PAIRS_PER_JOB = 300
+PAIRS_PER_JOB = 100
 
 
 def sample_skewness(x: Column) -> Column:
@@ -20,13 +20,20 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n >= 3, g * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0)))
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Null instead of an error where one side does not vary, unlike the built-in `corr` in ANSI mode."""
+    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair i < j over rows where both are present."""
+    """Pearson correlation of every pair i < j over rows where both are present; None if one does not vary."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     result: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]
-        row = df.agg(*[F.corr(number(df, a), number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
+        row = df.agg(*[_correlation(number(df, a), number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(part)]
+                     ).first()
         result.update({p: (None if v is None or np.isnan(v) else v) for p, v in zip(part, row)})
     return result
 

@@ -63,6 +63,8 @@ def overlapping_blocks(df: DataFrame, step: str, halo: int, size: int = ROWS_PER
     Adds `_block` and `_context` (true on the repeated rows). A window over (key, _block) whose frame reaches back at
     most `halo` rows is then exact on the rows that are not context.
     """
+    if size < halo:
+        raise ValueError(f"a block of {size} rows cannot lend {halo}")
     own = F.floor(F.col(step) / size)
     copies = F.when(F.col(step) >= (own + 1) * size - halo, F.array(own, own + 1)).otherwise(F.array(own))
     return (df.withColumn("_own", own).withColumn("_block", F.explode(copies))
