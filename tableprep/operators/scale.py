@@ -90,54 +90,79 @@ def quantile_transformer(df: DataFrame, roles: Roles = Roles(), points: int = 1_
     return replace_columns(df, {c: place(grids[c])(x[c]) for c in x})
 
 
-def yeo_johnson(x: Column, lam: Column) -> Column:
+def yeo_johnson(x: Column, lam: float) -> Column:
     """Power transform that also takes zero and negative values."""
-    positive = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
-    rest = 2.0 - lam
-    negative = F.when(F.abs(rest) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, rest) - 1.0) / rest)
+    positive = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1.0, F.lit(lam)) - 1.0) / lam
+    negative = -F.log1p(-x) if abs(lam - 2.0) < 1e-12 else -(F.pow(1.0 - x, F.lit(2.0 - lam)) - 1.0) / (2.0 - lam)
     return F.when(x >= 0, positive).otherwise(negative)
 
 
+def _power_moments(df: DataFrame, x: dict[str, Column], lams: list[list[float]]) -> dict[tuple[int, float], tuple]:
+    """{(column, lambda): (rows, mean, variance)} of the transformed values, all lambdas in one scan.
+
+    Each task takes one logarithm per value and one exponential per lambda over its Arrow batches, and gives out one row
+    per column and lambda.
+    """
+    def partial(batches):
+        total: dict[tuple[int, float], list[float]] = {}
+        for pdf in batches:
+            for c, tried in enumerate(lams):
+                v = pdf[f"x{c}"].to_numpy()
+                positive, logs = v >= 0, np.log1p(np.abs(v))
+                up, down = logs[positive], logs[~positive]
+                for lam in tried:
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        y = np.concatenate([up if abs(lam) < 1e-12 else np.expm1(lam * up) / lam,
+                                            -down if abs(lam - 2) < 1e-12 else -np.expm1((2 - lam) * down) / (2 - lam)])
+                        if not len(y):
+                            continue
+                        n, mean, spread = len(y), y.mean(), ((y - y.mean()) ** 2).sum()
+                        t = total.setdefault((c, lam), [0, 0.0, 0.0])
+                        apart = mean - t[1]
+                        both = t[0] + n
+                        t[2] += spread + apart * apart * t[0] * n / both
+                        t[1] += apart * n / both
+                        t[0] = both
+        yield pd.DataFrame([(c, lam, *t) for (c, lam), t in total.items()], columns=["c", "lam", "n", "mean", "spread"])
+
+    rows = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x.values())])
+    parts = rows.mapInPandas(partial, "c int, lam double, n long, mean double, spread double")
+    merged = parts.groupBy("c", "lam").agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
+        (F.sum("spread") / F.sum("n") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) / F.sum("n")
+         - F.pow(F.sum(F.col("n") * F.col("mean")) / F.sum("n"), F.lit(2))).alias("var"))
+    return {(r["c"], r["lam"]): (r["n"], r["mean"], r["var"]) for r in merged.collect()}
+
+
 def fit_power(df: DataFrame, x: dict[str, Column]) -> dict[str, tuple[float, float, float]]:
     """Per column the lambda of highest likelihood, then mean and population deviation of the transformed values.
 
-    Every pass scores a few lambdas of all columns in one aggregation and narrows to the neighbours of the best one.
-    Lambdas are data, not code, so that all passes run the same compiled stage.
+    Every pass scores a few lambdas of all columns in one scan and narrows to the neighbours of the best one.
     """
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), v.alias("x"))
-                                          for i, v in enumerate(x.values())])).alias("s")).select("s.*")
-    slopes = {r["c"]: (r["n"], r["s"]) for r in cells.groupBy("c").agg(
-        F.count("*").alias("n"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("s")).collect()}
-    if not slopes:
+    if not x:
         return {}
-
-    def moments(lams: list[list[float]]) -> list:
-        tried = cells.withColumn("lam", F.explode(F.get(F.array(*[F.lit(row) for row in lams]), F.col("c"))))
-        y = yeo_johnson(F.col("x"), F.col("lam"))
-        return tried.groupBy("c", "lam").agg(F.avg(y).alias("mean"), F.var_pop(y).alias("var")).collect()
-
+    sums = df.agg(*[F.sum(F.signum(v) * F.log1p(F.abs(v))).alias(f"c{i}") for i, v in enumerate(x.values())]).first()
     step = (LAMBDA_RANGE[1] - LAMBDA_RANGE[0]) / (LAMBDA_POINTS - 1)
     low = [LAMBDA_RANGE[0]] * len(x)
     best: dict[int, tuple] = {}
     for _ in range(LAMBDA_PASSES):
         scored: dict[int, list] = {}
-        for r in moments([[start + step * i for i in range(LAMBDA_POINTS)] for start in low]):
-            n, slope = slopes[r["c"]]
-            if r["var"] and np.isfinite(r["var"]):
-                score = -n / 2 * np.log(r["var"]) + (r["lam"] - 1) * slope
-                scored.setdefault(r["c"], []).append((score, r["lam"], r["mean"], float(np.sqrt(r["var"]))))
+        tried = [[start + step * i for i in range(LAMBDA_POINTS)] for start in low]
+        for (c, lam), (n, mean, var) in _power_moments(df, x, tried).items():
+            if var > 0 and np.isfinite(var):
+                scored.setdefault(c, []).append((-n / 2 * np.log(var) + (lam - 1) * sums[c], lam, mean, np.sqrt(var)))
         for c, found in scored.items():
             best[c] = max(found)[1:]
             low[c] = best[c][0] - step
         step = 2 * step / (LAMBDA_POINTS - 1)
-    return {c: best[i] for i, c in enumerate(x) if i in best}
+    return {c: tuple(map(float, best[i])) for i, c in enumerate(x) if i in best}
 
 
 def power_transformer(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     """Yeo-Johnson transform, then standardised. A column without a usable fit (a constant) stays as it is."""
     x = _inputs(df, roles)
     fitted = fit_power(roles.train(df), x)
-    return replace_columns(df, {c: (yeo_johnson(x[c], F.lit(float(lam))) - F.lit(mean)) / F.lit(std or 1.0)
+    return replace_columns(df, {c: (yeo_johnson(x[c], lam) - F.lit(mean)) / F.lit(std or 1.0)
                                 if c in fitted else x[c] for c in x for lam, mean, std in [fitted.get(c, (1, 0, 1))]})
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tableprep.functions.columns import col
+
 CORRUPT = "_corrupt_record"
 
 
@@ -35,7 +37,17 @@ def read_json(spark: SparkSession, path, schema: T.StructType | None = None, mul
 
 
 def read_parquet(spark: SparkSession, path) -> DataFrame:
-    return drop_index_column(spark.read.parquet(path))
+    return drop_index_column(spread_scan(spark.read.parquet(path)))
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer splits than the session has cores, as a file with one row group does.
+
+    A large table has far more splits than cores and is left as it is: no shuffle is added there. Rows go by a hash of
+    the first column, usually the key, which needs no sort.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, col(df.columns[0])) if df.rdd.getNumPartitions() < cores else df
 
 
 def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
