@@ -26,9 +26,12 @@ def _correlation(a: Column, b: Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every pair i < j over rows where both are present; None if one does not vary."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+def correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of every pair i < j over rows where both are present; None if one does not vary.
+
+    `diagonal` adds the pairs i = j: 1, or None for a column that does not vary.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i if diagonal else i + 1:]]
     result: dict[tuple[str, str], float | None] = {}
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         part = pairs[start:start + PAIRS_PER_JOB]

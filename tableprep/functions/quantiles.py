@@ -33,52 +33,64 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]
     return {c: values for c, (_, values) in counted_quantiles(df, columns, probs).items()}
 
 
-def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
-                      probs: Sequence[float]) -> dict[str, tuple[int, list[float | None]]]:
+def value_ranges(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, tuple]:
+    """(minimum, maximum) of each column, missing values left out."""
+    exprs = _expressions(df, columns)
+    names, ranges = list(exprs), {}
+    for start in range(0, len(names), BATCH):
+        part = names[start:start + BATCH]
+        row = df.agg(*[F.struct(F.min(exprs[c]), F.max(exprs[c])).alias(f"c{i}") for i, c in enumerate(part)]).first()
+        ranges.update(zip(part, map(tuple, row)))
+    return ranges
+
+
+def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float],
+                      ranges: Mapping[str, tuple] | None = None) -> dict[str, tuple[int, list[float | None]]]:
     """As `exact_quantiles`, with the number of non-missing values of each column.
 
-    Scan 1 takes count, minimum and maximum of every column. Each later scan counts the values of every open interval in
-    equal-width buckets, with the smallest and largest value of each bucket. Counts are exact, so the bucket that holds
-    a wanted rank becomes the next interval. A bucket of one repeated value ends the search at once, however many rows
-    it holds, and a bucket of few rows is read off value by value. All steps are plain hash aggregations.
+    Scan 1 takes the range of every column; a caller that knows an enclosing range saves it. Each later scan counts the
+    values of every open interval in equal-width buckets, with the smallest and largest value of each bucket. Counts are
+    exact, so the bucket that holds a wanted rank becomes the next interval. A bucket of one repeated value ends the
+    search at once, however many rows it holds, and a bucket of few rows is read off value by value. All steps are
+    plain hash aggregations.
     """
     exprs = _expressions(df, columns)
-    names = list(exprs)
-    ends: dict = {}
-    for start in range(0, len(names), BATCH):
-        part = names[start:start + BATCH]
-        ends.update(zip(part, df.agg(*[F.struct(F.count(exprs[c]), F.min(exprs[c]), F.max(exprs[c])).alias(f"c{i}")
-                                       for i, c in enumerate(part)]).first()))
+    ranges = value_ranges(df, exprs) if ranges is None else ranges
     found: dict[tuple[str, int], float] = {}
-    todo = []
-    for c, (n, low, high) in ends.items():
-        ranks = {k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))} if n else set()
-        todo.append(_Span(c, low, high, n, 0, ranks, 1.0))
+    sizes = {c: 0 for c in exprs}
+    todo = [_Span(c, *ranges[c], None, 0, None, 1.0) for c in exprs if ranges[c][0] is not None]
+
+    def wanted(c: str, n: int) -> set[int]:
+        sizes[c] = n
+        return {k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+
     while todo:
         todo = [child for start in range(0, len(todo), BATCH)
-                for child in _split(df, exprs, _settle(todo[start:start + BATCH], found), found)]
+                for child in _settle(_split(df, exprs, todo[start:start + BATCH], found, wanted), found)]
 
     def value(c: str, p: float) -> float | None:
-        n = ends[c][0]
-        if not n:
+        if not sizes[c]:
             return None
-        h = p * (n - 1)
+        h = p * (sizes[c] - 1)
         low, high = found[c, math.floor(h)], found[c, math.ceil(h)]
         return low + (high - low) * (h - math.floor(h))
 
-    return {c: (ends[c][0], [value(c, p) for p in probs]) for c in names}
+    return {c: (sizes[c], [value(c, p) for p in probs]) for c in exprs}
 
 
 @dataclass
 class _Span:
-    """The `rows` values of a column from `low` to `high`; `below` values are smaller. Holds the wanted ranks."""
+    """The `rows` values of a column from `low` to `high`; `below` values are smaller. Holds the wanted ranks.
+
+    Rows and ranks of a whole column are known after its first histogram.
+    """
 
     column: str
     low: float
     high: float
-    rows: int
+    rows: int | None
     below: int
-    ranks: set[int]
+    ranks: set[int] | None
     share: float  # part of the parent's rows; near 1 means that equal widths did not help
 
 
@@ -107,15 +119,15 @@ def _bucket(x: Column, s: _Span) -> Column:
         if squash(high) - squash(low) > 1e-9 * max(1.0, abs(squash(high))):
             x, low, high = _squash(x), squash(low), squash(high)
     # halves keep high - low finite over the whole double range
+    if low == high:
+        return F.lit(0)
     part = (x / 2 - low / 2) / (high / 2 - low / 2)
     return F.greatest(F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
 
 
-def _split(df: DataFrame, exprs, spans: list[_Span], found) -> list[_Span]:
-    if not spans:
-        return []
-    few = [s for s in spans if s.rows <= COLLECT_ROWS]
-    many = [s for s in spans if s.rows > COLLECT_ROWS]
+def _split(df: DataFrame, exprs, spans: list[_Span], found, wanted) -> list[_Span]:
+    few = [s for s in spans if s.rows is not None and s.rows <= COLLECT_ROWS]
+    many = [s for s in spans if s.rows is None or s.rows > COLLECT_ROWS]
 
     def cells(part: list[_Span], key) -> DataFrame:
         held = [F.when(exprs[s.column].between(s.low, s.high),
@@ -140,8 +152,11 @@ def _split(df: DataFrame, exprs, spans: list[_Span], found) -> list[_Span]:
         for r in grouped.collect():
             buckets.setdefault(r["j"], []).append((r["b"], r["low"], r["high"], r["n"]))
         for j, s in enumerate(many):
+            if s.rows is None:
+                s.rows = sum(b[3] for b in buckets.get(j, []))
+                s.ranks = wanted(s.column, s.rows) if s.rows else set()
             at = s.below
-            for _, low, high, n in sorted(buckets[j]):
+            for _, low, high, n in sorted(buckets.get(j, [])):
                 held = {k for k in s.ranks if at <= k < at + n}
                 if held:
                     children.append(_Span(s.column, low, high, n, at, held, n / s.rows))

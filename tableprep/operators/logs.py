@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tableprep.functions.columns import col
@@ -130,47 +131,59 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
     if block < wait:
         raise ValueError("a block must be at least as long as the waiting time")
     rows = score_slopes(episodes, keys, window, block).withColumn("_block", F.floor(F.col("step") / block))
-    candidates = rows.filter(F.col("slope") <= threshold).select(*keys, "_block", "step")
-
-    # A rest of r at a block start means that no step before start + r may hit.
-    def play(steps, rest, hits):
-        ready = rest
-        for s in steps:
-            if s >= ready:
-                hits.append(s)
-                ready = s + wait
-        return ready
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema if f.name != "step")
-
-    def outcomes(pdf):
-        start = int(pdf["_block"].iloc[0]) * block
-        steps = sorted(pdf["step"])
-        head = pdf.iloc[:1][[*keys, "_block"]]
-        ends = [max(0, play(steps, start + r, []) - start - block) for r in range(wait)]
-        return head.assign(ends=[ends])
-
-    def chain(pdf):
-        pdf = pdf.sort_values("_block")
-        rests, last, rest = [], None, 0
-        for number, ends in zip(pdf["_block"], pdf["ends"]):
-            rest = rest if last is not None and number == last + 1 else 0
-            rests.append(rest)
-            rest, last = int(ends[rest]), number
-        return pdf[[*keys, "_block"]].assign(_rest=rests)
-
-    ends = candidates.groupBy(*keys, "_block").applyInPandas(outcomes, schema + ", ends array<long>")
-    # one row per block of a run: a long run has few
-    rest = ends.groupBy(*keys).applyInPandas(chain, schema + ", _rest long")
-
-    def mark(pdf):
-        start, hits = int(pdf["_block"].iloc[0]) * block, []
-        play(sorted(pdf["step"]), start + int(pdf["_rest"].iloc[0]), hits)
-        return pdf[pdf["step"].isin(hits)][[*keys, "step"]]
-
-    marked = candidates.join(rest, [*keys, "_block"])
+    group = [*keys, "_block"]
+    candidates = cut_lineage(rows.filter(F.col("slope") <= threshold).select(*group, "step"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema[:-1])
+
+    def in_order(df: DataFrame) -> DataFrame:
+        return df.repartition(*group).sortWithinPartitions(*group, "step")
+
+    # A rest of r at a block start means that no step before start + r may hit. Rows come sorted, so a task reads its
+    # blocks as one stream and holds the state of a single block.
+    def outcomes(batches):
+        now, ready, done = None, [], []
+        for pdf in batches:
+            for *key, step in pdf.itertuples(index=False, name=None):
+                if key != now:
+                    if now is not None:
+                        done.append((*now, [max(0, r - (now[-1] + 1) * block) for r in ready]))
+                    now, ready = key, [key[-1] * block + r for r in range(wait)]
+                ready = [step + wait if step >= r else r for r in ready]
+            yield pd.DataFrame(done, columns=[*group, "ends"])
+            done = []
+        if now is not None:
+            yield pd.DataFrame([(*now, [max(0, r - (now[-1] + 1) * block) for r in ready])], columns=[*group, "ends"])
+
+    ends = in_order(candidates).mapInPandas(outcomes, f"{kinds}, ends array<long>")
+
+    # One short row per block: the rests are chained along the blocks of a run.
+    link = F.struct("_block", "ends")
+    start = F.struct(F.lit(-2).cast("long").alias("last"), F.lit(0).cast("long").alias("rest"),
+                     F.array().cast("array<struct<_block:bigint,_rest:bigint>>").alias("done"))
+
+    def chain(state, b):
+        rest = F.when(b["_block"] == state["last"] + 1, state["rest"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(b["_block"].alias("last"), F.get(b["ends"], rest.cast("int")).alias("rest"),
+                        F.array_append(state["done"], F.struct(b["_block"].alias("_block"), rest.alias("_rest"))).alias("done"))
+
+    rests = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(link)).alias("links")).select(
+        *keys, F.explode(F.aggregate("links", start, chain, lambda s: s["done"])).alias("r")).select(*keys, "r.*")
+
+    def mark(batches):
+        now, ready = None, 0
+        for pdf in batches:
+            hits = []
+            for i, (*key, step, rest) in enumerate(pdf.itertuples(index=False, name=None)):
+                if key != now:
+                    now, ready = key, key[-1] * block + rest
+                if step >= ready:
+                    hits.append(i)
+                    ready = step + wait
+            yield pdf.iloc[hits][[*keys, "step"]]
+
+    marked = in_order(candidates.join(rests, group).select(*group, "step", "_rest"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema if f.name != "_block")
-    hits = marked.groupBy(*keys, "_block").applyInPandas(mark, kinds).withColumn("hit", F.lit(True))
+    hits = marked.mapInPandas(mark, kinds).withColumn("hit", F.lit(True))
     return rows.drop("_block").join(hits, [*keys, "step"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 

@@ -121,17 +121,11 @@ def duplicate_row_rate(df: DataFrame) -> float:
 def _matrix(df: DataFrame) -> np.ndarray:
     """Correlation matrix of the numeric columns; NaN where a column does not vary."""
     names = numeric_columns(df)
-    size = len(names)
-    matrix = np.full((size, size), np.nan)
-    if size == 0:
-        return matrix
-    row = df.agg(*[(F.min(number(df, c)) < F.max(number(df, c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
-    for i, varies in enumerate(row):
-        matrix[i, i] = 1.0 if varies else np.nan
-    for (a, b), r in correlations(df, names).items():
+    matrix = np.full((len(names), len(names)), np.nan)
+    for (a, b), r in correlations(df, names, diagonal=True).items():
         i, j = names.index(a), names.index(b)
-        if r is not None and row[i] and row[j]:
-            matrix[i, j] = matrix[j, i] = r
+        if r is not None:
+            matrix[i, j] = matrix[j, i] = 1.0 if i == j else r
     return matrix
 
 

@@ -42,14 +42,12 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     Skewness and kurtosis are those of the population; they are null for columns that are not numeric.
     """
-    n, missing = missing_counts(df)
-    distinct = distinct_counts(df, df.columns)
     numeric = numeric_columns(df)
-    shape = {}
-    if numeric:
-        row = df.agg(*[F.struct(F.skewness(number(df, c)), F.kurtosis(number(df, c))).alias(f"c{i}")
-                       for i, c in enumerate(numeric)]).first()
-        shape = dict(zip(numeric, row))
+    row = df.agg(*[F.count_if(is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+                 *[F.struct(F.skewness(number(df, c)), F.kurtosis(number(df, c))).alias(f"c{i}")
+                   for i, c in enumerate(numeric)]).first()
+    missing, shape = dict(zip(df.columns, row)), dict(zip(numeric, row[len(df.columns):]))
+    distinct = distinct_counts(df, df.columns)
     order = numeric + categorical_columns(df)
     rows = [(c, dtype(df, c).simpleString(), missing[c], distinct[c] + (missing[c] > 0), *shape.get(c, (None, None)))
             for c in order]
@@ -82,11 +80,11 @@ def describe_numbers(df: DataFrame, names: Sequence[str] | None = None) -> DataF
                                                   "q25 double, q50 double, q75 double, max double")
 
 
-def numeric_stats(df: DataFrame, names: Sequence[str]) -> dict[str, dict]:
+def numeric_stats(df: DataFrame, names: Sequence[str], quartiles: dict | None = None) -> dict[str, dict]:
     """mean, median, sample deviation, minimum, maximum, corrected skewness and share of distinct values."""
     if not names:
         return {}
-    medians = exact_quantiles(df, names, [0.5])
+    medians = exact_quantiles(df, names, [0.5]) if quartiles is None else {c: [q[1]] for c, q in quartiles.items()}
     distinct = distinct_counts(df, names)
     row = df.agg(*[F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                             F.min(x).alias("min"), F.max(x).alias("max"), sample_skewness(x).alias("skew"))
