@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import number
 
-PAIRS_PER_JOB = 100
-
 
 def sample_skewness(x: Column) -> Column:
     """Bias-corrected skewness, null below three values; a constant column has skewness 0."""
@@ -20,24 +18,44 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n >= 3, g * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2.0, F.lit(0.0)))
 
 
-def _correlation(a: Column, b: Column) -> Column:
-    """Null instead of an error where one side does not vary, unlike the built-in `corr` in ANSI mode."""
-    spread = F.sqrt(F.var_pop(F.when(b.isNotNull(), a)) * F.var_pop(F.when(a.isNotNull(), b)))
-    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
-
-
 def correlations(df: DataFrame, columns: Sequence[str], diagonal: bool = False) -> dict[tuple[str, str], float | None]:
     """Pearson correlation of every pair i < j over rows where both are present; None if one does not vary.
 
-    `diagonal` adds the pairs i = j: 1, or None for a column that does not vary.
+    `diagonal` adds the pairs i = j: 1, or None for a column that does not vary. One scan finds the means, a second one
+    multiplies Arrow batches; a table of many columns needs no aggregate per pair.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i if diagonal else i + 1:]]
+    if not columns:
+        return {}
+    size = len(columns)
+    x = [number(df, c) for c in columns]
+    row = df.agg(*[F.struct(F.avg(v), F.min(v) < F.max(v)).alias(f"c{i}") for i, v in enumerate(x)]).first()
+    center, varies = np.array([r[0] or 0.0 for r in row]), [bool(r[1]) for r in row]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, size, size))
+        for pdf in batches:
+            values = pdf.to_numpy(dtype=float)
+            present = (~np.isnan(values)).astype(float)
+            shifted = np.where(present > 0, values - center, 0.0)
+            sums += [present.T @ present, shifted.T @ present, (shifted ** 2).T @ present, shifted.T @ shifted]
+        i, j = np.indices((size, size)).reshape(2, -1)
+        yield pd.DataFrame({"i": i, "j": j, **{n: m.ravel() for n, m in zip(("n", "s", "q", "p"), sums)}})
+
+    parts = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).mapInPandas(
+        partial, "i int, j int, n double, s double, q double, p double")
+    n, s, q, p = np.zeros((4, size, size))
+    for r in parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p")]).collect():
+        n[r["i"], r["j"]], s[r["i"], r["j"]], q[r["i"], r["j"]], p[r["i"], r["j"]] = r["n"], r["s"], r["q"], r["p"]
     result: dict[tuple[str, str], float | None] = {}
-    for start in range(0, len(pairs), PAIRS_PER_JOB):
-        part = pairs[start:start + PAIRS_PER_JOB]
-        row = df.agg(*[_correlation(number(df, a), number(df, b)).alias(f"p{i}") for i, (a, b) in enumerate(part)]
-                     ).first()
-        result.update({p: (None if v is None or np.isnan(v) else v) for p, v in zip(part, row)})
+    for i in range(size):
+        for j in range(i if diagonal else i + 1, size):
+            known = None
+            if varies[i] and varies[j] and n[i, j] > 1:
+                a, b = q[i, j] - s[i, j] ** 2 / n[i, j], q[j, i] - s[j, i] ** 2 / n[i, j]
+                least = 1e-26 * n[i, j]  # rounding noise of values that are equal wherever both are present
+                if a > least * center[i] ** 2 and b > least * center[j] ** 2:
+                    known = float((p[i, j] - s[i, j] * s[j, i] / n[i, j]) / np.sqrt(a * b))
+            result[columns[i], columns[j]] = known
     return result
 
 

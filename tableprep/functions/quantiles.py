@@ -33,6 +33,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]
     return {c: values for c, (_, values) in counted_quantiles(df, columns, probs).items()}
 
 
+def _place(p: float, n: int) -> float:
+    """Rank of a quantile; a whole number where only rounding keeps it from being one."""
+    h = p * (n - 1)
+    return float(round(h)) if abs(h - round(h)) <= 1e-14 * n else h
+
+
 def value_ranges(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, tuple]:
     """(minimum, maximum) of each column, missing values left out."""
     exprs = _expressions(df, columns)
@@ -62,7 +68,7 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Colum
 
     def wanted(c: str, n: int) -> set[int]:
         sizes[c] = n
-        return {k for p in probs for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}
+        return {k for p in probs for k in (math.floor(_place(p, n)), math.ceil(_place(p, n)))}
 
     while todo:
         todo = [child for start in range(0, len(todo), BATCH)
@@ -71,7 +77,7 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Colum
     def value(c: str, p: float) -> float | None:
         if not sizes[c]:
             return None
-        h = p * (sizes[c] - 1)
+        h = _place(p, sizes[c])
         low, high = found[c, math.floor(h)], found[c, math.ceil(h)]
         return low + (high - low) * (h - math.floor(h))
 

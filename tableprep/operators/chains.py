@@ -54,7 +54,10 @@ def sample_rows(df: DataFrame, roles: Roles, sizes: tuple[int, int] = SMALL_SAMP
 
 
 class ChainRunner:
-    """Applies chains to one dataset and scores them. Results of chain starts are kept and shared."""
+    """Applies chains to one dataset and scores them. Results of chain starts are kept and shared.
+
+    `keep` is how many prepared frames stay persisted; 0 computes every frame from the input again.
+    """
 
     def __init__(self, df: DataFrame, roles: Roles = Roles(), predictor=logistic_regression, metric=accuracy,
                  keep: int = 4, operators: Sequence[Callable] = OPERATORS):
@@ -74,7 +77,10 @@ class ChainRunner:
             if held is not None:
                 self._frames.move_to_end(key)
                 return held
-        frame = self.operators[key[-1]](self.prepared(key[:-1]), self.roles).persist()
+        frame = self.operators[key[-1]](self.prepared(key[:-1]), self.roles)
+        if not self.keep:
+            return frame
+        frame.persist()
         with self._lock:
             frame = self._frames.setdefault(key, frame)
             old = [k for k in self._frames if k != key[:len(k)]][:max(len(self._frames) - self.keep, 0)]

@@ -179,10 +179,12 @@ def _vote_models(task: Task, rows: DataFrame, models: list) -> DataFrame:
 def balanced_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0):
     """Every tree is grown on its own class-balanced sample."""
     task = classification(df, roles)
-    sizes = _class_sizes(task.train)
+    train = task.vectors(task.train).select(*task.x, FEATURES, TARGET).persist()
+    sizes = _class_sizes(train)
     models = [_seeded(RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False,
                                              featureSubsetStrategy="sqrt"))
-              .fit(task.vectors(_undersample(task, task.train, sizes, seed + i))) for i in range(trees)]
+              .fit(_undersample(task, train, sizes, seed + i)) for i in range(trees)]
+    train.unpersist()
     return _vote_models(task, task.vectors(task.test).drop(TARGET), models)
 
 
@@ -194,7 +196,8 @@ def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth:
     the interval alone.
     """
     task = classification(df, roles)
-    ends = task.train.agg(F.array(*[F.min(x) for x in task.x]), F.array(*[F.max(x) for x in task.x])).first()
+    train = task.train.select(*task.x, TARGET).persist()
+    ends = train.agg(F.array(*[F.min(x) for x in task.x]), F.array(*[F.max(x) for x in task.x])).first()
     rng = np.random.default_rng(seed)
     test, models = task.test.drop(TARGET), []
     for i in range(trees):
@@ -208,8 +211,9 @@ def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth:
 
         tree = RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False, labelCol=TARGET,
                                       featuresCol=f"_f{i}", featureSubsetStrategy="sqrt", maxBins=cuts + 1)
-        models.append(tree.fit(vectors(task.train).select(f"_f{i}", TARGET)))
+        models.append(tree.fit(vectors(train).select(f"_f{i}", TARGET)))
         test = vectors(test)
+    train.unpersist()
     return _vote_models(task, test, models)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprep.functions.columns import Roles, categorical_columns, col, numeric_columns
 from tableprep.functions.counts import dense_codes, lookup
+from tableprep.functions.quantiles import exact_quantiles
 from tableprep.sources.readers import union_by_name
 
 DEFAULT_SEED = 42
@@ -33,15 +34,14 @@ def random_split(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED) -
 
 def tail_split(df: DataFrame, order: str, train_percent: int = 80, name: str = "split") -> DataFrame:
     """Unshuffled split: the last rows in the order of a unique column are test rows."""
-    from tableprep.functions.quantiles import exact_quantiles
-
     n = df.count()
     test_rows = -(-n * (100 - train_percent) // 100)
     if not n:
         return df.withColumn(name, F.lit("train"))
-    rank = (n - test_rows - 1) / max(n - 1, 1)
-    edge = exact_quantiles(df, [order], [max(rank, 0.0)])[order][0]
-    return df.withColumn(name, F.when(col(order) <= F.lit(edge + 0.25), "train").otherwise("test"))
+    if test_rows == n:
+        return df.withColumn(name, F.lit("test"))
+    edge = exact_quantiles(df, [order], [(n - test_rows - 1) / max(n - 1, 1)])[order][0]
+    return df.withColumn(name, F.when(col(order).cast("double") <= F.lit(edge), "train").otherwise("test"))
 
 
 def check_single_target(names: Sequence[str], target: str) -> None:

@@ -186,7 +186,7 @@ def o5(spark, sf):
 
 
 @query("o6_weighted_reward", f"""WITH {LOG}, {LAGGED} SELECT user_id, step, round((acc - greatest(coalesce(a1, 0.05), 0.05))
-  / coalesce(a1, 0.05) + 0.3 * (quality - coalesce(q1, 60)) / coalesce(q1, 60)
+  / nullif(coalesce(a1, 0.05), 0) + 0.3 * (quality - coalesce(q1, 60)) / coalesce(q1, 60)
   - 0.1 * (cost - coalesce(c1, 0) + 10) / (coalesce(c1, 0) + 10), 6) AS reward FROM x""")
 def o6(spark, sf):
     runs = _log(spark, sf).withColumnRenamed("acc", "downstream")
@@ -351,9 +351,9 @@ def _moves(spark, sf):
 
 
 @query("o17_transition_values", f"""WITH {LOG}, {LAGGED}, {MOVES}, {SWEEPS} SELECT s AS state, a AS action,
-  round(q, 6) + 0.0 AS q FROM q3""")
+  round(q, 5) + 0.0 AS q FROM q3""")
 def o17(spark, sf):
-    return rounded(logs.transition_values(_moves(spark, sf), 3))
+    return rounded(logs.transition_values(_moves(spark, sf), 3), 5)
 
 
 @query("o18_greedy_chains", f"""WITH RECURSIVE {LOG}, {LAGGED}, {MOVES}, {SWEEPS}, p AS (SELECT s, CASE WHEN q > 0 THEN a
