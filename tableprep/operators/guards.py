@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprep.functions.columns import (categorical_columns, col, finite_or_zero, number, numeric_columns,
-                                         replace_columns, string_columns)
+from tableprep.functions.columns import categorical_columns, col, finite_or_zero, number, numeric_columns, string_columns
 
 NUMBER_PATTERN = r"^[+-]?\d*\.?\d*(?:[+-:]\d*\.?\d*)?%?$"  # fixed value; [+-:] is a range of characters
 

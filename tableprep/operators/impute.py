@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableprep.functions.columns import (Roles, col, filled, is_float, number, numeric_columns, replace_columns,
-                                         value_or_null)
+from tableprep.functions.columns import Roles, col, filled, number, replace_columns, value_or_null
 from tableprep.functions.counts import modes
 from tableprep.functions.quantiles import exact_quantiles
 from tableprep.operators.profile import missing_counts

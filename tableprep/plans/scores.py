@@ -289,9 +289,9 @@ def k2(spark, sf):
     return one_row(spark, score=half_up(textquality.readability_score(table(spark, sf, "documents"), "text"), 6))
 
 
-@query("k2_reading_ease", f"SELECT doc_id, round({EASE}, 4) AS ease FROM documents")
+@query("k2_reading_ease", f"SELECT doc_id, round({EASE}, 8) AS ease FROM documents")
 def k2_ease(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(textquality.reading_ease(F.col("text")), 4).alias("ease"))
+    return table(spark, sf, "documents").select("doc_id", F.round(textquality.reading_ease(F.col("text")), 8).alias("ease"))
 
 
 STAMPED = "s AS (SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type AS text, ts FROM events)"

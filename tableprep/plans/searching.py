@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tableprep.functions.columns import one_row
-from tableprep.functions.ordered import number_rows, time_block
+from tableprep.functions.ordered import drop_context, number_rows, overlapping_blocks, time_block
 from tableprep.operators import catalog, logs, search
 from tableprep.operators.metafeatures import FEATURES
 from tableprep.plans.registry import query, scratch, table
@@ -330,7 +330,7 @@ def o16(spark, sf):
         F.element_at("m", F.col("op")).alias("masked")))
 
 
-MOVES = """t AS (SELECT o1 AS s, op AS a, op AS n, acc - a1 + 0.05 AS r FROM x WHERE o1 IS NOT NULL AND o1 <> 25)"""
+MOVES = """t AS (SELECT o1 AS s, op AS a, op AS n, sqrt(acc) - sqrt(a1) + 0.05 AS r FROM x WHERE o1 IS NOT NULL AND o1 <> 25)"""
 SWEEPS = """q1 AS (SELECT s, a, avg(r) AS q FROM t GROUP BY ALL), v1 AS (SELECT s, max(q) AS v FROM q1 GROUP BY s),
   q2 AS (SELECT t.s, a, avg(r + 0.9 * coalesce(v, 0)) AS q FROM t LEFT JOIN v1 ON v1.s = t.n GROUP BY ALL),
   v2 AS (SELECT s, max(q) AS v FROM q2 GROUP BY s),
@@ -339,21 +339,17 @@ SWEEPS = """q1 AS (SELECT s, a, avg(r) AS q FROM t GROUP BY ALL), v1 AS (SELECT
 
 def _moves(spark, sf):
     """Each step leads from the operator before it to its own."""
-    from pyspark.sql import Window
-
-    from tableprep.functions.ordered import drop_context, overlapping_blocks
-
     rows = overlapping_blocks(_log(spark, sf), "step", 1)
     w = Window.partitionBy("user_id", "_block").orderBy("step")
     rows = drop_context(rows.withColumn("state", F.lag("op").over(w)).withColumn("_a1", F.lag("acc").over(w)))
     return rows.filter("state <> 25").select("state", F.col("op").alias("action"), F.col("op").alias("next_state"),
-                                             (F.col("acc") - F.col("_a1") + 0.05).alias("reward"))
+                                             (F.sqrt("acc") - F.sqrt("_a1") + 0.05).alias("reward"))
 
 
 @query("o17_transition_values", f"""WITH {LOG}, {LAGGED}, {MOVES}, {SWEEPS} SELECT s AS state, a AS action,
-  round(q, 5) + 0.0 AS q FROM q3""")
+  round(q, 6) + 0.0 AS q FROM q3""")
 def o17(spark, sf):
-    return rounded(logs.transition_values(_moves(spark, sf), 3), 5)
+    return rounded(logs.transition_values(_moves(spark, sf), 3))
 
 
 @query("o18_greedy_chains", f"""WITH RECURSIVE {LOG}, {LAGGED}, {MOVES}, {SWEEPS}, p AS (SELECT s, CASE WHEN q > 0 THEN a
