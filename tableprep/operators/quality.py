@@ -107,7 +107,7 @@ def iqr_outliers(df: DataFrame, gap: float = 1.5, independent: bool = False) ->
     """Values outside the quartiles by more than `gap` interquartile ranges, missing numbers counting as 0.
 
     Columns are taken in order, and rows with an outlier are left out for the columns after it. The rows left are only
-    ever described by a filter on the bounds found so far, which reaches the scan; nothing is cached. Each row leaves
+    ever described by a filter on the bounds found so far, applied right after the scan; nothing is cached. Each row leaves
     at its first outlier, so the outliers are the rows that are gone at the end.
     `independent` looks at every column over all rows at once.
     """
