@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import chat, sharding, url_reputation
+from tableprep.llm import chat, decontam, fingerprints, ngram_join, pii_crf, sharding, toxicity, url_reputation
 from tableprep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,35 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)],
                                   "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.expand(talks.unionByName(extra)))
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op2_pii_field")
+def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question, answer = decontam.last_sentence(F.coalesce("text", F.lit("")))
+    return read(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
+
+
+@query("op3_benchmark_passages")
+def op3_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.hits(read(spark, sf_dir, "documents").select("doc_id", "text"), benchmark_items(spark, sf_dir))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query("op5_prefix_fingerprints")
+def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_table(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
