@@ -4,9 +4,10 @@ how they depend on each other, and a linear classifier trained on the labels tha
 1. Features of a text are its words and the first 4, 5, 6 and 8 bytes of its longer words, as hashes. A bounded sample of
    labelled rows shows which of them go with the label: the strongest become lexicon voters, more serve the classifier.
 2. Every document gets a bit mask of the voters that fire. Over the counts of all masks, expectation-maximisation
-   estimates each voter's firing rate in toxic and in clean documents, then how voters correlate within a class.
-   Known labels (training folds alone) hold their documents' class fixed.
-3. Each voter's evidence is divided by how much of it its correlated fellows repeat, which gives posterior labels.
+   estimates how often each voter fires in toxic and in clean documents. A class is a mixture of kinds, so voters may be
+   correlated within it. Known labels (training folds alone) hold their documents' class fixed.
+3. Voters that are still correlated inside the kinds share their evidence where they fire together. This gives
+   posterior labels.
 4. A logistic regression learns the posterior labels of a bounded sample of documents and scores every document.
 """
 
@@ -27,7 +28,8 @@ from tableprep.llm.common import written
 LABELLED_ROWS, TRAINING_ROWS = 8_000, 16_000
 FEATURES, LEXICONS = 3_000, 56
 PREFIXES = (4, 5, 6, 8)
-ROUNDS, FEWEST = 12, 5
+ROUNDS, FEWEST = 15, 5
+CLEAN_KINDS, TOXIC_KINDS = 2, 5
 
 _UPPER = np.zeros(256, np.int64)
 _UPPER[65:91] = 1
@@ -101,20 +103,41 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                                               pa.array(hot.astype(np.int64))], ["feature", "n", "hot"])
 
 
-def choose_features(labelled: DataFrame, rows: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes for the classifier, ascending; hashes of the lexicon voters) from (text, label) rows."""
+def choose_features(labelled: DataFrame, rows: int, hot: int) -> np.ndarray:
+    """Hashes, ascending, of the features that go with the label or against it, from (text, label) rows."""
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     counts = labelled.mapInArrow(_feature_counts, "feature long, n long, hot long").groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("hot").alias("hot")).where(F.col("n") >= FEWEST)
     share = hot / rows
     gap = F.col("hot") - F.col("n") * share
     strength = gap * gap / (F.col("n") * max(share * (1 - share), 1e-9))  # chi square of the feature and the label
-    best = counts.select("feature", "n", "hot", strength.alias("strength")).orderBy(F.desc("strength"), "feature").limit(FEATURES).toArrow()
-    values = best.column("feature").to_numpy().view(np.uint64)
-    n, k = best.column("n").to_numpy(), best.column("hot").to_numpy()
-    telling = (k + 0.5) / (n + 1) > max(0.5, 3 * share)
-    return np.sort(values), values[telling][:LEXICONS]
+    best = counts.select("feature", strength.alias("strength")).orderBy(F.desc("strength"), "feature").limit(FEATURES).toArrow()
+    return np.sort(best.column("feature").to_numpy().view(np.uint64))
+
+
+def choose_lexicon(hits: list[np.ndarray], label: np.ndarray, features: int) -> np.ndarray:
+    """Features that become voters, one after the other: each time the telling one that finds most toxic texts, where a
+    text counts half as much for every voter that has found it."""
+    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    column = np.concatenate(hits).astype(np.int64) if hits else np.zeros(0, np.int64)
+    n = np.bincount(column, minlength=features)
+    hot = np.bincount(column, weights=label[row], minlength=features)
+    share = label.mean() if len(label) else 0.0
+    telling = (n >= FEWEST) & ((hot + 0.5) / (n + 1) > max(0.5, 3 * share))
+    worth, chosen = label.astype(float), []
+    for _ in range(LEXICONS):
+        gain = np.where(telling, np.bincount(column, weights=worth[row], minlength=features) * hot / np.maximum(1, n), 0.0)
+        best = int(gain.argmax()) if features else 0
+        if not features or gain[best] < 0.5:
+            break
+        chosen.append(best)
+        found = np.zeros(len(hits), bool)
+        found[row[column == best]] = True
+        worth[found] /= 2
+        # what fires almost only where this voter does would repeat it
+        telling &= np.bincount(column, weights=found[row], minlength=features) < 0.9 * n
+    return np.array(chosen, np.int64)
 
 
 def _masks(lexicon: np.ndarray):
@@ -136,18 +159,26 @@ def _masks(lexicon: np.ndarray):
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Firing rates of the voters by class (clean, toxic), the share of toxic documents, the evidence that each voter
-    keeps after its correlations, and these correlations within a class."""
+    """A class is a mixture of kinds (clean kinds first), inside which voters fire on their own: voters that go together
+    in a class do so through its kinds. share: of each kind; rates: firing rate by kind and voter; correlation: what is
+    left of it between voters inside the kinds. Firing voters that are correlated share their evidence."""
 
+    share: np.ndarray
     rates: np.ndarray
-    balance: float
-    weight: np.ndarray
     correlation: np.ndarray
 
+    def kinds(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Chance of every kind for each row of votes; a known class leaves its own kinds alone."""
+        evidence = votes / np.maximum(1.0, votes @ self.correlation)
+        log = np.log(self.share) + evidence @ np.log(self.rates).T + (1 - votes) @ np.log(1 - self.rates).T
+        if known is not None:
+            toxic = np.arange(len(self.share)) >= CLEAN_KINDS
+            log = np.where((known[:, None] >= 0) & ((known[:, None] == 1) != toxic), -np.inf, log)
+        chance = np.exp(log - log.max(axis=1, keepdims=True))
+        return chance / chance.sum(axis=1, keepdims=True)
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        log = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        logit = np.log(self.balance / (1 - self.balance)) + votes @ (log[0] * self.weight) + (1 - votes) @ (log[1] * self.weight)
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        return self.kinds(votes)[:, CLEAN_KINDS:].sum(axis=1)
 
 
 def votes_of(mask: np.ndarray, voters: int) -> np.ndarray:
@@ -155,52 +186,60 @@ def votes_of(mask: np.ndarray, voters: int) -> np.ndarray:
 
 
 def _expected(model: LabelModel, voters: int, pairs: bool):
-    """Expected class counts and firings (and joint firings) of each batch of masks, as rows (i, j, clean, toxic)."""
+    """Expected counts, firings and, if wanted, joint firings of each kind, as rows (kind, i, j, n); voter 0 stands for
+    the kind itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, voters + 1, voters + 1))
+        sums = np.zeros((len(model.share), voters + 1, voters + 1))
         for batch in batches:
             votes = votes_of(batch.column(0).to_numpy(zero_copy_only=False), voters)
-            known = batch.column(1).to_numpy(zero_copy_only=False)
+            chance = model.kinds(votes, batch.column(1).to_numpy(zero_copy_only=False))
             n = batch.column(2).to_numpy(zero_copy_only=False)
-            hot = np.where(known >= 0, known, model.posterior(votes))
             full = np.concatenate((np.ones((len(votes), 1)), votes), axis=1)
-            for c, w in enumerate(((1 - hot) * n, hot * n)):
-                sums[c] += (full * w[:, None]).T @ full if pairs else np.outer(np.eye(voters + 1)[0], w @ full)
-        i, j = np.nonzero(sums.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(sums[0, i, j]), pa.array(sums[1, i, j])],
-                                         ["i", "j", "clean", "toxic"])
+            for c in range(len(model.share)):
+                w = chance[:, c] * n
+                if pairs:
+                    sums[c] += (full * w[:, None]).T @ full
+                else:
+                    sums[c, 0] += w @ full
+        c, i, j = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(i), pa.array(j), pa.array(sums[c, i, j])], ["kind", "i", "j", "n"])
     return run
 
 
-def fit_label_model(masks: DataFrame, voters: int, balance: float, rounds: int = ROUNDS) -> LabelModel:
-    """From counted masks (mask, known: 0, 1 or -1, n). The counts stay distributed; what comes back are sums over voters
-    and, once, over pairs of voters."""
+def fit_label_model(masks: DataFrame, first: np.ndarray, balance: float, rounds: int = ROUNDS) -> LabelModel:
+    """From counted masks (mask, known: 0, 1 or -1, n), by expectation-maximisation from a first guess of the firing rates
+    (clean, toxic). The counts stay distributed; what comes back are sums over kinds and voters and, once, over pairs of
+    voters."""
+    voters = first.shape[1]
+
     def sums(model: LabelModel, pairs: bool) -> np.ndarray:
-        rows = (masks.mapInArrow(_expected(model, voters, pairs), "i long, j long, clean double, toxic double")
-                .groupBy("i", "j").agg(F.sum("clean"), F.sum("toxic")).collect())
-        out = np.zeros((2, voters + 1, voters + 1))
-        for i, j, clean, toxic in rows:
-            out[:, i, j] = clean, toxic
+        rows = (masks.mapInArrow(_expected(model, voters, pairs), "kind long, i long, j long, n double")
+                .groupBy("kind", "i", "j").agg(F.sum("n")).collect())
+        out = np.zeros((CLEAN_KINDS + TOXIC_KINDS, voters + 1, voters + 1))
+        for c, i, j, n in rows:
+            out[c, i, j] = n
         return out
 
-    start = np.array([np.full(voters, 0.02), np.full(voters, 0.3)])
-    start[:, :len(PATTERNS)] = 0.05
-    model = LabelModel(start, balance, np.ones(voters), np.eye(voters))
+    kinds = CLEAN_KINDS + TOXIC_KINDS
+    share = np.repeat([(1 - balance) / CLEAN_KINDS, balance / TOXIC_KINDS], [CLEAN_KINDS, TOXIC_KINDS])
+    rates = np.repeat(first, [CLEAN_KINDS, TOXIC_KINDS], axis=0)
+    apart = np.random.default_rng(7).uniform(0.3, 2.0, (kinds, voters))  # kinds of a class must differ to part ways
+    model = LabelModel(share, np.clip(rates * apart, 1e-6, 0.99), np.eye(voters))
     for _ in range(rounds):
         found = sums(model, False)[:, 0]
-        rates = (found[:, 1:] + 0.5) / (found[:, :1] + 1)
-        share = (found[1, 0] + 1) / (found[:, 0].sum() + 2)
-        model = LabelModel(rates, float(share), model.weight, model.correlation)
+        model = LabelModel((found[:, 0] + 1) / (found[:, 0].sum() + kinds), (found[:, 1:] + 0.1) / (found[:, :1] + 1), model.correlation)
     both = sums(model, True)
     n = np.maximum(both[:, :1, :1], 1)
     mean = both[:, 0, 1:] / n[:, 0]
     covariance = both[:, 1:, 1:] / n - mean[:, :, None] * mean[:, None, :]
-    spread = np.sqrt(np.maximum(np.einsum("cii->ci", covariance), 1e-12))
-    within = (covariance / (spread[:, :, None] * spread[:, None, :]) * n).sum(axis=0) / n.sum()
-    toxic = covariance[1] / (spread[1][:, None] * spread[1][None, :])
-    correlation = np.clip(np.maximum(within, toxic), 0, 1)
+    spread = np.sqrt(np.maximum(np.einsum("cii->ci", covariance), 1e-9))
+    rest = covariance / (spread[:, :, None] * spread[:, None, :])
+    # a voter's dependence counts where it fires: kinds weigh by their joint firings
+    fired = both[:, 1:, 1:] + 1e-9
+    correlation = np.clip((rest * fired).sum(axis=0) / fired.sum(axis=0), 0, 1)
+    correlation[correlation < 0.2] = 0
     np.fill_diagonal(correlation, 1.0)
-    return LabelModel(model.rates, model.balance, 1 / correlation.sum(axis=1), correlation)
+    return LabelModel(model.share, model.rates, correlation)
 
 
 def _sampled(table: np.ndarray):
@@ -212,10 +251,15 @@ def _sampled(table: np.ndarray):
                 values.append(value)
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             hits = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hits], ["id", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), hits], [batch.schema.names[0], "hits"])
     return run
 
 
+def _lists(rows: pa.Table) -> list[np.ndarray]:
+    column = rows.column("hits").combine_chunks()
+    return np.split(column.values.to_numpy(), column.offsets.to_numpy()[1:-1]) if len(column) else []
+
+
 def fit_classifier(hits: list[np.ndarray], target: np.ndarray, features: int, rounds: int = 150, decay: float = 2e-5) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient steps; the last weight is the bias."""
     row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
@@ -246,14 +290,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = gold.orderBy(F.xxhash64("id"), "id").limit(LABELLED_ROWS)
     sample = written(docs.join(F.broadcast(sample), "id").select("text", "label"))  # LABELLED_ROWS ids at most
     rows, hot = sample.agg(F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    table, lexicon = choose_features(sample, rows, hot)
-    voters = len(PATTERNS) + len(lexicon)
+    table = choose_features(sample, rows, hot)
+    seen = sample.select("label", "text").mapInArrow(_sampled(table), "label long, hits array<int>").toArrow()
+    found, label = _lists(seen), seen.column("label").to_numpy()
+    chosen = choose_lexicon(found, label, len(table))
+    lexicon, voters = table[chosen], len(PATTERNS) + len(chosen)
+    owner = np.repeat(label, [len(h) for h in found])
+    column = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+    fired = np.array([np.bincount(column[owner == c], minlength=len(table))[chosen] for c in (0, 1)])
+    first = np.full((2, voters), 0.05)
+    first[:, len(PATTERNS):] = (fired + 0.1) / np.array([[rows - hot + 1], [hot + 1]])
 
     masks = docs.mapInArrow(_masks(lexicon), f"id {docs.schema['id'].dataType.simpleString()}, mask long")
     counted = written(masks.join(gold, "id", "left").groupBy("mask", F.coalesce("label", F.lit(-1)).alias("known")).agg(
         F.count(F.lit(1)).alias("n")))
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    label_model = fit_label_model(counted, voters, (hot + 1) / (rows + 2))
+    label_model = fit_label_model(counted, first, (hot + 1) / (rows + 2))
 
     each = max(1, -(-total // TRAINING_ROWS))
     part = docs.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(each)) == 0)
@@ -264,8 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = rows.column("known").to_numpy()
     target = label_model.posterior(votes_of(rows.column("mask").to_numpy(), voters))
     target = np.where(known >= 0, known, target)
-    hits = [np.asarray(h.values) for h in rows.column("hits").combine_chunks()] if len(rows) else []
-    return Model(table, fit_classifier(hits, target, len(table)))
+    return Model(table, fit_classifier(_lists(rows), target, len(table)))
 
 
 def _scores(column: pa.Array, model: Model) -> np.ndarray:
