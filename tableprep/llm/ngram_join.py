@@ -245,3 +245,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     own = features.select("id", "size", "d1", "d2").join(final, ["size", "d1", "d2"], "left")
     return own.select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, without those whose class has a smaller key; null keys stay."""
+    found = classes(df, key, text).where(F.col(key) != F.col("component_id"))
+    gone = written(found.select(F.col(key).alias("_gone")).distinct())
+    return df.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), df[key] == F.col("_gone"), "left_anti")

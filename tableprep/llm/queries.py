@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import chat, decontam, fingerprints, ngram_join, pii_crf, sharding, toxicity, url_reputation
+from tableprep.llm import chat, decontam, fingerprints, line_dedup, ngram_join, pieces, pii_crf, sharding, toxicity, url_reputation
 from tableprep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,9 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Vocabulary file of the SentencePiece operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 OP1_SQL = r"""
@@ -137,3 +140,15 @@ def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op6_fuzzy_lines")
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup(docs)
+
+
+@query("op8_suffix_array_pieces")
+def op8_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_table(docs, pieces.load(PIECES))
