@@ -79,7 +79,7 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Colum
             return None
         h = _place(p, sizes[c])
         low, high = found[c, math.floor(h)], found[c, math.ceil(h)]
-        return low + (high - low) * (h - math.floor(h))
+        return low if low == high else low + (high - low) * (h - math.floor(h))
 
     return {c: (sizes[c], [value(c, p) for p in probs]) for c in exprs}
 
@@ -124,10 +124,15 @@ def _bucket(x: Column, s: _Span) -> Column:
         squash = lambda v: math.copysign(math.log1p(abs(v)), v)
         if squash(high) - squash(low) > 1e-9 * max(1.0, abs(squash(high))):
             x, low, high = _squash(x), squash(low), squash(high)
-    # halves keep high - low finite over the whole double range
+    if math.isinf(low) or math.isinf(high):  # infinities get buckets of their own, the finite part is next
+        return F.when(x == -math.inf, 0).when(x == math.inf, 2).otherwise(1)
     if low == high:
         return F.lit(0)
-    part = (x / 2 - low / 2) / (high / 2 - low / 2)
+    # halves keep high - low finite over the whole double range
+    width = high / 2 - low / 2
+    if not width or not math.isfinite(1 / width):
+        return F.when(x == low, 0).when(x == high, 2).otherwise(1)
+    part = (x / 2 - low / 2) / width
     return F.greatest(F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
 
 
@@ -213,6 +218,6 @@ def quantile_grid(df: DataFrame, columns: Sequence[str] | Mapping[str, Column],
                 j += 1
             low = spans[j][2]
             high = low if math.ceil(h) < spans[j][1] else spans[j + 1][2]
-            grid.append(low + (high - low) * (h - math.floor(h)))
+            grid.append(low if low == high else low + (high - low) * (h - math.floor(h)))
         grids[name] = grid
     return grids

@@ -20,7 +20,6 @@ from tableprep.operators.models.common import accuracy
 from tableprep.operators.models.linear import logistic_regression
 from tableprep.operators.split import DEFAULT_SEED
 
-SCORED_COLUMNS = 100   # fixed value: columns that the scoring model sees
 SAMPLE_SHARE = 0.25    # fixed value: largest part of the rows that a sampled score uses
 SMALL_SAMPLE = (400, 100)  # fixed values: train and test rows
 LARGE_SAMPLE = (800, 200)  # fixed values
@@ -56,13 +55,14 @@ def sample_rows(df: DataFrame, roles: Roles, sizes: tuple[int, int] = SMALL_SAMP
 class ChainRunner:
     """Applies chains to one dataset and scores them. Results of chain starts are kept and shared.
 
-    `keep` is how many prepared frames stay persisted; 0 computes every frame from the input again.
+    `keep` is how many prepared frames stay persisted; 0 computes every frame from the input again. The predictor sees
+    all numeric columns unless `columns` limits them.
     """
 
     def __init__(self, df: DataFrame, roles: Roles = Roles(), predictor=logistic_regression, metric=accuracy,
-                 keep: int = 4, operators: Sequence[Callable] = OPERATORS):
+                 keep: int = 4, operators: Sequence[Callable] = OPERATORS, columns: int | None = None):
         self.df, self.roles, self.predictor, self.metric = df, roles, predictor, metric
-        self.keep, self.operators = keep, operators
+        self.keep, self.operators, self.columns = keep, operators, columns
         self._frames: OrderedDict[tuple, DataFrame] = OrderedDict()
         self._scores: dict[tuple, dict] = {}
         self._lock = Lock()
@@ -90,7 +90,7 @@ class ChainRunner:
 
     def predict(self, ops: Sequence[int]) -> DataFrame:
         frame = self.prepared(ops)
-        names = self.roles.numeric(frame)[:SCORED_COLUMNS]
+        names = self.roles.numeric(frame)[:self.columns]
         others = [c for c in frame.columns if c not in self.roles.features(frame)]
         return self.predictor(frame.select(*[col(c) for c in others + names]), self.roles)
 

@@ -23,8 +23,19 @@ def spread_list(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[x for c in df.columns for x in (items if c == name else [col(c)])])
 
 
-def _parse_date(x: Column) -> Column:
-    return F.try_to_timestamp(x)
+# Spellings of a date, in order of trust; None is Spark's own reading of ISO text.
+DATE_FORMATS = (None, *(f"{day}{time}" for day in ("M/d/yyyy", "M/d/yy", "M-d-yyyy", "M-d-yy", "yyyy/M/d", "yyyy年M月d日", "yy年M月d日")
+                        for time in ("", " H:mm:ss", " H:mm")))
+
+
+def read_date(x: Column, form: str | None) -> Column:
+    """Timestamp of a text in one spelling, null where it does not fit."""
+    return F.try_to_timestamp(x) if form is None else F.try_to_timestamp(x, F.lit(form))
+
+
+def any_date(x: Column) -> Column:
+    """Timestamp of a text in the first spelling that fits."""
+    return F.coalesce(*[read_date(x, form) for form in DATE_FORMATS])
 
 
 def date_parts(x: Column, name: str) -> list[Column]:
@@ -39,7 +50,8 @@ def date_parts(x: Column, name: str) -> list[Column]:
 
 
 def coerce(df: DataFrame, names: Sequence[str] | None = None, dates: bool = True) -> DataFrame:
-    """Turns a text column into doubles if every value is a number, else into date parts if every value is a date.
+    """Turns a text column into doubles if every value is a number, else into date parts if every value is a date in the
+    same spelling, the first of DATE_FORMATS that fits all.
 
     One aggregation tests all columns; one projection converts them. Date and timestamp columns become date parts.
     """
@@ -49,15 +61,16 @@ def coerce(df: DataFrame, names: Sequence[str] | None = None, dates: bool = True
     if texts:
         row = df.agg(*[
             F.struct(F.count_if(col(c).isNotNull() & col(c).try_cast("double").isNull()).alias("not_number"),
-                     F.count_if(col(c).isNotNull() & _parse_date(col(c)).isNull()).alias("not_date"),
+                     F.array(*[F.count_if(col(c).isNotNull() & read_date(col(c), form).isNull()) for form in DATE_FORMATS])
+                     .alias("not_date"),
                      F.count(col(c)).alias("n")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
         tests = dict(zip(texts, row))
     out: list[Column] = []
     for c in df.columns:
         if c in tests and tests[c]["n"] and tests[c]["not_number"] == 0:
             out.append(col(c).try_cast("double").alias(c))
-        elif dates and c in tests and tests[c]["n"] and tests[c]["not_date"] == 0:
-            out += date_parts(_parse_date(col(c)), c)
+        elif dates and c in tests and tests[c]["n"] and 0 in tests[c]["not_date"]:
+            out += date_parts(read_date(col(c), DATE_FORMATS[tests[c]["not_date"].index(0)]), c)
         elif dates and c in names and isinstance(dtype(df, c), (T.TimestampType, T.TimestampNTZType, T.DateType)):
             out += date_parts(col(c), c)
         else:

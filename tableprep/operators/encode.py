@@ -10,7 +10,6 @@ from tableprep.session import cut_lineage
 
 MISSING = "MISSING"   # fixed value: category of a missing cell
 UNKNOWN = "Unknown"   # fixed value: class of a category not seen in training
-MAX_ONE_HOT = 1_000   # widest set of 0/1 columns; wider ones are kept as one position column
 MAX_CASES = 64        # most categories that are coded by an expression instead of a join
 MAX_CATEGORICAL = 15  # fixed value: a table with more categorical columns is refused
 
@@ -32,18 +31,17 @@ def _categories(df: DataFrame, roles: Roles, names: list[str]) -> DataFrame:
     return cut_lineage(value_counts(roles.train(df), {c: _text(c) for c in names}).drop("n"))
 
 
-def one_hot_encoder(df: DataFrame, roles: Roles = Roles(), max_columns: int = MAX_ONE_HOT) -> DataFrame:
+def one_hot_encoder(df: DataFrame, roles: Roles = Roles(), sparse: bool = False) -> DataFrame:
     """Each categorical column becomes 0/1 columns `<column>_<value>` in sorted order; unseen values are all zero.
 
-    A column with more than `max_columns` categories gives one column `<column>_hot` instead: the position of its
-    single 1, or -1. That is the same encoding in sparse form.
+    `sparse` asks for the other form, whatever the number of categories: one column `<column>_hot` with the position of
+    the single 1, or -1. It is the one to ask for where categories are many; their list then stays on Spark.
     """
     names = roles.categorical(df)
     if not names:
         return df
     categories = _categories(df, roles, names)
-    sizes = {r["column"]: r["count"] for r in categories.groupBy("column").count().collect()}
-    narrow = [c for c in names if sizes.get(c, 0) <= max_columns]
+    narrow = [] if sparse else names
     values: dict[str, list[str]] = {c: [] for c in narrow}
     for r in categories.filter(F.col("column").isin(narrow)).orderBy("column", "value").collect():
         values[r["column"]].append(r["value"])

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tableprep.functions.columns import Roles, col, filled, number
 from tableprep.functions.moments import dot, gram
 
-MAX_WIDTH = 100  # fixed value: wider tables are left alone by polynomials and tree embedding
 
 
 def _others(df: DataFrame, roles: Roles) -> list[Column]:
@@ -19,10 +18,16 @@ def _others(df: DataFrame, roles: Roles) -> list[Column]:
     return [col(c) for c in df.columns if c not in numeric]
 
 
-def _products(df: DataFrame, roles: Roles, squares: bool) -> DataFrame:
+def _check_width(names: list[str], width: int | None) -> None:
+    if width is not None and len(names) > width:
+        raise ValueError(f"{len(names)} numeric columns, {width} allowed")
+
+
+def _products(df: DataFrame, roles: Roles, squares: bool, width: int | None) -> DataFrame:
     names = roles.numeric(df)
-    if len(names) > MAX_WIDTH or not names:
+    if not names:
         return df
+    _check_width(names, width)
     # missing numbers are filled once, then multiplied
     staged = df.select(*_others(df, roles), *[filled(df, c, 1.0).alias(c) for c in names])
     terms = [(col(a) * col(b)).alias(f"{a}*{b}") for i, a in enumerate(names)
@@ -30,14 +35,15 @@ def _products(df: DataFrame, roles: Roles, squares: bool) -> DataFrame:
     return staged.select("*", *terms)
 
 
-def polynomial_features(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Every number and every product of two, squares included, as `a*b` columns; missing numbers count as 1."""
-    return _products(df, roles, True)
+def polynomial_features(df: DataFrame, roles: Roles = Roles(), width: int | None = None) -> DataFrame:
+    """Every number and every product of two, squares included, as `a*b` columns; missing numbers count as 1. With a
+    `width`, a table of more numeric columns raises."""
+    return _products(df, roles, True, width)
 
 
-def interaction_features(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+def interaction_features(df: DataFrame, roles: Roles = Roles(), width: int | None = None) -> DataFrame:
     """Every number and every product of two different ones."""
-    return _products(df, roles, False)
+    return _products(df, roles, False, width)
 
 
 def accepts_pca(df: DataFrame, roles: Roles = Roles()) -> bool:
@@ -51,13 +57,13 @@ def _assembled(df: DataFrame, roles: Roles, names: list[str], output: str) -> Da
 
 
 def pca(df: DataFrame, roles: Roles = Roles(), components: int | None = None) -> DataFrame:
-    """Principal components `PC1..` of the centred numeric columns; unchanged if at most two columns are numeric.
+    """Principal components `PC1..` of the centred numeric columns (`accepts_pca` says when they are worth it).
 
     Spark ML aggregates the covariance over the partitions; its projection does not centre, so centring comes first.
     The largest loading of a component is made positive.
     """
     names = roles.numeric(df)
-    if len(names) <= 2:
+    if not names:
         return df
     rows = _assembled(df, roles, names, "_raw")
     center = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
@@ -98,7 +104,7 @@ def kernel_pca(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 def truncated_svd(df: DataFrame, roles: Roles = Roles(), components: int = 2) -> DataFrame:
     """Projection on the leading right singular vectors of the uncentred columns, as `SVD1..`."""
     names = roles.numeric(df)
-    if len(names) <= 2:
+    if not names:
         return df
     x = {c: filled(df, c) for c in names}
     axes = np.linalg.eigh(gram(roles.train(df), x))[1][:, ::-1][:, :components]
@@ -108,14 +114,15 @@ def truncated_svd(df: DataFrame, roles: Roles = Roles(), components: int = 2) ->
 
 
 def random_trees_embedding(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = 5, seed: int = 0,
-                           dense: bool = True) -> DataFrame:
+                           dense: bool = True, width: int | None = None) -> DataFrame:
     """One-hot leaf of each of many random trees, as `embed_0..` columns (or one array of active positions).
 
     Trees are grown on a random target with one candidate feature per split, so the cuts ignore the label.
     """
     names = roles.numeric(df)
-    if len(names) > MAX_WIDTH or not names:
+    if not names:
         return df
+    _check_width(names, width)
     rows = _assembled(df, roles, names, "_raw")
     target = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c) for c in names], F.lit(seed))), 1, 8), 16, 10)
     train = roles.train(rows).select("_raw", (target.cast("double") / 2.0 ** 32).alias("_y"))

@@ -101,14 +101,9 @@ def next_step_rules(counts: DataFrame, chain: Sequence[int], keep: int = RULES_P
 
 
 def rules_text(rules: DataFrame, names: Sequence[str]) -> str:
-    """The rules in words; a handful of rows at most."""
-    rows = rules.orderBy("size", F.desc("n"), "pattern").limit(RULES_PER_SIZE * len(NGRAMS)).collect()
-    if not rows:
-        return ""
-    lines = ["Frequent patterns that may improve the chain:"]
-    lines += [f"Rule {i}, used {r['n']} times: (" + ", ".join(f"{op} {names[op]}" for op in r["pattern"]) + ")"
-              for i, r in enumerate(rows, 1)]
-    return "\n".join(lines)
+    """The rules of `next_step_rules`, one line each: how often, then the operators in their order."""
+    rows = rules.orderBy("size", F.desc("n"), "pattern").collect()
+    return "\n".join(f"{r['n']}x  " + " > ".join(f"{names[op]} [{op}]" for op in r["pattern"]) for r in rows)
 
 
 def score_slopes(episodes: DataFrame, keys: Sequence[str], window: int = 10, block: int = ROWS_PER_BLOCK) -> DataFrame:

@@ -24,6 +24,7 @@ class Task:
     roles: Roles
     names: list[str]
     classes: list = field(default_factory=list)
+    rows: int = 0
 
     @property
     def x(self) -> list[Column]:
@@ -68,7 +69,7 @@ def _numbers(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
 
 def classification(df: DataFrame, roles: Roles) -> Task:
     """The label is turned into a class index; the driver holds the list of classes only."""
-    seen = roles.train(df).select(roles.label).dropna().distinct().limit(MAX_CLASSES + 1).collect()
+    seen = roles.train(df).select(roles.label).dropna().groupBy(roles.label).count().limit(MAX_CLASSES + 1).collect()
     classes = sorted(r[0] for r in seen)
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes: use a regressor")
@@ -77,7 +78,8 @@ def classification(df: DataFrame, roles: Roles) -> Task:
     rows, names = _numbers(df, roles)
     codes = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
     rows = rows.withColumn(TARGET, F.try_element_at(codes, col(roles.label)))
-    task = Task(rows.filter(F.col(TARGET).isNotNull() | (col(roles.split) != "train")), roles, names, classes)
+    task = Task(rows.filter(F.col(TARGET).isNotNull() | (col(roles.split) != "train")), roles, names, classes,
+                sum(r[1] for r in seen))
     return task
 
 

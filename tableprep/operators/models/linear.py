@@ -15,19 +15,21 @@ from tableprep.operators.models.common import (FEATURES, TARGET, Task, class_sum
 
 RIDGE_ALPHAS = (0.1, 1.0, 10.0)  # fixed values
 PARALLEL_FITS = 4
+STEP_ROWS = 64  # rows whose passive-aggressive steps are averaged into one
 
 
 def one_vs_rest(task: Task, classifier, rows: DataFrame | None = None) -> DataFrame:
     """Fits one binary model per class on Spark and predicts the test rows."""
-    train = task.vectors(task.train) if rows is None else rows
     if len(task.classes) == 1:
         return task.by_score([F.lit(0.0)])
+    # vectors are made once, for all classes and iterations
+    train = (task.vectors(task.train) if rows is None else rows).select(FEATURES, TARGET).persist()
     classifier = classifier.setFeaturesCol(FEATURES).setLabelCol(TARGET)
     if len(task.classes) == 2:
         model = classifier.fit(train)
     else:
-        model = OneVsRest(classifier=classifier, featuresCol=FEATURES, labelCol=TARGET,
-                          parallelism=PARALLEL_FITS).fit(train.select(FEATURES, TARGET))
+        model = OneVsRest(classifier=classifier, featuresCol=FEATURES, labelCol=TARGET, parallelism=PARALLEL_FITS).fit(train)
+    train.unpersist()
     scored = model.transform(task.vectors(task.test).drop(TARGET))
     return task.predicted(scored, task.class_of(F.col("prediction")))
 
@@ -38,7 +40,7 @@ def logistic_regression(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, m
     Spark minimises the mean loss, so strength 1 / (c * rows) stands for a penalty against the summed loss.
     """
     task = classification(df, roles)
-    n = max(task.train.count(), 1)
+    n = max(task.rows, 1)
     return one_vs_rest(task, LogisticRegression(regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
                                                 maxIter=max_iter))
 
@@ -53,7 +55,7 @@ def sgd_classifier(df: DataFrame, roles: Roles = Roles(), alpha: float = 1e-4, m
 def linear_svc(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, max_iter: int = 100) -> DataFrame:
     """Linear support vectors, one-vs-rest, with the plain hinge loss."""
     task = classification(df, roles)
-    n = max(task.train.count(), 1)
+    n = max(task.rows, 1)
     return one_vs_rest(task, LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter))
 
 
@@ -79,7 +81,7 @@ def kernel_svc(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, size: int
         return rows.withColumn(FEATURES, array_to_vector(waves(F.array(*task.x))))
 
     task.vectors = vectors
-    n = max(task.train.count(), 1)
+    n = max(task.rows, 1)
     return one_vs_rest(task, LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter))
 
 
@@ -130,7 +132,8 @@ def ridge_classifier_cv(df: DataFrame, roles: Roles = Roles(), alphas=RIDGE_ALPH
 def passive_aggressive(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, epochs: int = 5) -> DataFrame:
     """Passive-aggressive updates (PA-I, one-vs-rest) by iterative parameter mixing.
 
-    Every partition passes over its own rows from the shared weights; the weights are averaged, and so on.
+    An epoch starts everywhere from the shared weights. A task updates its own by one step per Arrow batch, the mean of its
+    rows' PA-I steps as matrix products; the tasks' weights are averaged, and so on.
     """
     task = classification(df, roles)
     k, names = len(task.classes), task.names
@@ -141,12 +144,12 @@ def passive_aggressive(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, ep
         def epoch(batches):
             w, n = start.copy(), 0
             for pdf in batches:
-                x = np.column_stack([pdf[names].to_numpy(), np.ones(len(pdf))])
-                y = np.where(np.arange(k) == pdf[TARGET].to_numpy()[:, None], 1.0, -1.0)
-                norms = (x ** 2).sum(axis=1)
-                for row, signs, norm in zip(x, y, norms):
-                    loss = np.maximum(0.0, 1 - signs * (w @ row))
-                    w += (np.minimum(c, loss / norm) * signs)[:, None] * row
+                every = np.column_stack([pdf[names].to_numpy(), np.ones(len(pdf))])
+                signs = np.where(np.arange(k) == pdf[TARGET].to_numpy()[:, None], 1.0, -1.0)
+                for x, y in zip(np.array_split(every, -(-len(every) // STEP_ROWS)), np.array_split(signs, -(-len(every) // STEP_ROWS))):
+                    loss = np.maximum(0.0, 1 - y * (x @ w.T))
+                    active = np.maximum(1, (loss > 0).sum(axis=0))  # rows that ask for a step, per class
+                    w += ((np.minimum(c, loss / (x ** 2).sum(axis=1)[:, None]) * y).T @ x) / active[:, None]
                 n += len(pdf)
             if n:
                 yield pd.DataFrame({"n": [n], "w": [w.ravel().tolist()]})

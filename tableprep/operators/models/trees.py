@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +17,8 @@ from tableprep.functions.columns import Roles
 from tableprep.operators.models.common import FEATURES, TARGET, Task, argmax, classification, regression
 from tableprep.operators.models.linear import one_vs_rest
 
-DEEP = 30  # the deepest tree Spark grows; stands for an unlimited one
+DEEP = 30     # the deepest tree Spark grows; stands for an unlimited one
+BUCKETS = 64  # places where a stump may cut a column, plus 1
 
 
 def _seeded(classifier):
@@ -70,73 +73,144 @@ def tree_expression(model, x: list[Column], value=lambda node: float(node.predic
     return walk(model._call_java("rootNode"))
 
 
-def _vote(task: Task, votes: list[tuple[Column, float]]) -> DataFrame:
-    """Weighted vote of class predictions; ties go to the first class."""
-    scores = []
-    for i in range(len(task.classes)):
-        score = F.lit(0.0)
-        for prediction, weight in votes:
-            score = score + F.when(prediction == float(i), F.lit(float(weight))).otherwise(0.0)
-        scores.append(score)
-    return task.by_score(scores)
-
-
 def _class_sizes(rows: DataFrame) -> dict[float, int]:
     return {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
 
 
-def _undersample(task: Task, rows: DataFrame, sizes: dict[float, int], seed: int) -> DataFrame:
-    """About as many rows of every class as the rarest one has.
-
-    A hash of the row decides, so the sample does not change when a partition is computed again.
+@dataclass
+class Stump:
+    """Predicts `left` where the column is at most `cut`, else `right`; counts `weight` in a vote."""
+
+    column: int
+    place: int
+    cut: float
+    left: int
+    right: int
+    weight: float
+
+
+def _predictions(stumps: list[Stump], below) -> np.ndarray:
+    """Predicted class of every row by every stump; `below(stump)` tells which rows go left."""
+    return np.array([np.where(below(s), s.left, s.right) for s in stumps])
+
+
+def _best_stump(sample: np.ndarray, whole: np.ndarray, edges: list[np.ndarray]) -> tuple[Stump, float] | None:
+    """The stump of least Gini impurity on (column, bucket, class) weights, and its error on the whole weights."""
+    best, found = math.inf, None
+    for j, cuts in enumerate(edges):
+        left = sample[j].cumsum(axis=0)[:len(cuts)]
+        sides = left, sample[j].sum(axis=0) - left
+        mass = [side.sum(axis=1) for side in sides]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            impurity = sum(np.where(m > 0, m - (side ** 2).sum(axis=1) / m, 0.0) for m, side in zip(mass, sides))
+        impurity = np.where((mass[0] > 0) & (mass[1] > 0), impurity, math.inf)
+        c = int(impurity.argmin()) if len(cuts) else 0
+        if len(cuts) and impurity[c] < best:
+            best = impurity[c]
+            found = Stump(j, c, float(cuts[c]), int(sides[0][c].argmax()), int(sides[1][c].argmax()), 1.0)
+    if found is None:
+        return None
+    kept = whole[found.column]
+    right = kept[:found.place + 1, found.left].sum() + kept[found.place + 1:, found.right].sum()
+    return found, float(1 - right / kept.sum())
+
+
+def boost(task: Task, rounds: int, seed: int, subsets: int = 1, balanced: bool = False, fresh: bool = False) -> list[list[Stump]]:
+    """SAMME boosting of stumps, for several ensembles side by side.
+
+    Columns are cut at quantiles once and rows keep bucket numbers alone. A round is one job: every task adds up the
+    weights by column, bucket and class for all ensembles (the weight of a row follows from the stumps so far), and the
+    driver reads these sums. `balanced` gives each ensemble its own class-balanced sample, `fresh` a new one each round;
+    a hash of the row decides, so a partition that is computed again gives the same rows.
     """
-    least = min(sizes.values())
-    share = F.lit(0.0)
-    for c, n in sizes.items():
-        share = F.when(F.col(TARGET) == c, least / n).otherwise(share)
-    return rows.filter(F.pmod(F.xxhash64(*task.x, F.lit(seed)), F.lit(1_000_000)) / 1_000_000 < share)
-
-
-def balanced(task: Task, seed: int) -> DataFrame:
-    """Train rows with every class sampled down to the size of the rarest one."""
-    return _undersample(task, task.train, _class_sizes(task.train), seed)
-
-
-def boost(task: Task, rounds: int, seed: int, rows: DataFrame | None = None,
-          undersample: bool = False) -> list[tuple[Column, float]]:
-    """SAMME boosting of stumps, as (prediction, weight) pairs.
-
-    A row's weight is a function of the stumps so far, so it is an expression over the input columns; nothing is carried
-    from round to round but the stumps themselves. Each round is one tree fit and one aggregation of the error.
-    """
-    k = len(task.classes)
-    base = task.vectors(task.train if rows is None else rows).select(*task.x, FEATURES, TARGET).persist()
-    votes: list[tuple[Column, float]] = []
-    sizes: dict[float, int] = {}
+    k, d = len(task.classes), len(task.names)
+    train = task.train
+    found = train.approxQuantile(task.names, [i / BUCKETS for i in range(1, BUCKETS)], 0.001) if d else []
+    edges = [np.unique(np.array(e, dtype=float)) for e in found]
+    sizes = _class_sizes(train) if balanced or fresh else {}
+    share = np.array([min(sizes.values()) / sizes[float(c)] if sizes.get(float(c)) else 1.0 for c in range(k)]) if sizes else np.ones(k)
+
+    def buckets(batches):
+        for pdf in batches:
+            cells = [np.searchsorted(e, pdf[f"x{j}"].to_numpy(), "left") for j, e in enumerate(edges)]
+            yield pd.DataFrame({**{f"b{j}": c.astype(np.int16) for j, c in enumerate(cells)},
+                                "y": pdf["y"].astype(np.int32), "h": pdf["h"]})
+
+    base = train.select(*[x.alias(f"x{j}") for j, x in enumerate(task.x)], F.col(TARGET).alias("y"),
+                        F.xxhash64(*task.x, F.lit(seed)).alias("h")).mapInPandas(
+        buckets, ", ".join([*[f"b{j} short" for j in range(d)], "y int", "h long"])).persist()
+    ensembles: list[list[Stump]] = [[] for _ in range(subsets)]
+    going = set(range(subsets if d else 0))
     try:
         for i in range(rounds):
-            weight = F.lit(0.0)
-            for prediction, alpha in votes:
-                weight = weight + F.when(prediction != F.col(TARGET), F.lit(alpha)).otherwise(0.0)
-            weighted = base.withColumn("_w", F.exp(weight))
-            sample = weighted
-            if undersample:
-                sizes = sizes or _class_sizes(base)
-                sample = _undersample(task, weighted, sizes, seed + i)
-            stump = _seeded(DecisionTreeClassifier(maxDepth=1, weightCol="_w", seed=seed + i)).fit(sample)
-            prediction = tree_expression(stump, task.x)
-            wrong, total = weighted.agg(F.sum(F.when(prediction != F.col(TARGET), F.col("_w")).otherwise(0.0)),
-                                        F.sum("_w")).first()
-            error = wrong / total
-            if error <= 0:
-                return [(prediction, 1.0)] if not votes else [*votes, (prediction, 1.0)]
-            alpha = math.log((1 - error) / error) + math.log(k - 1) if error < 1 and k > 1 else 0.0
-            if alpha <= 0:
-                return votes or [(prediction, 1.0)]
-            votes.append((prediction, alpha))
+            if not going:
+                break
+            part = base.mapInPandas(_weigher(ensembles, sorted(going), i, k, d, share, balanced, fresh), "e int, w int, c int, v double")
+            sums = np.zeros((subsets, 2, d, BUCKETS, k))
+            for e, w, c, v in part.groupBy("e", "w", "c").agg(F.sum("v")).collect():
+                sums[e, w].reshape(-1)[c] = v
+            for e in sorted(going):
+                best = _best_stump(sums[e, 1], sums[e, 0], edges)
+                stump, error = best if best else (None, 1.0)
+                if stump is None or (error > 0 and (1 - error) * (k - 1) <= error):
+                    if stump is not None and not ensembles[e]:
+                        ensembles[e].append(stump)
+                    going.discard(e)
+                    continue
+                if error > 0:
+                    stump.weight = math.log((1 - error) / error) + math.log(k - 1)
+                else:
+                    going.discard(e)
+                ensembles[e].append(stump)
     finally:
         base.unpersist()
-    return votes
+    return ensembles
+
+
+def _weigher(ensembles, going, turn, k, d, share, balanced, fresh):
+    def run(batches):
+        sums = np.zeros((len(going), 2, d, BUCKETS, k))
+        for pdf in batches:
+            y, h = pdf["y"].to_numpy(), pdf["h"].to_numpy().view(np.uint64)
+            cells = [pdf[f"b{j}"].to_numpy().astype(np.int64) for j in range(d)]
+            for at, e in enumerate(going):
+                weight = np.ones(len(y))
+                if ensembles[e]:
+                    wrong = _predictions(ensembles[e], lambda s: cells[s.column] <= s.place) != y
+                    weight = np.exp(np.array([s.weight for s in ensembles[e]]) @ wrong)
+                salt = np.uint64((e if balanced else 0) * 1_000 + (turn if fresh else 0) + 1)
+                mixed = (h ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                drawn = (mixed >> np.uint64(11)) / float(1 << 53) < share[y]
+                whole = drawn if balanced else np.ones(len(y), bool)  # its own sample is all that an ensemble sees
+                for w, rows in enumerate((whole, drawn)):
+                    for j in range(d):
+                        sums[at, w, j] += np.bincount(cells[j][rows] * k + y[rows], weights=weight[rows],
+                                                      minlength=BUCKETS * k).reshape(BUCKETS, k)
+        flat = sums.reshape(len(going), 2, -1)
+        e, w, c = np.nonzero(flat)
+        yield pd.DataFrame({"e": np.array(going)[e], "w": w, "c": c, "v": flat[e, w, c]})
+    return run
+
+
+def _vote(task: Task, ensembles: list[list[Stump]]) -> DataFrame:
+    """Weighted vote of the stumps of each ensemble, then one vote each; ties go to the first class."""
+    k = len(task.classes)
+
+    @F.pandas_udf("int")
+    def winner(*columns: pd.Series) -> pd.Series:
+        x = [c.to_numpy() for c in columns]
+        rows = np.arange(len(x[0]))
+        total = np.zeros((len(rows), k))
+        for stumps in ensembles:
+            votes = np.zeros((len(rows), k))
+            for s in stumps:
+                votes[rows, np.where(x[s.column] <= s.cut, s.left, s.right)] += s.weight
+            total[rows, votes.argmax(axis=1)] += 1
+            if len(ensembles) == 1:
+                total = votes
+        return pd.Series(total.argmax(axis=1).astype(np.int32))
+
+    return task.predicted(task.test, task.class_of(winner(*task.x) if task.names else F.lit(0)))
 
 
 def ada_boost(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, seed: int = 0) -> DataFrame:
@@ -147,23 +221,13 @@ def ada_boost(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, seed: int
 def rus_boost(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, seed: int = 0) -> DataFrame:
     """Boosting with a fresh class-balanced sample in every round."""
     task = classification(df, roles)
-    return _vote(task, boost(task, rounds, seed, undersample=True))
+    return _vote(task, boost(task, rounds, seed, fresh=True))
 
 
 def easy_ensemble(df: DataFrame, roles: Roles = Roles(), subsets: int = 10, rounds: int = 50, seed: int = 0):
     """Boosting on several class-balanced samples, each with one vote."""
     task = classification(df, roles)
-    members = []
-    for i in range(subsets):
-        votes = boost(task, rounds, seed + i, balanced(task, seed + i))
-        scores = []
-        for c in range(len(task.classes)):
-            score = F.lit(0.0)
-            for prediction, alpha in votes:
-                score = score + F.when(prediction == float(c), F.lit(alpha)).otherwise(0.0)
-            scores.append(score)
-        members.append((argmax(scores).cast("double"), 1.0))
-    return _vote(task, members)
+    return _vote(task, boost(task, rounds, seed, subsets, balanced=True))
 
 
 def _vote_models(task: Task, rows: DataFrame, models: list) -> DataFrame:
@@ -177,30 +241,33 @@ def _vote_models(task: Task, rows: DataFrame, models: list) -> DataFrame:
 
 
 def balanced_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0):
-    """Every tree is grown on its own class-balanced sample."""
+    """A forest whose bootstrap samples hold as much of every class as of the rarest one: rows carry the weight that
+    balances their class. One fit for all trees."""
     task = classification(df, roles)
-    train = task.vectors(task.train).select(*task.x, FEATURES, TARGET).persist()
-    sizes = _class_sizes(train)
-    models = [_seeded(RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False,
-                                             featureSubsetStrategy="sqrt"))
-              .fit(_undersample(task, train, sizes, seed + i)) for i in range(trees)]
-    train.unpersist()
-    return _vote_models(task, task.vectors(task.test).drop(TARGET), models)
+    sizes = _class_sizes(task.train)
+    least, weight = min(sizes.values()), F.lit(0.0)
+    for c, n in sizes.items():
+        weight = F.when(F.col(TARGET) == c, least / n).otherwise(weight)
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=True, weightCol="_w",
+                                    featureSubsetStrategy="sqrt")
+    model = _seeded(forest).fit(task.vectors(task.train).select(FEATURES, TARGET, weight.alias("_w")))
+    return task.predicted(model.transform(task.vectors(task.test).drop(TARGET)), task.class_of(F.col("prediction")))
 
 
 def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0,
-                cuts: int = 31) -> DataFrame:
+                cuts: int = 31, groups: int = 10) -> DataFrame:
     """Trees that may only split at random points, on all rows.
 
-    For each tree every column gets random cut points between its least and largest value; the tree sees the number of
-    the interval alone.
+    For each group of trees every column gets random cut points between its least and largest value; a tree sees the
+    number of the interval alone. A group is one forest fit.
     """
     task = classification(df, roles)
     train = task.train.select(*task.x, TARGET).persist()
     ends = train.agg(F.array(*[F.min(x) for x in task.x]), F.array(*[F.max(x) for x in task.x])).first()
     rng = np.random.default_rng(seed)
     test, models = task.test.drop(TARGET), []
-    for i in range(trees):
+    groups = min(groups, trees)
+    for i in range(groups):
         splits = [[-math.inf, *sorted({float(v) for v in rng.uniform(low, high, cuts)}), math.inf]
                   for low, high in zip(*ends)]
         bins = Bucketizer(splitsArray=splits, inputCols=task.names, outputCols=[f"_b{j}" for j in range(len(splits))])
@@ -209,9 +276,10 @@ def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth:
         def vectors(rows: DataFrame) -> DataFrame:
             return pack.transform(bins.transform(rows)).drop(*bins.getOutputCols())
 
-        tree = RandomForestClassifier(numTrees=1, maxDepth=depth, seed=seed + i, bootstrap=False, labelCol=TARGET,
-                                      featuresCol=f"_f{i}", featureSubsetStrategy="sqrt", maxBins=cuts + 1)
-        models.append(tree.fit(vectors(train).select(f"_f{i}", TARGET)))
+        forest = RandomForestClassifier(numTrees=trees // groups + (i < trees % groups), maxDepth=depth, seed=seed + i,
+                                        bootstrap=False, labelCol=TARGET, featuresCol=f"_f{i}",
+                                        featureSubsetStrategy="sqrt", maxBins=cuts + 1)
+        models.append(forest.fit(vectors(train).select(f"_f{i}", TARGET)))
         test = vectors(test)
     train.unpersist()
     return _vote_models(task, test, models)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tableprep.functions.columns import (col, dtype, filled, is_missing, number, numeric_columns, string_columns)
 from tableprep.functions.nearest import neighbours_within
 from tableprep.functions.quantiles import counted_quantiles, exact_quantiles, value_ranges
+from tableprep.operators.cleanup import any_date
 from tableprep.operators.guards import is_not_a_number
 from tableprep.session import cut_lineage
 
@@ -85,7 +86,8 @@ def date_columns(df: DataFrame, share: float = 0.9) -> list[str]:
 def timeliness(df: DataFrame, now: datetime.datetime | None = None) -> tuple[float, int]:
     """(score, number of values older than three days).
 
-    A value loses one point for each full day beyond three, 97 at most; date columns are averaged.
+    A value loses one point for each full day beyond three, 97 at most; date columns are averaged. Missing values, and
+    texts in none of the known spellings, neither score nor count as old.
     """
     names = date_columns(df)
     if not names:
@@ -93,10 +95,11 @@ def timeliness(df: DataFrame, now: datetime.datetime | None = None) -> tuple[flo
     now_micros = F.unix_micros(F.lit(now.isoformat(sep=" ")).cast("timestamp") if now else F.current_timestamp())
 
     def days(c: str) -> Column:
-        ts = F.try_to_timestamp(col(c)) if c in string_columns(df) else col(c).cast("timestamp")
+        ts = any_date(col(c)) if c in string_columns(df) else col(c).cast("timestamp")
         return F.floor((now_micros - F.unix_micros(ts)) / 86_400_000_000)
 
-    lost = [F.least(F.greatest(days(c) - FREE_DAYS, F.lit(0)), F.lit(MOST_DAYS)) for c in names]
+    # least and greatest pass over a null; a date that is missing or unreadable must not score at all
+    lost = [F.when(days(c).isNotNull(), F.least(F.greatest(days(c) - FREE_DAYS, F.lit(0)), F.lit(MOST_DAYS))) for c in names]
     row = df.agg(_total([F.count_if(days(c) > FREE_DAYS) for c in names]),
                  *[F.avg(100 - x).alias(f"c{i}") for i, x in enumerate(lost)]).first()
     scores = [s for s in row[1:] if s is not None]
@@ -114,8 +117,7 @@ def iqr_outliers(df: DataFrame, gap: float = 1.5, independent: bool = False) ->
     x = {c: filled(df, c) for c in numeric_columns(df)}
 
     def outside(c: str, q: list[float]) -> Column:
-        low, high = round(q[0] - gap * (q[1] - q[0]), 9), round(q[1] + gap * (q[1] - q[0]), 9)
-        return (F.round(x[c], 9) < low) | (F.round(x[c], 9) > high)
+        return (x[c] < q[0] - gap * (q[1] - q[0])) | (x[c] > q[1] + gap * (q[1] - q[0]))
 
     if independent:
         bounds = exact_quantiles(df, x, [0.25, 0.75])
@@ -166,20 +168,27 @@ def kmeans_outliers(df: DataFrame, seed: int = 0) -> int:
         values = left.select(x.alias("x")).dropna()
         if values.isEmpty():
             continue
-        rows = VectorAssembler(inputCols=["x"], outputCol="vec").transform(values)
+        rows = VectorAssembler(inputCols=["x"], outputCol="vec").transform(values).persist()
         centers = [float(m[0]) for m in KMeans(k=2, seed=seed, featuresCol="vec").fit(rows).clusterCenters()]
+        rows.unpersist()
         distance = F.least(*[F.abs(F.col("x") - m) for m in (centers * 2)[:max(2, len(centers))]])
         edge = exact_quantiles(values, {"d": distance}, [0.95])["d"][0]
-        count += values.filter(F.round(distance, 9) > round(edge, 9)).count()
+        count += values.filter(distance > edge).count()
     return count
 
 
-def text_vectors(df: DataFrame, name: str, size: int = 32, seed: int = 0) -> DataFrame:
-    """Mean word vector of each text, from a Word2Vec model fitted on the same column, as (id, vec)."""
+def text_vectors(df: DataFrame, name: str, size: int = 32, seed: int = 0, min_count: int = 1) -> DataFrame:
+    """Mean word vector of each text, from a Word2Vec model fitted on the same column, as (id, vec).
+
+    The model keeps a vector for every word seen at least `min_count` times; raise it where words are many.
+    """
     rows = Tokenizer(inputCol="_text", outputCol="_words").transform(
         df.select(F.monotonically_increasing_id().alias("id"), F.coalesce(col(name).cast("string"), F.lit(""))
                   .alias("_text")))
-    model = Word2Vec(vectorSize=size, minCount=1, seed=seed, inputCol="_words", outputCol="_vec").fit(rows)
+    rows = rows.persist()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=cores, inputCol="_words",
+                     outputCol="_vec").fit(rows)
     return model.transform(rows).select("id", vector_to_array("_vec").alias("vec"))
 
 

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tableprep.functions.columns import Roles, filled, replace_columns
 from tableprep.functions.quantiles import exact_quantiles, quantile_grid
 
-LAMBDA_RANGE = (-4.0, 4.0)
-LAMBDA_POINTS = 17
-LAMBDA_PASSES = 5
+LAMBDA_REACH, LAMBDA_POINTS = 4.0, 17  # the first search is -4..4
+LAMBDA_STEP, LAMBDA_MOST = 1e-4, 1e6   # relative step that ends it, and where a likelihood that only rises is left
 NEAR_EQUAL = 1e-8  # fixed value: closer bin edges are merged
 
 
@@ -127,35 +126,48 @@ def _power_moments(df: DataFrame, x: dict[str, Column], lams: list[list[float]])
 
     rows = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x.values())])
     parts = rows.mapInPandas(partial, "c int, lam double, n long, mean double, spread double")
+    # spreads around the parts' means, and of these means around the common one: no difference of large squares
+    same = Window.partitionBy("c", "lam")
+    parts = parts.withColumn("whole", F.sum(F.col("n") * F.col("mean")).over(same) / F.sum("n").over(same))
     merged = parts.groupBy("c", "lam").agg(
-        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"),
-        (F.sum("spread") / F.sum("n") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) / F.sum("n")
-         - F.pow(F.sum(F.col("n") * F.col("mean")) / F.sum("n"), F.lit(2))).alias("var"))
+        F.sum("n").alias("n"), F.first("whole").alias("mean"),
+        (F.sum(F.col("spread") + F.col("n") * F.pow(F.col("mean") - F.col("whole"), F.lit(2))) / F.sum("n")).alias("var"))
     return {(r["c"], r["lam"]): (r["n"], r["mean"], r["var"]) for r in merged.collect()}
 
 
 def fit_power(df: DataFrame, x: dict[str, Column]) -> dict[str, tuple[float, float, float]]:
     """Per column the lambda of highest likelihood, then mean and population deviation of the transformed values.
 
-    Every pass scores a few lambdas of all columns in one scan and narrows to the neighbours of the best one.
+    Every pass scores a few lambdas of all columns in one scan. The next one narrows to the neighbours of the best lambda,
+    or widens the search where the best one lies at the rim, until it lies inside for every column.
     """
     if not x:
         return {}
     sums = df.agg(*[F.sum(F.signum(v) * F.log1p(F.abs(v))).alias(f"c{i}") for i, v in enumerate(x.values())]).first()
-    step = (LAMBDA_RANGE[1] - LAMBDA_RANGE[0]) / (LAMBDA_POINTS - 1)
-    low = [LAMBDA_RANGE[0]] * len(x)
+    half = (LAMBDA_POINTS - 1) // 2
+    grid = [(0.0, LAMBDA_REACH / half)] * len(x)  # centre and step
     best: dict[int, tuple] = {}
-    for _ in range(LAMBDA_PASSES):
+    open_ = set(range(len(x)))
+    while open_:
+        tried = [[centre + step * i for i in range(-half, half + 1)] if c in open_ else [] for c, (centre, step) in enumerate(grid)]
         scored: dict[int, list] = {}
-        tried = [[start + step * i for i in range(LAMBDA_POINTS)] for start in low]
         for (c, lam), (n, mean, var) in _power_moments(df, x, tried).items():
             if var > 0 and np.isfinite(var):
                 scored.setdefault(c, []).append((-n / 2 * np.log(var) + (lam - 1) * sums[c], lam, mean, np.sqrt(var)))
-        for c, found in scored.items():
-            best[c] = max(found)[1:]
-            low[c] = best[c][0] - step
-        step = 2 * step / (LAMBDA_POINTS - 1)
-    return {c: tuple(map(float, best[i])) for i, c in enumerate(x) if i in best}
+        for c in list(open_):
+            if c not in scored:
+                open_.discard(c)
+                continue
+            best[c] = max([*scored[c], *([best[c]] if c in best else [])])
+            (centre, step), lam = grid[c], best[c][1]
+            known = sorted(s[1] for s in scored[c])
+            if lam in (known[0], known[-1]) and abs(lam) < LAMBDA_MOST and lam in (tried[c][0], tried[c][-1]):
+                grid[c] = (lam, 2 * step)
+            else:
+                grid[c] = (lam, step / half)
+            if grid[c][1] < LAMBDA_STEP * max(1.0, abs(lam)):
+                open_.discard(c)
+    return {c: tuple(map(float, best[i][1:])) for i, c in enumerate(x) if i in best}
 
 
 def power_transformer(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -198,6 +210,6 @@ def quantile_bins(df: DataFrame, roles: Roles = Roles(), bins: int = 5) -> DataF
                 kept.append(e)
         code = F.lit(0.0)
         for i, edge in enumerate(kept[1:-1], start=1):
-            code = F.when(F.round(v, 9) >= F.lit(round(edge, 9)), F.lit(float(i))).otherwise(code)
+            code = F.when(v >= F.lit(edge), F.lit(float(i))).otherwise(code)
         new[c] = code
     return replace_columns(df, new)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tableprep.functions.columns import Roles, categorical_columns, col, numeric_columns
 from tableprep.functions.counts import dense_codes, lookup
-from tableprep.functions.quantiles import exact_quantiles
+from tableprep.session import cut_lineage
 from tableprep.sources.readers import union_by_name
 
 DEFAULT_SEED = 42
@@ -33,15 +33,25 @@ def random_split(df: DataFrame, keys: Sequence[str], seed: int = DEFAULT_SEED) -
 
 
 def tail_split(df: DataFrame, order: str, train_percent: int = 80, name: str = "split") -> DataFrame:
-    """Unshuffled split: the last rows in the order of a unique column are test rows."""
+    """Unshuffled split: the last rows in the order of a unique column (number, date or text) are test rows."""
     n = df.count()
     test_rows = -(-n * (100 - train_percent) // 100)
     if not n:
         return df.withColumn(name, F.lit("train"))
     if test_rows == n:
         return df.withColumn(name, F.lit("test"))
-    edge = exact_quantiles(df, [order], [(n - test_rows - 1) / max(n - 1, 1)])[order][0]
-    return df.withColumn(name, F.when(col(order).cast("double") <= F.lit(edge), "train").otherwise("test"))
+    # the key's own type decides: sorted in ranges, and only the range that holds the edge is numbered
+    keys = cut_lineage(df.select(col(order).alias("k")).repartitionByRange("k").withColumn("part", F.spark_partition_id()))
+    before = 0
+    for part, rows in sorted(keys.groupBy("part").count().collect()):
+        if before + rows >= n - test_rows:
+            break
+        before += rows
+    place = Window.orderBy("k")  # one range
+    edge = keys.filter(F.col("part") == part).select("k", F.row_number().over(place).alias("n")).filter(
+        F.col("n") == n - test_rows - before).select("k").scalar()
+    first = F.coalesce(col(order) <= edge, col(order).isNull())  # missing keys sort first
+    return df.withColumn(name, F.when(first, "train").otherwise("test"))
 
 
 def check_single_target(names: Sequence[str], target: str) -> None:

@@ -43,18 +43,29 @@ def b4(spark, sf):
                    lineitem=impute.needs_imputation(table(spark, sf, "lineitem")))
 
 
-@query("b5_needs_encoding", f"WITH {PREP} SELECT count(flag) > 0 AS needed, count(*) > 0 AS accepted FROM prep")
+@query("b5_needs_encoding", f"""WITH {PREP} SELECT count(flag) > 0 AS needed, count(*) > 0 AS accepted, false AS needed_after,
+  count(flag) AS cells, sum(CASE WHEN flag IN (SELECT flag FROM prep WHERE split = 'train') THEN 0 ELSE 1 END)::BIGINT AS others
+  FROM prep""")
 def b5(spark, sf):
+    """Before and after encoding, with the cells to encode and those that are missing or unknown to the train rows."""
     rows = prep(spark, sf)
-    return one_row(spark, needed=encode.needs_encoding(rows, ROLES), accepted=encode.accepts_encoding(rows, ROLES))
+    after = encode.one_hot_encoder(rows.withColumn("flag", F.coalesce("flag", F.lit("?"))), ROLES)
+    hot = sum(F.col(c) for c in after.columns if c.startswith("flag_") and c != "flag_?")
+    counts = rows.agg(F.count("flag").alias("cells")).first()
+    return after.agg(F.lit(encode.needs_encoding(rows, ROLES)).alias("needed"), F.lit(encode.accepts_encoding(rows, ROLES)).alias("accepted"),
+                     F.lit(encode.needs_encoding(after, ROLES)).alias("needed_after"), F.lit(counts["cells"]).cast("long").alias("cells"),
+                     F.count_if(hot == 0).alias("others"))
 
 
-@query("b6_width_guards", f"""WITH {PREP} SELECT true AS four_numbers, false AS two_numbers, count(*) AS n FROM prep""")
+@query("b6_width_guards", f"""WITH {PREP} SELECT count(*) FILTER (split = 'train') AS four_numbers, 0::BIGINT AS two_numbers FROM prep""")
 def b6(spark, sf):
+    """Train rows that components are made of, with four numbers and with two."""
     rows = prep(spark, sf)
-    return rows.agg(F.lit(features.accepts_pca(rows, ROLES)).alias("four_numbers"),
-                    F.lit(features.accepts_pca(rows.drop("quantity", "tax"), ROLES)).alias("two_numbers"),
-                    F.count("*").alias("n"))
+    sizes = []
+    for df in (rows, rows.drop("quantity", "tax")):
+        made = features.pca_two(df, ROLES) if features.accepts_pca(df, ROLES) else df.limit(0).withColumn("PC1", F.lit(0.0))
+        sizes.append(ROLES.train(made).filter("PC1 is not null").count())
+    return one_row(spark, four_numbers=sizes[0], two_numbers=sizes[1])
 
 
 @query("b7_clean_numbers", f"""WITH {GAPS} SELECT cast(part AS DOUBLE) AS part, coalesce(quantity, 0.0) AS quantity, price,

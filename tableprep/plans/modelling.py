@@ -50,23 +50,23 @@ def _classifier(name: str, model, floor: float, scaled: bool = False, label: str
 
 RARE = "CASE WHEN l_extendedprice > 95000 THEN 'rare' ELSE 'common' END"
 
-_classifier("h1_random_forest", trees.random_forest, 0.95, trees=10, depth=8)
-_classifier("h2_ada_boost", trees.ada_boost, 0.6, rounds=5)
-_classifier("h3_bagging", trees.bagging, 0.95, trees=5, depth=8)
-_classifier("h5_decision_tree", trees.decision_tree, 0.95, depth=8)
-_classifier("h6_extra_trees", trees.extra_trees, 0.9, trees=5, depth=8)
-_classifier("h8_gradient_boosting", trees.gradient_boosting, 0.95, rounds=3)
+_classifier("h1_random_forest", trees.random_forest, 0.95)
+_classifier("h2_ada_boost", trees.ada_boost, 0.6)
+_classifier("h3_bagging", trees.bagging, 0.95)
+_classifier("h5_decision_tree", trees.decision_tree, 0.95)
+_classifier("h6_extra_trees", trees.extra_trees, 0.9)
+_classifier("h8_gradient_boosting", trees.gradient_boosting, 0.95, label=RARE)
 _classifier("h11_linear_discriminant", bayes.linear_discriminant, 0.9)
-_classifier("h12_linear_svc", linear.linear_svc, 0.6, scaled=True, max_iter=20)
-_classifier("h13_logistic_regression", linear.logistic_regression, 0.6, scaled=True, max_iter=30)
-_classifier("h15_passive_aggressive", linear.passive_aggressive, 0.5, scaled=True, epochs=2)
+_classifier("h12_linear_svc", linear.linear_svc, 0.6, scaled=True)
+_classifier("h13_logistic_regression", linear.logistic_regression, 0.6, scaled=True)
+_classifier("h15_passive_aggressive", linear.passive_aggressive, 0.5, scaled=True)
 _classifier("h16_ridge_classifier", linear.ridge_classifier, 0.6)
 _classifier("h17_ridge_classifier_cv", linear.ridge_classifier_cv, 0.6)
-_classifier("h18_sgd_classifier", linear.sgd_classifier, 0.6, scaled=True, max_iter=30)
-_classifier("h19_kernel_svc", linear.kernel_svc, 0.8, scaled=True, size=64, max_iter=20)
-_classifier("h20_balanced_forest", trees.balanced_forest, 0.9, label=RARE, trees=5, depth=8)
-_classifier("h21_easy_ensemble", trees.easy_ensemble, 0.9, label=RARE, subsets=3, rounds=2)
-_classifier("h22_rus_boost", trees.rus_boost, 0.9, label=RARE, rounds=3)
+_classifier("h18_sgd_classifier", linear.sgd_classifier, 0.6, scaled=True)
+_classifier("h19_kernel_svc", linear.kernel_svc, 0.8, scaled=True)
+_classifier("h20_balanced_forest", trees.balanced_forest, 0.9, label=RARE)
+_classifier("h21_easy_ensemble", trees.easy_ensemble, 0.9, label=RARE)
+_classifier("h22_rus_boost", trees.rus_boost, 0.9, label=RARE)
 
 
 def _per_class(expression: str) -> str:
@@ -156,8 +156,8 @@ def _regressor(name: str, model, share: float, **params):
 
 
 _regressor("h23_ard_regression", linear.ard_regression, 0.2)
-_regressor("h24_ada_boost_regressor", trees.ada_boost_regressor, 0.6, rounds=3)
-_regressor("h25_bagging_regressor", trees.bagging_regressor, 0.2, trees=5, depth=8)
+_regressor("h24_ada_boost_regressor", trees.ada_boost_regressor, 0.6)
+_regressor("h25_bagging_regressor", trees.bagging_regressor, 0.2)
 
 
 @query("h26_accuracy", """SELECT round(avg(CASE WHEN (o_totalprice > 250000) = (o_orderstatus = 'F') THEN 1.0::DOUBLE
@@ -209,17 +209,16 @@ def o3(spark, sf):
 @query("o4_step_scores", CHAIN_ROWS.format("unnest([0, 1, 2, 3]) AS step, true AS scored").replace(
     "FROM prep WHERE split = 'test'", "FROM (SELECT 1 FROM prep LIMIT 1)"))
 def o4(spark, sf):
-    """One accuracy per chain start, on a sample as the search takes it."""
-    runner = chains.ChainRunner(chains.sample_rows(prep(spark, sf), ROLES, chains.LARGE_SAMPLE).persist(), ROLES)
+    """One accuracy per chain start, over all rows."""
+    runner = chains.ChainRunner(prep(spark, sf).persist(), ROLES)
     scores = runner.step_scores([2, 5, 6])
     return spark.createDataFrame([(i, 0 < s < 1) for i, s in enumerate(scores)], "step int, scored boolean")
 
 
-def search_chains(spark, sf, sample: bool = False):
-    """Scores a grid of imputers, encoders and scalers on line items and returns the best chain."""
-    rows = prep(spark, sf)
-    rows = (chains.sample_rows(rows, ROLES, chains.LARGE_SAMPLE) if sample else rows).persist()
-    runner = chains.ChainRunner(rows, ROLES, lambda df, roles: linear.logistic_regression(df, roles, max_iter=20))
+def search_chains(spark, sf):
+    """Scores a grid of imputers, encoders and scalers on all line items and returns the best chain."""
+    rows = prep(spark, sf).persist()
+    runner = chains.ChainRunner(rows, ROLES)
     grid = chains.grid_chains(spark, [[1, 2], [4, 5], [None, 9]])
     best = runner.search(grid, dataset="lineitem")
     runner.close()
@@ -229,7 +228,7 @@ def search_chains(spark, sf, sample: bool = False):
 
 @query("o19_chain_search", f"WITH {PREP} SELECT 'lineitem' AS dataset, true AS valid, count(*) > 0 AS scored FROM prep")
 def o19(spark, sf):
-    best = search_chains(spark, sf, sample=True)
+    best = search_chains(spark, sf)
     return best.select("dataset", valid_chain(F.col("ops")).alias("valid"),
                        F.col("acc").between(0, 1).alias("scored"))
 
@@ -237,6 +236,6 @@ def o19(spark, sf):
 def flagship(spark, sf):
     """Leaderboard of prepared chains for the line status, on all rows."""
     rows = prep(spark, sf)
-    runner = chains.ChainRunner(rows, ROLES, lambda df, roles: linear.logistic_regression(df, roles, max_iter=20))
+    runner = chains.ChainRunner(rows, ROLES)
     table_ = runner.run_table([[2, 4, 9, 25], [1, 5, 6, 25], [25]], dataset="lineitem")
     return table_.orderBy(F.desc("acc"), "ops")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import functions as F
+
 from tableprep.functions.columns import one_row, small_frame
 from tableprep.operators import describe, metafeatures, profile
 from tableprep.plans.registry import half_up, query, table
@@ -65,6 +67,7 @@ FORMULAS = {
                                metafeatures.mean_unique_values),
 }
 INTEGERS = ("l7_num_rows", "l8_num_cols", "l9_num_numeric_cols", "l10_num_categorical_cols")
+SCHEMA_ONLY = {"l8_num_cols": ALL, "l9_num_numeric_cols": NUMERIC, "l10_num_categorical_cols": TEXT}
 
 
 def _add(name: str, formula: str, function) -> None:
@@ -72,23 +75,35 @@ def _add(name: str, formula: str, function) -> None:
     # one row even where the formula has no aggregate
     source = "(SELECT 1)" if "count" not in formula and "(" in formula and "SELECT" in formula else "gaps"
     select = f"WITH {GAPS} SELECT DISTINCT {value} AS value FROM {source}"
+    if name in SCHEMA_ONLY:
+        cells = " + ".join(f"count({c})" for c in SCHEMA_ONLY[name])
+        select = f"WITH {GAPS} SELECT {value} AS value, {cells} AS cells FROM gaps"
 
     @query(name, select)
     def run(spark, sf):
-        value = function(gaps(spark, sf))
+        rows = gaps(spark, sf)
+        value = function(rows)
         if name == "l4_numeric_variance_mean":
             value /= 1e9
-        return one_row(spark, value=half_up(value, 6) if isinstance(value, float) else value)
+        value = half_up(value, 6) if isinstance(value, float) else value
+        if name in SCHEMA_ONLY:  # the cells that the answer speaks of
+            return rows.agg(F.lit(value).cast("long").alias("value"), sum(F.count(c) for c in SCHEMA_ONLY[name]).alias("cells"))
+        return one_row(spark, value=value)
 
 
 for _name, (_formula, _function) in FORMULAS.items():
     _add(_name, _formula, _function)
 
 
-@query("l6_complexity")
+@query("l6_complexity", """SELECT CASE WHEN (1 + abs(corr(l_quantity, l_extendedprice))) / 2 >= 0.95 THEN 1.0 ELSE 2.0 END::DOUBLE AS apart,
+  CASE WHEN (1 + abs(corr(l_quantity, l_quantity * 5 + l_discount))) / 2 >= 0.95 THEN 1.0 ELSE 2.0 END::DOUBLE AS alike,
+  0.0::DOUBLE AS with_gaps FROM lineitem""")
 def l6(spark, sf):
-    rows = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return one_row(spark, clean=metafeatures.df_complexity(rows), with_gaps=metafeatures.df_complexity(gaps(spark, sf)))
+    """Of two columns with correlation r the components hold (1 + |r|) / 2 and (1 - |r|) / 2 of the variance."""
+    rows, like = table(spark, sf, "lineitem"), (F.col("l_quantity") * 5 + F.col("l_discount")).alias("like")
+    return one_row(spark, apart=metafeatures.df_complexity(rows.select("l_quantity", "l_extendedprice")),
+                   alike=metafeatures.df_complexity(rows.select("l_quantity", like)),
+                   with_gaps=metafeatures.df_complexity(gaps(spark, sf)))
 
 
 @query("l12_duplicate_row_rate", """SELECT round(1 - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))
@@ -229,6 +244,17 @@ def m9(spark, sf):
     return one_row(spark, **describe.describe_table(gaps(spark, sf))["needs"])
 
 
-@query("m10_description")
+@query("m10_description", """WITH x AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderpriority END AS priority,
+  o_totalprice * o_totalprice * o_totalprice AS total FROM orders), q AS (SELECT quantile_cont(total, 0.25) AS a, quantile_cont(total, 0.75) AS b FROM x),
+  s AS (SELECT count(*) AS n, count(*) - count(priority) AS e, count(*) FILTER (total < a - 1.5 * (b - a) OR total > b + 1.5 * (b - a)) AS o,
+  abs(skewness(total)) > 1 AS skewed, max(total) > 10 * min(total) AS wide FROM x, q)
+  SELECT '[orders] ' || n || ' rows x 2 columns; ' || e || ' empty cells (' || printf('%.2f', 100.0 * e / (2 * n)) || '% of all)' || chr(10) ||
+  '  priority: categorical, empty in ' || e || ' rows' || chr(10) || '  total: numeric' || CASE WHEN o > 0 THEN ', ' || o ||
+  ' values far from the quartiles (' || printf('%.2f', 100.0 * o / n) || '%)' ELSE '' END || CASE WHEN skewed THEN ', lopsided' ELSE '' END
+  || chr(10) || 'calls for: ' || array_to_string(list_filter(['encoding', 'imputation', CASE WHEN skewed THEN 'normalization' END,
+  CASE WHEN o > 0 THEN 'outlier treatment' END, CASE WHEN wide THEN 'scaling' END], lambda x: x IS NOT NULL), ', ') AS text FROM s""")
 def m10(spark, sf):
-    return one_row(spark, text=describe.dataset_description("lineitem", gaps(spark, sf)))
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(F.when(key % 17 != 0, F.col("o_orderpriority")).alias("priority"),
+                                             (price * price * price).alias("total"))
+    return one_row(spark, text=describe.dataset_description("orders", rows))

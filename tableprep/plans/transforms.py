@@ -188,10 +188,10 @@ def g8(spark, sf):
                     F.round(F.sum(F.col("SVD1") * F.col("SVD1") + F.col("SVD2") * F.col("SVD2")) / 1e9, 2).alias("energy"))
 
 
-@query("g9_random_trees_embedding", f"""WITH {PREP} SELECT count(*) AS n, 20::BIGINT AS trees FROM prep""")
+@query("g9_random_trees_embedding", f"""WITH {PREP} SELECT count(*) AS n, 100::BIGINT AS trees FROM prep""")
 def g9(spark, sf):
     """Every row has one active leaf per tree."""
-    rows = features.random_trees_embedding(prep(spark, sf), ROLES, trees=20, dense=False)
+    rows = features.random_trees_embedding(prep(spark, sf), ROLES, dense=False)
     return rows.agg(F.count("*").alias("n"), F.max(F.size(F.array_distinct("embed"))).cast("long").alias("trees"))
 
 

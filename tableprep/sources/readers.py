@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tableprep.functions.columns import col
 
 CORRUPT = "_corrupt_record"
+INDEX = "Unnamed: 0"  # fixed value: heading of the row-number column that spreadsheet exports leave behind
 
 
 def read_csv(spark: SparkSession, path, sep: str = ",", header: bool = True, schema: T.StructType | None = None,
@@ -18,7 +19,9 @@ def read_csv(spark: SparkSession, path, sep: str = ",", header: bool = True, sch
     reader = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
               .option("mode", "DROPMALFORMED"))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return drop_index_column(reader.csv(path))
+    df = reader.csv(path)
+    # a blank first heading comes out as _c0; without a header line that is an ordinary column
+    return drop_index_column(df.withColumnRenamed("_c0", INDEX) if header and df.columns[:1] == ["_c0"] else df)
 
 
 def count_bad_rows(spark: SparkSession, path, schema: T.StructType, sep: str = ",", header: bool = True,
@@ -43,11 +46,11 @@ def read_parquet(spark: SparkSession, path) -> DataFrame:
 def spread_scan(df: DataFrame) -> DataFrame:
     """Spreads a scan that has fewer splits than the session has cores, as a file with one row group does.
 
-    A large table has far more splits than cores and is left as it is: no shuffle is added there. Rows go by a hash of
-    the first column, usually the key, which needs no sort.
+    A large table has far more splits than cores and is left as it is: no shuffle is added there. Rows go round robin,
+    so that no value of any column can gather in one task.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, col(df.columns[0])) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def union_by_name(parts: Sequence[DataFrame]) -> DataFrame:
@@ -61,7 +64,7 @@ def read_csv_files(spark: SparkSession, paths: Sequence[str], **options) -> Data
 
 def drop_index_column(df: DataFrame) -> DataFrame:
     """Removes the unnamed row-number column that spreadsheet exports leave behind."""
-    return df.drop("Unnamed: 0", "_c0") if len(df.columns) > 1 else df
+    return df.drop(INDEX) if len(df.columns) > 1 else df
 
 
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

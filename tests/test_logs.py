@@ -84,7 +84,7 @@ def test_ngrams_and_rules(spark):
     assert rows[(1, 2)] == 3 and rows[(1, 2, 3)] == 1 and rows[(2, 3, 1, 2)] == 1 and len(rows) == 8
     rules = logs.next_step_rules(counts, [5, 1])
     assert {tuple(r["pattern"]) for r in rules.collect()} == {(1, 2), (1, 2, 3), (1, 2, 3, 1)}
-    assert "used 3 times: (1 ImputerMeanPrim, 2 ImputerMedianPrim)" in logs.rules_text(rules, catalog.NAMES)
+    assert "3x  ImputerMeanPrim [1] > ImputerMedianPrim [2]" in logs.rules_text(rules, catalog.NAMES)
     assert logs.next_step_rules(counts, []).isEmpty()
 
 

@@ -183,6 +183,7 @@ def test_description(spark):
     assert report["outlier_columns"] == [("x", 1, pytest.approx(1 / 31)), ("y", 1, pytest.approx(1 / 31))]
     assert report["correlated_pairs"][0][:2] == ("x", "y") and report["skewed_columns"] == ["x", "y"]
     assert all(report["needs"].values())
-    text = describe.description_text(report, limit=1)
-    assert "31 rows and 3 columns" in text and "- s: 1 missing values" in text
-    assert "...totally 2 columns with outliers" in text
+    text = describe.description_text(report)
+    assert "31 rows x 3 columns; 1 empty cells" in text and "s: categorical, empty in 1 rows" in text
+    assert "x: numeric, 1 values far from the quartiles (3.23%), lopsided" in text and "x ~ y" in text
+    assert "(2 further columns)" in describe.description_text(report, limit=1)

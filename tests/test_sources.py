@@ -27,8 +27,9 @@ def test_csv_without_header_and_with_inference(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("1,2.5\n3,4.5\n")
     df = readers.read_csv(spark, str(path), header=False)
-    # an unnamed first column is taken for a row number
-    assert df.columns == ["_c1"] and df.agg(F.sum("_c1")).first()[0] == 7.0
+    assert df.columns == ["_c0", "_c1"] and tuple(df.agg(F.sum("_c0"), F.sum("_c1")).first()) == (4, 7.0)
+    path.write_text(",b\n1,2.5\n3,4.5\n")  # a blank heading: the row numbers of a spreadsheet
+    assert readers.read_csv(spark, str(path)).columns == ["b"]
 
 
 def test_json_array_and_lines(spark, tmp_path):

@@ -54,7 +54,7 @@ def test_one_hot(table):
     assert [c for c in out.columns if c.startswith("s_")] == ["s_MISSING", "s_a", "s_b"]
     assert column(out, "s_b") == [0.0, 1.0, 0.0, 1.0, 0.0]
     assert [sum(r) for r in out.orderBy("k").select("s_MISSING", "s_a", "s_b").collect()] == [1, 1, 1, 1, 0]
-    sparse = encode.one_hot_encoder(table, ROLES, max_columns=2)
+    sparse = encode.one_hot_encoder(table, ROLES, sparse=True)
     assert column(sparse, "s_hot") == [1.0, 2.0, 0.0, 2.0, -1.0]
 
 
