@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import written
+from tableprep.llm.common import blocks_for, written
+
+#: Links per task of a round; fewer links take fewer tasks.
+ROWS = 200_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,5 +35,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == mark:
             break
         mark = state
+        edges = edges.coalesce(blocks_for(state[0], ROWS))
     found = edges.groupBy("u").agg(F.min("v").alias("m"))
     return nodes.join(found, nodes["id"] == found["u"], "left").select("id", F.coalesce("m", "id").alias("component"))

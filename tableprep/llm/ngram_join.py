@@ -10,9 +10,11 @@ Two documents link when 100 * |A n B| >= 80 * |A u B| for their sets of distinct
 3. Representatives that share a minimum are compared with the smallest of them: this ties large groups of near copies
    together with about as many comparisons as documents.
 4. Rows (shingle, size, document, component) are dealt by shingle and sorted by size: the rows of a shingle are a tile.
-   Inside, only pairs of different components whose sizes fit are formed, band by band of the size order.
-5. Bit counts bound each pair's overlap from above; what is left is decided on the whole texts by intersecting the two
-   sorted arrays. Union-find over all links gives the classes.
+   Tiles of one component have nothing to offer. A small tile gives its pairs of different components whose sizes fit.
+   Rows of a large tile get their bitmaps, and the tile compares blocks of them, size band by size band, inside its task:
+   bit counts bound each overlap from above, and only pairs with room for a link come out.
+5. What is left is decided on the whole texts by intersecting the two sorted arrays. Union-find over all links gives the
+   classes.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MINIMA = 8
 #: Documents in the sample that finds common shingles, how often one must occur there, and how many are kept at most.
 #: They only shape the global order of shingles.
 SAMPLE, COMMON, MOST_COMMON = 3000, 4, 50_000
+#: A tile of more rows compares bitmaps before it gives pairs.
+SMALL_TILE = 12
 #: Id tables up to so many rows are broadcast (16 bytes a row); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,13 +47,13 @@ def _needed(size: np.ndarray) -> np.ndarray:
 
 
 def bitmap_bits(size: int) -> int:
-    """A power of two, at least the set's size; sets of linked documents may differ by one power."""
-    return 1 << max(6, int(size - 1).bit_length())
+    """A power of two, four to eight bits an element; sets of linked documents may differ by one power."""
+    return 1 << max(6, int(size - 1).bit_length() + 2)
 
 
 def _bitmap(values: np.ndarray, size: int) -> bytes:
     bits = bitmap_bits(size)
-    flags = np.zeros(bits, np.uint8)
+    flags = np.zeros(bits, bool)
     flags[(values >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
 
@@ -125,43 +129,103 @@ def common_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that share a shingle and whose sizes fit, from rows sorted by (token, size)."""
-    def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    def pairs(token, size, doc, comp) -> Iterator[pa.RecordBatch]:
+    """From rows (token, size, doc, comp) sorted by token and size: pairs (a, b) of small tiles of several components, and
+    the rows (token, doc, comp) of large ones."""
+    def tiles(token, size, doc, comp) -> Iterator[pa.RecordBatch]:
         edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+        rows = np.diff(edge)
         mixed = np.minimum.reduceat(comp, edge[:-1]) != np.maximum.reduceat(comp, edge[:-1])
-        keep = np.repeat(mixed, np.diff(edge))
+        large = np.repeat(mixed & (rows > SMALL_TILE), rows)
+        yield _tile_batch(token=token[large], doc=doc[large], comp=comp[large])
+        keep = np.repeat(mixed & (rows <= SMALL_TILE), rows)
         token, size, doc, comp = token[keep], size[keep], doc[keep], comp[keep]
-        left, found = np.arange(len(token)), []
-        step = held = 0
-        while len(left):
-            step += 1
+        left, found = np.arange(len(token)), [np.zeros((2, 0), np.int64)]
+        for step in range(1, SMALL_TILE):
             left = left[left + step < len(token)]
-            right = left + step
-            left = left[(token[left] == token[right]) & (5 * size[left] >= 4 * size[right])]
-            right = left + step
-            cross = comp[left] != comp[right]
-            x, y = doc[left[cross]], doc[right[cross]]
-            found.append(np.stack((np.minimum(x, y), np.maximum(x, y))))
-            held += len(x)
-            if held > 500_000:
-                yield emit(*np.unique(np.concatenate(found, axis=1), axis=1))
-                found, held = [], 0
-        if held:
-            yield emit(*np.unique(np.concatenate(found, axis=1), axis=1))
+            left = left[(token[left] == token[left + step]) & (5 * size[left] >= 4 * size[left + step])]
+            cross = left[comp[left] != comp[left + step]]
+            found.append(np.sort(np.stack((doc[cross], doc[cross + step])), axis=0))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        yield _tile_batch(a=a, b=b)
+
+    yield from _whole_tiles(batches, 4, tiles)
+
+
+def _tile_batch(**columns: np.ndarray) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    empty = pa.nulls(n, pa.int64())
+    names = ["a", "b", "token", "doc", "comp"]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else empty for c in names], names)
 
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch], columns: int, work) -> Iterator[pa.RecordBatch]:
+    """Calls work(*arrays) on successive runs of rows, sorted by the first column, that end where a tile ends."""
     rest = None
     for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
         rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last token may go on in the next batch
+        cut = int(np.searchsorted(rest[0], rest[0][-1], "left"))  # the last tile may go on in the next batch
         if cut:
-            yield from pairs(*(x[:cut] for x in rest))
+            yield from work(*(x[:cut] for x in rest))
             rest = [x[cut:] for x in rest]
-    if rest is not None and len(rest[0]):
-        yield from pairs(*rest)
+    if rest is not None:
+        yield from work(*rest)
+
+
+def _folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of bitmaps at half their width."""
+    flags = np.unpackbits(bits, axis=1).reshape(len(bits), -1, 2).any(axis=2)
+    return np.packbits(flags, axis=1)
+
+
+def _room(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For all rows of two blocks of bitmaps of one width: whether bit counts leave room for a link."""
+    x, y = (np.ascontiguousarray(v).view(np.uint64) for v in (x, y))
+    differ = np.zeros((len(x), len(y)), np.int64)
+    for k in range(0, x.shape[1], 16):
+        differ += np.bitwise_count(x[:, None, k:k + 16] ^ y[None, :, k:k + 16]).sum(axis=2, dtype=np.int64)
+    both = n[:, None] + m[None, :]
+    most = (both - differ) // 2
+    return (5 * np.minimum(n[:, None], m[None, :]) >= 4 * np.maximum(n[:, None], m[None, :])) & (100 * most >= 80 * (both - most))
+
+
+def _large_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components with room for a link, from rows (token, size, doc, comp, bits) sorted by token
+    and size."""
+    def bands(size, doc, comp, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        width = np.array([len(x) for x in bits])
+        runs = np.concatenate(([0], np.flatnonzero(np.diff(width)) + 1, [len(width)]))
+        before = None
+        for first, last in zip(runs[:-1], runs[1:]):
+            rows = np.frombuffer(b"".join(bits[first:last]), np.uint8).reshape(last - first, -1)
+            half = max(16, min(256, 2_000_000 // rows.shape[1]))
+            for i in range(first, last, half):
+                spans = [(rows, first, j) for j in range(i, last, half)]
+                mine = rows[i - first:i - first + half]
+                if before is not None and 2 * before[0].shape[1] == rows.shape[1]:
+                    spans += [(before[0], before[1], j) for j in range(before[1], first, half)]
+                for other, start, j in spans:
+                    stop = min(j + half, last if other is rows else first)
+                    if 5 * min(size[stop - 1], size[min(i + half, last) - 1]) < 4 * max(size[i], size[j]):
+                        continue  # these bands of sizes can't link
+                    block = mine if other is rows else _folded(mine)
+                    x, y = slice(i, min(i + half, last)), slice(j, stop)
+                    good = _room(block, other[j - start:stop - start], size[x], size[y]) & (comp[x][:, None] != comp[y][None, :])
+                    a, b = np.nonzero(good)
+                    yield doc[x][a], doc[y][b]
+            before = (rows, first)
+
+    def tiles(token, size, doc, comp, bits) -> Iterator[pa.RecordBatch]:
+        edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+        for first, last in zip(edge[:-1], edge[1:]):
+            for a, b in bands(size[first:last], doc[first:last], comp[first:last], bits[first:last]):
+                if len(a):
+                    pair = np.unique(np.sort(np.stack((a, b)), axis=0), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+    yield from _whole_tiles(batches, 5, tiles)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +300,11 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             .agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least = most").select("token"))
     tokens = tokens.join(F.broadcast(pure), "token", "left_anti")  # both lists have MOST_COMMON rows at most
     tiles = tokens.repartition("token").sortWithinPartitions("token", "size", "doc")
-    cross = tiles.mapInArrow(_tiles, "a long, b long").distinct()
+    found = written(tiles.mapInArrow(_tiles, "a long, b long, token long, doc long, comp long"))
+    sides = first.select(F.col("id").alias("doc"), F.col("size").cast("long").alias("size"), "bits")
+    large = found.where("token is not null").select("token", "doc", "comp").join(sides, "doc").select("token", "size", "doc", "comp", "bits")
+    large = large.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(_large_tiles, "a long, b long")
+    cross = found.where("token is null").select("a", "b").unionByName(large).distinct()
     weak = _links(cross, first, docs)
 
     joined = written(graph.components(strong.unionByName(weak)))
