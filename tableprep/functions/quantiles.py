@@ -19,6 +19,7 @@ from tableprep.session import cut_lineage
 BUCKETS = 2048        # histogram buckets per interval and scan
 COLLECT_ROWS = 4_000  # an interval with at most this many rows is sorted and read
 BATCH = 24            # intervals handled by one job
+ACCURACY, SLACK = 5_000, 5e-4  # of the sketch, and how far a bracket reaches beyond a wanted share on both sides
 
 
 def _expressions(df: DataFrame, columns) -> dict[str, Column]:
@@ -39,40 +40,56 @@ def _place(p: float, n: int) -> float:
     return float(round(h)) if abs(h - round(h)) <= 1e-14 * n else h
 
 
-def value_ranges(df: DataFrame, columns: Sequence[str] | Mapping[str, Column]) -> dict[str, tuple]:
-    """(minimum, maximum) of each column, missing values left out."""
+def sketched(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float]) -> dict[str, tuple]:
+    """(rows, minimum, maximum, [(low, high) per prob]) of each column, missing values left out: one scan for a batch of
+    columns. An approximate sketch gives the brackets that most likely hold the quantiles."""
     exprs = _expressions(df, columns)
-    names, ranges = list(exprs), {}
+    names, found = list(exprs), {}
+    places = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-SLACK, SLACK)})
     for start in range(0, len(names), BATCH):
         part = names[start:start + BATCH]
-        row = df.agg(*[F.struct(F.min(exprs[c]), F.max(exprs[c])).alias(f"c{i}") for i, c in enumerate(part)]).first()
-        ranges.update(zip(part, map(tuple, row)))
-    return ranges
+        row = df.agg(*[F.struct(F.count(exprs[c]), F.min(exprs[c]), F.max(exprs[c]),
+                                F.percentile_approx(exprs[c], places, ACCURACY)).alias(f"c{i}") for i, c in enumerate(part)]).first()
+        for c, (n, low, high, guess) in zip(part, map(tuple, row)):
+            at = dict(zip(places, guess or []))
+            found[c] = (n, low, high, [(at[max(0.0, p - SLACK)], at[min(1.0, p + SLACK)]) for p in probs] if n else [])
+    return found
 
 
 def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probs: Sequence[float],
-                      ranges: Mapping[str, tuple] | None = None) -> dict[str, tuple[int, list[float | None]]]:
+                      sketch: Mapping[str, tuple] | None = None) -> dict[str, tuple[int, list[float | None]]]:
     """As `exact_quantiles`, with the number of non-missing values of each column.
 
-    Scan 1 takes the range of every column; a caller that knows an enclosing range saves it. Each later scan counts the
-    values of every open interval in equal-width buckets, with the smallest and largest value of each bucket. Counts are
-    exact, so the bucket that holds a wanted rank becomes the next interval. A bucket of one repeated value ends the
-    search at once, however many rows it holds, and a bucket of few rows is read off value by value. All steps are
-    plain hash aggregations.
+    Scan 1 sketches all columns; a caller that has a sketch of a table with about the same values saves it. Scan 2 counts
+    the values below and inside each bracket, exactly. A bracket of few rows is read off value by value; a longer one is
+    cut into buckets of equal width, with the smallest and largest value of each, and the bucket that holds a wanted rank
+    becomes the next interval. A rank outside its bracket is searched in the whole range. A bucket of one repeated value
+    ends the search at once, however many rows it holds. All steps are plain hash aggregations.
     """
     exprs = _expressions(df, columns)
-    ranges = value_ranges(df, exprs) if ranges is None else ranges
+    sketch = sketched(df, exprs, probs) if sketch is None else sketch
     found: dict[tuple[str, int], float] = {}
-    sizes = {c: 0 for c in exprs}
-    todo = [_Span(c, *ranges[c], None, 0, None, 1.0) for c in exprs if ranges[c][0] is not None]
-
-    def wanted(c: str, n: int) -> set[int]:
-        sizes[c] = n
-        return {k for p in probs for k in (math.floor(_place(p, n)), math.ceil(_place(p, n)))}
+    sizes, todo, names = {c: 0 for c in exprs}, [], [c for c in exprs if sketch[c][0]]
+    for start in range(0, len(names), BATCH):
+        part = names[start:start + BATCH]
+        counts = df.agg(*[F.struct(F.count(x), *[f(x, *ends) for ends in sketch[c][3] for f in (
+            lambda v, low, high: F.count_if(v < low), lambda v, low, high: F.count_if(v.between(low, high)))]).alias(f"c{i}")
+            for i, c in enumerate(part) for x in [exprs[c]]]).first()
+        for c, (n, *inside) in zip(part, map(tuple, counts)):
+            sizes[c] = n
+            left = {k for p in probs if n for k in (math.floor(_place(p, n)), math.ceil(_place(p, n)))}
+            for (low, high), below, rows in zip(sketch[c][3], inside[::2], inside[1::2]):
+                held = {k for k in left if below <= k < below + rows}
+                if held:
+                    todo.append(_Span(c, low, high, rows, below, held, 1.0))
+                    left -= held
+            if left:
+                todo.append(_Span(c, -math.inf, math.inf, n, 0, left, 1.0))
 
+    # ends of a bracket need not be values, so nothing is settled before the first split
     while todo:
         todo = [child for start in range(0, len(todo), BATCH)
-                for child in _settle(_split(df, exprs, todo[start:start + BATCH], found, wanted), found)]
+                for child in _settle(_split(df, exprs, todo[start:start + BATCH], found), found)]
 
     def value(c: str, p: float) -> float | None:
         if not sizes[c]:
@@ -86,17 +103,14 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Colum
 
 @dataclass
 class _Span:
-    """The `rows` values of a column from `low` to `high`; `below` values are smaller. Holds the wanted ranks.
-
-    Rows and ranks of a whole column are known after its first histogram.
-    """
+    """The `rows` values of a column from `low` to `high`; `below` values are smaller. Holds the wanted ranks."""
 
     column: str
     low: float
     high: float
-    rows: int | None
+    rows: int
     below: int
-    ranks: set[int] | None
+    ranks: set[int]
     share: float  # part of the parent's rows; near 1 means that equal widths did not help
 
 
@@ -136,9 +150,9 @@ def _bucket(x: Column, s: _Span) -> Column:
     return F.greatest(F.least(F.floor(part * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
 
 
-def _split(df: DataFrame, exprs, spans: list[_Span], found, wanted) -> list[_Span]:
-    few = [s for s in spans if s.rows is not None and s.rows <= COLLECT_ROWS]
-    many = [s for s in spans if s.rows is None or s.rows > COLLECT_ROWS]
+def _split(df: DataFrame, exprs, spans: list[_Span], found) -> list[_Span]:
+    few = [s for s in spans if s.rows <= COLLECT_ROWS]
+    many = [s for s in spans if s.rows > COLLECT_ROWS]
 
     def cells(part: list[_Span], key) -> DataFrame:
         held = [F.when(exprs[s.column].between(s.low, s.high),
@@ -163,9 +177,6 @@ def _split(df: DataFrame, exprs, spans: list[_Span], found, wanted) -> list[_Spa
         for r in grouped.collect():
             buckets.setdefault(r["j"], []).append((r["b"], r["low"], r["high"], r["n"]))
         for j, s in enumerate(many):
-            if s.rows is None:
-                s.rows = sum(b[3] for b in buckets.get(j, []))
-                s.ranks = wanted(s.column, s.rows) if s.rows else set()
             at = s.below
             for _, low, high, n in sorted(buckets.get(j, [])):
                 held = {k for k in s.ranks if at <= k < at + n}

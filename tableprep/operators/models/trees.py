@@ -178,8 +178,8 @@ def _weigher(ensembles, going, turn, k, d, share, balanced, fresh):
                 if ensembles[e]:
                     wrong = _predictions(ensembles[e], lambda s: cells[s.column] <= s.place) != y
                     weight = np.exp(np.array([s.weight for s in ensembles[e]]) @ wrong)
-                salt = np.uint64((e if balanced else 0) * 1_000 + (turn if fresh else 0) + 1)
-                mixed = (h ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                salt = ((e if balanced else 0) * 1_000 + (turn if fresh else 0) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+                mixed = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
                 drawn = (mixed >> np.uint64(11)) / float(1 << 53) < share[y]
                 whole = drawn if balanced else np.ones(len(y), bool)  # its own sample is all that an ensemble sees
                 for w, rows in enumerate((whole, drawn)):

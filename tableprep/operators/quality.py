@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprep.functions.columns import (col, dtype, filled, is_missing, number, numeric_columns, string_columns)
 from tableprep.functions.nearest import neighbours_within
-from tableprep.functions.quantiles import counted_quantiles, exact_quantiles, value_ranges
+from tableprep.functions.quantiles import counted_quantiles, exact_quantiles, sketched
 from tableprep.operators.cleanup import any_date
 from tableprep.operators.guards import is_not_a_number
 from tableprep.session import cut_lineage
@@ -124,9 +124,9 @@ def iqr_outliers(df: DataFrame, gap: float = 1.5, independent: bool = False) ->
         tests = [outside(c, q) for c, q in bounds.items() if q[0] is not None]
         return df.agg(_total([F.count_if(t) for t in tests])).first()[0] if tests else 0
     left, start = df, None
-    ranges = value_ranges(df, x)
+    sketch = sketched(df, x, [0.25, 0.75])  # one for all columns; the rows that leave hardly move the quartiles
     for c in x:
-        rows, q = counted_quantiles(left, {c: x[c]}, [0.25, 0.75], ranges)[c]
+        rows, q = counted_quantiles(left, {c: x[c]}, [0.25, 0.75], sketch)[c]
         start = rows if start is None else start
         if not rows:
             return start if start is not None else 0

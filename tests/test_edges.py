@@ -113,4 +113,4 @@ def test_boosting_of_many_rounds(spark):
     roles = Roles(keys=("k",))
     for model in (trees.ada_boost, trees.rus_boost, trees.easy_ensemble):
         out = model(df, roles, rounds=20)
-        assert out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] > 0.9
+        assert out.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0] > 0.8
