@@ -69,6 +69,7 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("bound", F.round("bound", 6))
 
 
+# Rows of one block are numbered by key, checksum and size: below 800,000 rows a shard is one block.
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size,
     hex(encode(coalesce(text, ''))) AS h, substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16) AS k FROM documents),
@@ -76,12 +77,17 @@ j AS (SELECT r, g AS n, 0::BIGINT AS step, -1::BIGINT AS b, 0::BIGINT AS spot, (
   UNION ALL
   SELECT r, n, step + 1, spot, floor((spot + 1) * (2147483648::DOUBLE / (((nk // 8589934592) + 1)::DOUBLE)))::BIGINT, nk FROM (
     SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616::UHUGEINT AS nk FROM j WHERE spot < n)),
-s AS (SELECT r, max(b) FILTER (WHERE n = 16) AS shard, max(b) FILTER (WHERE n = 17) AS grown FROM j GROUP BY r)
-SELECT doc_id, size, shard::INT AS shard, grown::INT AS grown_shard FROM d JOIN s USING (r)
+s AS (SELECT r, max(b) FILTER (WHERE n = 16)::INT AS shard, max(b) FILTER (WHERE n = 17)::INT AS grown_shard FROM j GROUP BY r),
+w AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+e AS (SELECT r, doc_id, size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+  regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8))) AS text_crc32 FROM d, w)
+SELECT doc_id, size, text_crc32, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  grown_shard, 'key' AS law FROM e JOIN s USING (r)
 """
 
 
-@query("op4_jump_shards")
+@query("op4_jump_shards", OP4_SQL)
 def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_table(read(spark, sf_dir, "documents"), "doc_id", "text", 16)
     return placed.withColumn("law", F.lit("key"))
