@@ -13,16 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_BLOCK = 1_000_000
-MAX_BLOCKS = 4_096
 
 
 def time_block(df: DataFrame, ts: str, rows_per_block: int = ROWS_PER_BLOCK) -> Column:
-    """Block number of a timestamp. Edges come from a bounded sketch of the column, so a burst is cut finely."""
+    """Block number of a timestamp. Edges come from a sketch of the column, so a burst is cut finely; their
+    number follows from the rows alone."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    blocks = min(-(-df.select(F.count(ts)).first()[0] // rows_per_block), MAX_BLOCKS)
+    blocks = -(-df.select(F.count(ts)).first()[0] // rows_per_block)
     if blocks <= 1:
         return F.lit(0).cast("long")
-    cuts = df.select(F.percentile_approx(micros, [i / blocks for i in range(1, blocks)], 2 * MAX_BLOCKS)).first()[0]
+    cuts = df.select(F.percentile_approx(micros, [i / blocks for i in range(1, blocks)], max(10_000, 4 * blocks))).first()[0]
     edges = np.unique(np.array(cuts, dtype="int64"))
 
     @F.pandas_udf("long")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -114,6 +115,32 @@ def score_slopes(episodes: DataFrame, keys: Sequence[str], window: int = 10, blo
     return drop_context(rows.withColumn("slope", slope))
 
 
+def _runs(batches, group: list[str]):
+    """(key, rows) of successive runs of equal keys in a sorted stream of frames."""
+    now, parts = None, []
+    for pdf in batches:
+        changes = (pdf[group] != pdf[group].shift()).any(axis=1).to_numpy()
+        edges = [*np.flatnonzero(changes), len(pdf)]
+        for first, last in zip(edges[:-1], edges[1:]):
+            key = tuple(pdf[group].iloc[first])
+            if parts and key != now:
+                yield now, pd.concat(parts)
+                parts = []
+            now = key
+            parts.append(pdf.iloc[first:last])
+    if parts:
+        yield now, pd.concat(parts)
+
+
+def _hits(following: list[int], first: int) -> list[int]:
+    """Places of the hits: from one to the first place that is far enough behind it."""
+    found = []
+    while first < len(following):
+        found.append(first)
+        first = following[first]
+    return found
+
+
 def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.01, window: int = 10, wait: int = 5,
                  block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Adds `hit`: slope at or below the threshold, and at least `wait` steps after the hit before.
@@ -134,20 +161,17 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
         return df.repartition(*group).sortWithinPartitions(*group, "step")
 
     # A rest of r at a block start means that no step before start + r may hit. Rows come sorted, so a task reads its
-    # blocks as one stream and holds the state of a single block.
+    # blocks as one stream and holds the steps of a single block.
     def outcomes(batches):
-        now, ready, done = None, [], []
-        for pdf in batches:
-            for *key, step in pdf.itertuples(index=False, name=None):
-                if key != now:
-                    if now is not None:
-                        done.append((*now, [max(0, r - (now[-1] + 1) * block) for r in ready]))
-                    now, ready = key, [key[-1] * block + r for r in range(wait)]
-                ready = [step + wait if step >= r else r for r in ready]
-            yield pd.DataFrame(done, columns=[*group, "ends"])
-            done = []
-        if now is not None:
-            yield pd.DataFrame([(*now, [max(0, r - (now[-1] + 1) * block) for r in ready])], columns=[*group, "ends"])
+        for key, rows in _runs(batches, group):
+            steps = rows["step"].to_numpy()
+            following = np.searchsorted(steps, steps + wait).tolist()
+            ends = []
+            for r in range(wait):
+                hits = _hits(following, int(np.searchsorted(steps, key[-1] * block + r)))
+                ready = steps[hits[-1]] + wait if hits else key[-1] * block + r
+                ends.append(max(0, int(ready - (key[-1] + 1) * block)))
+            yield pd.DataFrame([(*key, ends)], columns=[*group, "ends"])
 
     ends = in_order(candidates).mapInPandas(outcomes, f"{kinds}, ends array<long>")
 
@@ -165,16 +189,10 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
         *keys, F.explode(F.aggregate("links", start, chain, lambda s: s["done"])).alias("r")).select(*keys, "r.*")
 
     def mark(batches):
-        now, ready = None, 0
-        for pdf in batches:
-            hits = []
-            for i, (*key, step, rest) in enumerate(pdf.itertuples(index=False, name=None)):
-                if key != now:
-                    now, ready = key, key[-1] * block + rest
-                if step >= ready:
-                    hits.append(i)
-                    ready = step + wait
-            yield pdf.iloc[hits][[*keys, "step"]]
+        for key, rows in _runs(batches, group):
+            steps = rows["step"].to_numpy()
+            first = int(np.searchsorted(steps, key[-1] * block + rows["_rest"].iloc[0]))
+            yield rows.iloc[_hits(np.searchsorted(steps, steps + wait).tolist(), first)][[*keys, "step"]]
 
     marked = in_order(candidates.join(rests, group).select(*group, "step", "_rest"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema if f.name != "_block")
