@@ -53,10 +53,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first row, bytes, offsets) of successive slices; null texts are empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column, "") if column.null_count else column
     if not len(column):
         return
-    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], kind)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(column):
