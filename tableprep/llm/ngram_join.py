@@ -305,7 +305,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     large = found.where("token is not null").select("token", "doc", "comp").join(sides, "doc").select("token", "size", "doc", "comp", "bits")
     large = large.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(_large_tiles, "a long, b long")
     cross = found.where("token is null").select("a", "b").unionByName(large).distinct()
-    weak = _links(cross, first, docs)
+    weak = written(_links(cross, first, docs))
 
     joined = written(graph.components(strong.unionByName(weak)))
     final = same.join(broadcast_if_small(joined, joined.count(), BROADCAST_ROWS), "id", "left")
