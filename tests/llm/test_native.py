@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import zlib
 
 import pytest
@@ -93,6 +94,14 @@ def test_lines(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_lines_of_all_lengths_with_one_changed_character(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefghij klmnopqrst") for _ in range(n)) for n in range(50, 121, 5) for _ in range(8)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, x[:len(x) // 2] + "#" + x[len(x) // 2 + 1:]) for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain.dedup_lines(rows, 5) and all(got[i] == x and got[1000 + i] == "" for i, x in enumerate(lines))
+
+
 def test_repeated_rows_of_lines(spark):
     df = spark.createDataFrame([(1, LINE)] * 3 + [(2, LINE)], "doc_id long, text string")
     assert sorted(r["text"] for r in line_dedup.dedup(df).collect()) == ["", LINE, LINE, LINE]
