@@ -102,6 +102,29 @@ def test_lines_of_all_lengths_with_one_changed_character(spark):
     assert got == plain.dedup_lines(rows, 5) and all(got[i] == x and got[1000 + i] == "" for i, x in enumerate(lines))
 
 
+def test_linked_lines_share_a_band_and_pass_the_bitmaps(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz 0123456789"
+    lines, pairs = [], []
+    while len(pairs) < 6000:
+        one = "".join(rng.choice(letters) for _ in range(rng.choice((60, 120, 240))))
+        other = list(one)
+        for _ in range(len(one) // 45):
+            other[rng.randrange(len(one))] = "#"
+        other = "".join(other)
+        x, y = ({z[i:i + 5] for i in range(len(z) - 4)} for z in (one, other))
+        if 0.8 <= len(x & y) / len(x | y) < 0.84:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            lines += [one, other]
+    distinct = spark.createDataFrame([(x, i, 1) for i, x in enumerate(lines)], "line string, first long, n long")
+    signed = line_dedup._signed(distinct).select(F.col("first").alias("id"), F.col("first").alias("doc"), F.lit(0).alias("pos"), "values", "bits", "most")
+    signed = signed.localCheckpoint()
+    keys = {r["id"]: set(r["keys"]) for r in signed.select("id", line_dedup._keys(F.col("values")).alias("keys")).collect()}
+    assert sum(not keys[a] & keys[b] for a, b in pairs) <= 0.001 * len(pairs)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc long, text string")
+    assert line_dedup._links(spark.createDataFrame(pairs, "a long, b long"), signed, docs).count() == len(pairs)
+
+
 def test_repeated_rows_of_lines(spark):
     df = spark.createDataFrame([(1, LINE)] * 3 + [(2, LINE)], "doc_id long, text string")
     assert sorted(r["text"] for r in line_dedup.dedup(df).collect()) == ["", LINE, LINE, LINE]
