@@ -3,7 +3,8 @@
 The index is small and goes to the tasks; passages are the queries. Block-max WAND with a fixed threshold decides which
 parts of the index a passage has to look at: a passage whose terms' maxima can't reach the lowest threshold looks nowhere;
 else its terms' maxima per block of items are added up and only blocks that may reach a threshold are scored exactly.
-Retrieved items are verified by the overlap of their question and of their answer with the passage.
+Retrieved items are verified by the overlap of their question and of their answer with the passage; items without an
+answer of their own also by the overlap of their whole text.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def last_sentence(text: Column) -> tuple[Column, Column]:
 class Index:
     """terms: sorted word hashes; most: each term's best score; entries of a term (one per block that has it) run from
     first[t] to first[t + 1] with block and best score; postings of an entry run from start[e] to start[e + 1] with item
-    and score. Items are sorted by threshold, so that blocks hold alike ones. parts: (question, answer) as term numbers."""
+    and score. Items are sorted by threshold, so that blocks hold alike ones. parts: (question, answer) as term numbers. whole: whether the item's whole text may decide."""
 
     ids: np.ndarray
     terms: np.ndarray
@@ -49,6 +50,7 @@ class Index:
     score: np.ndarray
     threshold: np.ndarray
     parts: list[tuple[tuple[int, ...], tuple[int, ...]]]
+    whole: np.ndarray
     words: int
 
     @property
@@ -67,12 +69,13 @@ def _hashed(column: pa.Array) -> list[np.ndarray]:
 
 
 def build(items: pa.Table, retrieve: float = RETRIEVE) -> Index | None:
-    """The index of (id, question, answer) rows; None if no item has a word. Items without a word are left out."""
+    """The index of (id, question, answer, and perhaps whole) rows; None if no item has a word. Items without a word are left out."""
     question, answer = (_hashed(items.column(c).combine_chunks()) for c in ("question", "answer"))
-    found = [(i, q, a) for i, q, a in zip(items.column("id").to_pylist(), question, answer) if len(q) + len(a)]
+    flags = items.column("whole").to_pylist() if "whole" in items.column_names else [False] * len(items)
+    found = [(i, q, a, f) for i, q, a, f in zip(items.column("id").to_pylist(), question, answer, flags) if len(q) + len(a)]
     if not found:
         return None
-    whole = [np.concatenate((q, a)) for _, q, a in found]
+    whole = [np.concatenate((q, a)) for _, q, a, _ in found]
     terms, term = np.unique(np.concatenate(whole), return_inverse=True)
     length = np.array([len(w) for w in whole])
     owner = np.repeat(np.arange(len(whole)), length)
@@ -95,7 +98,8 @@ def build(items: pa.Table, retrieve: float = RETRIEVE) -> Index | None:
     parts = [(tuple(split[k][:len(found[k][1])].tolist()), tuple(split[k][len(found[k][1]):].tolist())) for k in order]
     return Index(np.array([found[k][0] for k in order]), terms, np.maximum.reduceat(score, np.searchsorted(term, np.arange(len(terms)))),
                  np.searchsorted(term[start], np.arange(len(terms) + 1)), item[start] // BLOCK, np.maximum.reduceat(score, start),
-                 np.append(start, len(term)), item, score, retrieve * own[order], parts, int(length.max()))
+                 np.append(start, len(term)), item, score, retrieve * own[order], parts,
+                 np.array([found[k][3] for k in order], bool), int(length.max()))
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +168,8 @@ def search_slice(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: f
     for w, item, score in zip(*(x.tolist() for x in retrieve(index, pair // len(index.terms), pair % len(index.terms)))):
         passage = term[left[near[w]]:right[near[w]]].tolist()
         question, answer = (_share(p, passage) for p in index.parts[item])
-        if question >= overlap and answer >= overlap:
+        both = question >= overlap and answer >= overlap
+        if both or index.whole[item] and _share(sum(index.parts[item], ()), passage) >= overlap:
             key = (int(owner[near[w]]), item)
             found[key] = max(found.get(key, ()), (score, question, answer))
     for (doc, item), rest in sorted(found.items()):
@@ -172,10 +177,11 @@ def search_slice(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: f
 
 
 def indexes(items: DataFrame, key: str = "item_id") -> Iterator[Index]:
-    """Indexes of all items (integer `key`, question, answer), MOST_ITEMS or so in each; further ones have statistics of
+    """Indexes of all items (integer `key`, question, answer, and perhaps boolean whole), MOST_ITEMS or so in each; further ones have statistics of
     their own. Null parts count as ''."""
     wanted = items.select(F.col(key).cast("long").alias("id"), F.coalesce("question", F.lit("")).alias("question"),
-                          F.coalesce("answer", F.lit("")).alias("answer"))
+                          F.coalesce("answer", F.lit("")).alias("answer"),
+                          F.coalesce(F.col("whole") if "whole" in items.columns else F.lit(False), F.lit(False)).alias("whole"))
     blocks = max(1, -(-wanted.count() // MOST_ITEMS))
     for block in range(blocks):
         index = build(wanted.where(F.pmod(F.xxhash64("id", "question"), F.lit(blocks)) == block).toArrow())
@@ -185,7 +191,8 @@ def indexes(items: DataFrame, key: str = "item_id") -> Iterator[Index]:
 
 def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", overlap: float = OVERLAP) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap): every document that holds a test item, with the score of
-    its best passage. `items` has integer item_id, question and answer.
+    its best passage. `items` has integer item_id, question and answer. Both overlaps must reach `overlap`; where a boolean
+    column `whole` is true (the answer is only cut from the text), it is enough that the whole item's overlap does.
 
     Words are runs of letters and digits, A-Z lower-cased. An overlap is the share of a part's distinct five-word n-grams
     (shorter parts: the whole part) that the passage has. Null texts, questions and answers count as ''; items without a

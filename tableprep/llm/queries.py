@@ -128,7 +128,8 @@ def op2_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     question, answer = decontam.last_sentence(F.coalesce("text", F.lit("")))
-    return read(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"))
+    return read(spark, sf_dir, "benchmark").select("item_id", question.alias("question"), answer.alias("answer"),
+                                                  F.lit(True).alias("whole"))
 
 
 @query("op3_benchmark_passages")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tempfile
 
 import numpy as np
 import plain
@@ -146,6 +147,21 @@ def test_leaks_edges(spark):
     assert [tuple(r) for r in parts] == [("One two. ", "Three four?"), ("only one.", ""), ("", "")]
 
 
+def test_near_copies_of_items_without_an_answer_are_found(spark):
+    words = [f"word{k}" for k in range(40)]
+    question = " ".join(words) + "."
+    bench = spark.createDataFrame([(1, f"{question} It is blue today."), (2, f"Second {question} Yes.")], "item_id long, text string")
+    path = tempfile.mkdtemp(prefix="bench-")
+    bench.write.parquet(f"{path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"some text {question} It is red today. and more"), (2, f"a {question} b"),
+                                  (3, f"x Second {question} y"), (4, " ".join(words[:20]))], "doc_id long, text string")
+    items = queries.benchmark_items(spark, path)
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.hits(docs, items).collect()}
+    assert {(1, 1), (2, 1), (3, 2)} <= got and not any(d == 4 for d, _ in got)
+    assert [r["doc_id"] for r in decontam.keep_clean(docs, items).collect()] == [4]
+    assert not decontam.hits(docs.where("doc_id = 1"), items.where("item_id = 1").drop("whole")).count()
+
+
 def test_prefix_hashes():
     rng = np.random.default_rng(5)
     for _ in range(200):
