@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import chat, decontam, fingerprints, line_dedup, ngram_join, pieces, pii_crf, sharding, toxicity, url_reputation
+from tableprep.llm import (chat, decontam, fingerprints, line_dedup, ngram_join, pieces, pii_crf, sharding, spelling, token_counts, toxicity,
+                           url_reputation, whitening)
 from tableprep.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +160,41 @@ def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.encode_table(docs, pieces.load(PIECES))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crcs AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents),
+g AS (SELECT w, count(*) AS c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS h FROM r WHERE length(w) >= 5 GROUP BY doc_id, w),
+e AS (SELECT w, c, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+  regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8))) AS crc FROM g, crcs),
+x AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(w, 1, (crc % length(w))::INT) || substr(w, (crc % length(w))::INT + 2) ELSE w END AS word, c FROM e),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM x WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM v, unnest(range(1, length(word) + 1)) AS t(i)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM k a JOIN v ON a.less = v.word
+  UNION SELECT v.word, a.word, a.n FROM k a JOIN v ON a.less = v.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, b.m, min(p.other) AS form FROM v JOIN b ON b.word = v.word AND b.m >= 2 * v.n JOIN p ON p.word = v.word AND p.m = b.m GROUP BY ALL),
+w AS (SELECT word, form AS root FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.root),
+z AS (SELECT word, root FROM w WHERE root NOT IN (SELECT word FROM f))
+SELECT v.word, f.form, coalesce(z.root, v.word) AS root, v.n, coalesce(b.n_near, 0) AS n_near, f.m AS form_n
+FROM v LEFT JOIN f ON f.word = v.word LEFT JOIN b ON b.word = v.word LEFT JOIN z ON z.word = v.word
+"""
+
+
+@query("op11_permuterm_variants", OP11_SQL)
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_table(read(spark, sf_dir, "documents"))
+
+
+@query("op12_polar_whitening")
+def op12_polar_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_table(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_rank_merged_tokens")
+def op13_rank_merged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_table(read(spark, sf_dir, "documents"), token_counts.load(PIECES))

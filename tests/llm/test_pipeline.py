@@ -62,4 +62,4 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_registered_queries():
-    assert len(queries.QUERIES) == 10 and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert len(queries.QUERIES) == 13 and {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
