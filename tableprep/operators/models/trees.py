@@ -7,15 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import Roles
-from tableprep.operators.models.common import FEATURES, TARGET, Task, argmax, classification, regression
-from tableprep.operators.models.linear import one_vs_rest
+from tableprep.operators.models import growing
+from tableprep.operators.models.common import FEATURES, TARGET, Task, classification, regression
+from tableprep.session import cut_lineage
 
 DEEP = 30     # the deepest tree Spark grows; stands for an unlimited one
 BUCKETS = 64  # places where a stump may cut a column, plus 1
@@ -50,8 +49,19 @@ def decision_tree(df: DataFrame, roles: Roles = Roles(), depth: int = DEEP, seed
 
 def gradient_boosting(df: DataFrame, roles: Roles = Roles(), rounds: int = 100, depth: int = 3, rate: float = 0.1,
                       seed: int = 0) -> DataFrame:
-    return one_vs_rest(classification(df, roles), GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate,
-                                                                seed=seed))
+    """Boosting of the softmax loss: every round grows one tree a class (one alone for two classes) in shared passes.
+
+    Columns are cut at quantiles. Without numeric columns, or with one class, the most frequent class is predicted.
+    """
+    task = classification(df, roles)
+    sizes = _class_sizes(task.train)
+    counts = np.array([sizes[float(c)] for c in range(len(task.classes))], float)
+    if not task.names or len(counts) == 1:
+        return task.predicted(task.test, task.class_of(F.lit(int(counts.argmax()))))
+    edges = growing.quantile_edges(task)
+    base = growing.bucketed(growing.raw_base(task), edges)
+    model = growing.boost_softmax(base, counts, len(task.names), rounds, depth, rate, seed)
+    return growing.boosted_class(task, growing.valued(model, edges))
 
 
 def bagging_regressor(df: DataFrame, roles: Roles = Roles(), trees: int = 10, depth: int = DEEP, seed: int = 0):
@@ -230,59 +240,40 @@ def easy_ensemble(df: DataFrame, roles: Roles = Roles(), subsets: int = 10, roun
     return _vote(task, boost(task, rounds, seed, subsets, balanced=True))
 
 
-def _vote_models(task: Task, rows: DataFrame, models: list) -> DataFrame:
-    """Mean class probabilities of several models; each reads its own features column or the shared one."""
-    for i, model in enumerate(models):
-        model.setProbabilityCol(f"_p{i}").setPredictionCol(f"_q{i}").setRawPredictionCol(f"_r{i}")
-        rows = model.transform(rows).withColumn(f"_p{i}", vector_to_array(f"_p{i}")).drop(f"_q{i}", f"_r{i}")
-    scores = [sum((F.coalesce(F.get(F.col(f"_p{i}"), F.lit(c)), F.lit(0.0)) for i in range(len(models))), F.lit(0.0))
-              for c in range(len(task.classes))]
-    return task.predicted(rows, task.class_of(argmax(scores)))
+def _look(task: Task, look: int | None) -> int:
+    """Columns that a node looks at: the square root of all, if no number is asked for."""
+    d = max(1, len(task.names))
+    return max(1, int(math.sqrt(d))) if look is None else min(look, d)
+
 
+def balanced_trees(task: Task, trees: int, depth: int, seed: int, look: int | None) -> growing.Forest:
+    """The trees of `balanced_forest`, with cuts at values; the statistics of their nodes are class counts."""
+    edges = growing.quantile_edges(task) if task.names else []
+    base = cut_lineage(growing.bucketed(growing.raw_base(task), edges))
+    start, measures, _ = growing.balanced_draws(base, len(task.classes), seed)
+    grown = growing.grow(growing.Growth(base, len(task.names), len(task.classes), growing.gini_gain, measures,
+                                        lambda s: not growing.impure(s), _look(task, look), depth, seed, start=start), trees)
+    return growing.unbucketed(grown, edges)
 
-def balanced_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0):
-    """A forest whose bootstrap samples hold as much of every class as of the rarest one: rows carry the weight that
-    balances their class. One fit for all trees."""
+
+def balanced_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0,
+                    look: int | None = None) -> DataFrame:
+    """A forest in which every tree has a bootstrap sample of its own that draws, from every class, as many rows as the
+    rarest class has. Draws are counted by row number, the table is not copied. `look` columns are tried at each node."""
     task = classification(df, roles)
-    sizes = _class_sizes(task.train)
-    least, weight = min(sizes.values()), F.lit(0.0)
-    for c, n in sizes.items():
-        weight = F.when(F.col(TARGET) == c, least / n).otherwise(weight)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=True, weightCol="_w",
-                                    featureSubsetStrategy="sqrt")
-    model = _seeded(forest).fit(task.vectors(task.train).select(FEATURES, TARGET, weight.alias("_w")))
-    return task.predicted(model.transform(task.vectors(task.test).drop(TARGET)), task.class_of(F.col("prediction")))
+    return growing.forest_vote(task, balanced_trees(task, trees, depth, seed, look))
 
 
 def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0,
-                cuts: int = 31, groups: int = 10) -> DataFrame:
-    """Trees that may only split at random points, on all rows.
-
-    For each group of trees every column gets random cut points between its least and largest value; a tree sees the
-    number of the interval alone. A group is one forest fit.
-    """
+                look: int | None = None) -> DataFrame:
+    """Trees on all rows whose nodes draw one random cut for each column they look at, between the column's least and largest
+    value in the node, and keep the best. A level is two passes for all trees: ranges, then class counts."""
     task = classification(df, roles)
-    train = task.train.select(*task.x, TARGET).persist()
-    ends = train.agg(F.array(*[F.min(x) for x in task.x]), F.array(*[F.max(x) for x in task.x])).first()
-    rng = np.random.default_rng(seed)
-    test, models = task.test.drop(TARGET), []
-    groups = min(groups, trees)
-    for i in range(groups):
-        splits = [[-math.inf, *sorted({float(v) for v in rng.uniform(low, high, cuts)}), math.inf]
-                  for low, high in zip(*ends)]
-        bins = Bucketizer(splitsArray=splits, inputCols=task.names, outputCols=[f"_b{j}" for j in range(len(splits))])
-        pack = VectorAssembler(inputCols=bins.getOutputCols(), outputCol=f"_f{i}")
-
-        def vectors(rows: DataFrame) -> DataFrame:
-            return pack.transform(bins.transform(rows)).drop(*bins.getOutputCols())
-
-        forest = RandomForestClassifier(numTrees=trees // groups + (i < trees % groups), maxDepth=depth, seed=seed + i,
-                                        bootstrap=False, labelCol=TARGET, featuresCol=f"_f{i}",
-                                        featureSubsetStrategy="sqrt", maxBins=cuts + 1)
-        models.append(forest.fit(vectors(train).select(f"_f{i}", TARGET)))
-        test = vectors(test)
-    train.unpersist()
-    return _vote_models(task, test, models)
+    base = cut_lineage(growing.raw_base(task))
+    grown = growing.grow(growing.Growth(base, len(task.names), len(task.classes), growing.gini_gain,
+                                        lambda batch, tree, state: [(batch.column(1).to_numpy(), None)],
+                                        lambda s: not growing.impure(s), _look(task, look), depth, seed, buckets=2, random_cuts=True), trees)
+    return growing.forest_vote(task, grown)
 
 
 def ada_boost_regressor(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, depth: int = 3, seed: int = 0):

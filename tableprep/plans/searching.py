@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tableprep.functions.columns import one_row
 from tableprep.functions.ordered import drop_context, number_rows, overlapping_blocks, time_block
-from tableprep.operators import catalog, logs, search
+from tableprep.operators import catalog, logs, search, textindex
 from tableprep.operators.metafeatures import FEATURES
 from tableprep.plans.registry import query, scratch, table
 from tableprep.plans.tables import rounded
@@ -92,6 +92,40 @@ def c5(spark, sf):
     return rounded(hits.select("doc_id", "dist"))
 
 
+# Weights of all texts by the frequencies in some of them (`known`), and the five best texts for every hundredth one.
+TEXT_HITS = """WITH tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang,
+    unnest(regexp_extract_all(lower(text), '[^\\x09-\\x0D ]+')) AS term FROM documents) GROUP BY ALL),
+  idf AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE {known}) + 1.0) / (count(*) FILTER ({known}) + 1)) AS idf
+    FROM tf GROUP BY term),
+  w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term) WHERE tf * idf > 0),
+  u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w),
+  s AS (SELECT q.doc_id AS query, d.doc_id, sum(q.u * d.u) AS score FROM u q JOIN u d USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+  SELECT query, doc_id, round(greatest(2 - 2 * score, 0), 6) AS dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY query
+  ORDER BY round(score, 12) DESC, doc_id)::INT AS rank FROM s) WHERE rank <= 5"""
+
+
+def _text_hits(spark, sf, known):
+    docs, path = table(spark, sf, "documents"), scratch(spark)
+    textindex.build(docs.filter(known), path, key="doc_id")
+    rest = docs.filter(~known)
+    if not rest.isEmpty():
+        textindex.append(rest, path, key="doc_id")
+    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
+    return rounded(textindex.search(spark, path, asked, 5, key="doc_id"))
+
+
+@query("c5_text_index", TEXT_HITS.format(known="true"))
+def c5_index(spark, sf):
+    """Every hundredth text is searched for in a stored index of all texts."""
+    return _text_hits(spark, sf, F.lit(True))
+
+
+@query("c5_text_index_grown", TEXT_HITS.format(known="lang = 'en'"))
+def c5_grown(spark, sf):
+    """The same in an index of the English texts to which all others were added."""
+    return _text_hits(spark, sf, F.col("lang") == "en")
+
+
 @query("c6_dedup_search", f"""WITH {CENTRE} SELECT label, round(min(dist), 6) AS dist FROM (SELECT label, {L2.format('m')}
   AS dist FROM embeddings e, m ORDER BY dist LIMIT 25) GROUP BY label ORDER BY min(dist) LIMIT 5""")
 def c6(spark, sf):
