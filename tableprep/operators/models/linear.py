@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from tableprep.functions.columns import Roles
@@ -59,32 +58,6 @@ def linear_svc(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, max_iter:
     return one_vs_rest(task, LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter))
 
 
-def kernel_svc(df: DataFrame, roles: Roles = Roles(), c: float = 1.0, size: int = 128, seed: int = 0,
-               max_iter: int = 100) -> DataFrame:
-    """Support vectors with an RBF kernel, by random Fourier features (Rahimi and Recht, 2007) and a linear machine.
-
-    A kernel matrix grows with the square of the rows; the random features do not.
-    """
-    task = classification(df, roles)
-    variance = class_sums(task).pooled_var
-    d = len(task.names)
-    gamma = 1.0 / (d * float(variance.mean() or 1.0))
-    rng = np.random.default_rng(seed)
-    directions = rng.normal(scale=np.sqrt(2 * gamma), size=(d, size))
-    phases = rng.uniform(0, 2 * np.pi, size)
-
-    @F.pandas_udf("array<double>")
-    def waves(x: pd.Series) -> pd.Series:
-        return pd.Series(list(np.sqrt(2.0 / size) * np.cos(np.array(x.tolist()) @ directions + phases)))
-
-    def vectors(rows: DataFrame) -> DataFrame:
-        return rows.withColumn(FEATURES, array_to_vector(waves(F.array(*task.x))))
-
-    task.vectors = vectors
-    n = max(task.rows, 1)
-    return one_vs_rest(task, LinearSVC(regParam=1.0 / (c * n), standardization=False, maxIter=max_iter))
-
-
 def _ridge_parts(task: Task):
     sums = class_sums(task)
     center = sums.center

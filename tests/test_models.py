@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.functions.columns import Roles
-from tableprep.operators.models import bayes, common, linear, neighbors, trees
+from tableprep.operators.models import bayes, common, linear, neighbors, svc, trees
 
 ROLES = Roles(keys=("k",))
 
@@ -31,7 +31,7 @@ def table(spark, data):
     (trees.ada_boost, {"rounds": 8}), (trees.rus_boost, {"rounds": 8}), (trees.gradient_boosting, {"rounds": 3}),
     (trees.easy_ensemble, {"subsets": 2, "rounds": 4}), (trees.balanced_forest, {"trees": 4, "depth": 5}),
     (linear.logistic_regression, {}), (linear.sgd_classifier, {}), (linear.linear_svc, {}),
-    (linear.kernel_svc, {"size": 64}), (linear.passive_aggressive, {}), (linear.ridge_classifier_cv, {}),
+    (svc.kernel_svc, {}), (linear.passive_aggressive, {}), (linear.ridge_classifier_cv, {}),
     (neighbors.k_neighbors, {}), (bayes.bernoulli_nb, {})])
 def test_accuracy_floor(table, model, params):
     out = model(table, ROLES, **params)
