@@ -8,9 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tableprep.functions import factors
 from tableprep.functions.columns import Roles, col, filled, number
-from tableprep.functions.moments import dot, gram
+from tableprep.functions.moments import dot
 
+FEWEST = 3  # fixed value: numeric columns from which on a projection does something
 
 
 def _others(df: DataFrame, roles: Roles) -> list[Column]:
@@ -56,6 +58,17 @@ def _assembled(df: DataFrame, roles: Roles, names: list[str], output: str) -> Da
     return VectorAssembler(inputCols=names, outputCol=output).transform(staged)
 
 
+def _projected(df: DataFrame, roles: Roles, names: list[str], axes: np.ndarray, mean: np.ndarray, prefix: str) -> DataFrame:
+    """The numeric columns replaced by their projections on the columns of `axes`, in one projection of the rows."""
+    x = [filled(df, c) for c in names]
+    return df.select(*_others(df, roles), *[dot(x, axes[:, i], -float(mean @ axes[:, i])).alias(f"{prefix}{i + 1}") for i in range(axes.shape[1])])
+
+
+def _arrays(df: DataFrame, roles: Roles, names: list[str]) -> DataFrame:
+    """The train rows as arrays of numbers."""
+    return roles.train(df).select(F.array(*[filled(df, c).cast("double") for c in names]).alias("x"))
+
+
 def pca(df: DataFrame, roles: Roles = Roles(), components: int | None = None) -> DataFrame:
     """Principal components `PC1..` of the centred numeric columns (`accepts_pca` says when they are worth it).
 
@@ -63,7 +76,7 @@ def pca(df: DataFrame, roles: Roles = Roles(), components: int | None = None) ->
     The largest loading of a component is made positive.
     """
     names = roles.numeric(df)
-    if not names:
+    if len(names) < FEWEST:
         return df
     rows = _assembled(df, roles, names, "_raw")
     center = StandardScaler(withMean=True, withStd=False, inputCol="_raw", outputCol="_centred")
@@ -78,6 +91,7 @@ def pca(df: DataFrame, roles: Roles = Roles(), components: int | None = None) ->
 
 
 def pca_auto(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+    """All components. This and the other projections leave a table of fewer than `FEWEST` numeric columns as it is."""
     return pca(df, roles)
 
 
@@ -86,14 +100,34 @@ def pca_full(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
     return pca(df, roles)
 
 
-def pca_two(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """The first two components."""
-    return pca(df, roles, 2)
+def pca_two(df: DataFrame, roles: Roles = Roles(), components: int = 2) -> DataFrame:
+    """The leading components by a Krylov method: no covariance matrix is made, so the columns may be many."""
+    names = roles.numeric(df)
+    if len(names) < FEWEST:
+        return df
+    found = factors.leading(_arrays(df, roles, names), len(names), components, center=True)
+    return _projected(df, roles, names, found.axes, found.mean, "PC")
+
+
+def incremental_fit(df: DataFrame, roles: Roles = Roles(), state: factors.Factor | None = None, most: int | None = None) -> factors.Factor:
+    """The state after the train rows of one more batch; `factors.save_factor` and `load_factor` keep it. With `most`, that
+    many leading directions are carried from batch to batch, else all, and batches give what one table would."""
+    names = roles.numeric(df)
+    new = factors.factor_of(_arrays(df, roles, names), len(names), most)
+    return new if state is None else state.merge(new)
+
+
+def incremental_transform(df: DataFrame, roles: Roles, state: factors.Factor) -> DataFrame:
+    """Projection on the directions of a state, as `PC1..`."""
+    names = roles.numeric(df)
+    if len(names) != len(state.mean):
+        raise ValueError(f"the state was made from {len(state.mean)} columns, the table has {len(names)}")
+    return _projected(df, roles, names, state.directions()[1], state.mean, "PC") if names else df
 
 
 def incremental_pca(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """All components from one pass of partial sums, as every covariance here is computed."""
-    return pca(df, roles)
+    """All components from mergeable states: tasks reduce their rows to a short factor, factors are merged in groups."""
+    return incremental_transform(df, roles, incremental_fit(df, roles)) if len(roles.numeric(df)) >= FEWEST else df
 
 
 def kernel_pca(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -102,15 +136,34 @@ def kernel_pca(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 
 def truncated_svd(df: DataFrame, roles: Roles = Roles(), components: int = 2) -> DataFrame:
-    """Projection on the leading right singular vectors of the uncentred columns, as `SVD1..`."""
+    """Projection on the leading right singular vectors of the uncentred columns, as `SVD1..`, by a Krylov method."""
     names = roles.numeric(df)
-    if not names:
+    if len(names) < FEWEST:
         return df
-    x = {c: filled(df, c) for c in names}
-    axes = np.linalg.eigh(gram(roles.train(df), x))[1][:, ::-1][:, :components]
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    return df.select(*_others(df, roles), *[dot(list(x.values()), axes[:, i]).alias(f"SVD{i + 1}")
-                                            for i in range(axes.shape[1])])
+    found = factors.leading(_arrays(df, roles, names), len(names), components, center=False)
+    return _projected(df, roles, names, found.axes, found.mean, "SVD")
+
+
+def truncated_svd_sparse(df: DataFrame, indices: Column, values: Column, width: int, roles: Roles = Roles(), components: int = 2,
+                         output: str = "svd", center: bool = False) -> DataFrame:
+    """The same for rows of `width` columns given by the arrays of their filled places (from 0) and numbers, such as one-hot
+    columns by the ten thousand: adds the array `output`. With `center` these are the principal components. A row whose
+    arrays are null gets null and counts for nothing."""
+    rows = df.withColumn("_i", indices.cast("array<int>")).withColumn("_v", values.cast("array<double>"))
+    given = F.col("_i").isNotNull() & F.col("_v").isNotNull()
+    found = factors.leading(roles.train(rows).where(given).select("_i", "_v"), width, components, center)
+    filled_in = [F.when(given, F.col(c)).otherwise(F.array().cast(t)) for c, t in (("_i", "array<int>"), ("_v", "array<double>"))]
+    made = factors.project(rows, [*[col(c) for c in df.columns], given.alias("_given")], filled_in, found.axes, found.mean, output)
+    return made.withColumn(output, F.when(F.col("_given"), col(output))).drop("_given")
+
+
+def truncated_svd_vectors(df: DataFrame, vector: str, roles: Roles = Roles(), components: int = 2, output: str = "svd",
+                          center: bool = False) -> DataFrame:
+    """The same for a column of Spark ML vectors of one size, sparse or dense, which the array `output` replaces."""
+    held = F.unwrap_udt(col(vector))
+    width = roles.train(df).agg(F.max(F.coalesce(held["size"], F.size(held["values"])))).first()[0] or 0
+    arrays = df.select(*[col(c) for c in df.columns if c != vector], *[c.alias(n) for c, n in zip(factors.sparse_row(col(vector)), ("_si", "_sv"))])
+    return truncated_svd_sparse(arrays, F.col("_si"), F.col("_sv"), width, roles, components, output, center).drop("_si", "_sv")
 
 
 def random_trees_embedding(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = 5, seed: int = 0,

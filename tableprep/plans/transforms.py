@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tableprep.functions import factors
 from tableprep.operators import encode, features, impute, scale
-from tableprep.plans.registry import query
+from tableprep.plans.registry import query, scratch, table
 from tableprep.plans.tables import KEYS, NUMBERS, PREP, ROLES, prep, rounded
 
 ID = ", ".join(f"p.{k}" for k in KEYS)
@@ -169,6 +170,17 @@ _variance_query("g4_pca_full", features.pca_full, _all_components())
 _variance_query("g6_incremental_pca", features.incremental_pca, _all_components())
 
 
+def _in_two_batches(rows, roles):
+    """The second batch of rows meets the saved state of the first."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    first = F.col("l_linenumber") <= 3
+    factors.save_factor(spark, features.incremental_fit(rows.filter(first), roles), path)
+    return features.incremental_transform(rows, roles, features.incremental_fit(rows.filter(~first), roles, factors.load_factor(spark, path)))
+
+
+_variance_query("g6_incremental_pca_two_batches", _in_two_batches, _all_components())
+
+
 def _two_components():
     """Price dwarfs the other columns, so the first two components hold all but the two smallest variances (< 1e-2)."""
     return (f"WITH {PREP} SELECT count(*) AS n, 2::BIGINT AS components, round(({VARIANCE}) / 1e6, 3) AS variance, "
@@ -188,6 +200,17 @@ def g8(spark, sf):
                     F.round(F.sum(F.col("SVD1") * F.col("SVD1") + F.col("SVD2") * F.col("SVD2")) / 1e9, 2).alias("energy"))
 
 
+@query("g8_truncated_svd_wide", """SELECT sum(e) AS energy, max(e) AS largest FROM (SELECT round(sum(l_quantity * l_quantity), 3) AS e
+  FROM lineitem GROUP BY l_partkey ORDER BY e DESC LIMIT 2)""")
+def g8_wide(spark, sf):
+    """One column per part, holding the quantity: the leading directions are the parts with the largest sums of squares."""
+    items = table(spark, sf, "lineitem").select("l_partkey", "l_quantity")
+    width = items.agg(F.max("l_partkey")).first()[0] + 1
+    made = features.truncated_svd_sparse(items, F.array("l_partkey"), F.array("l_quantity"), width)
+    sums = made.agg(*[F.sum(F.col("svd")[i] * F.col("svd")[i]).alias(f"e{i}") for i in range(2)])
+    return sums.select(F.round(F.col("e0") + F.col("e1"), 3).alias("energy"), F.round("e0", 3).alias("largest"))
+
+
 @query("g9_random_trees_embedding", f"""WITH {PREP} SELECT count(*) AS n, 100::BIGINT AS trees FROM prep""")
 def g9(spark, sf):
     """Every row has one active leaf per tree."""
