@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tableprep.session import cut_lineage
+
 ROWS_PER_BLOCK = 1_000_000
 
 
@@ -73,3 +75,18 @@ def overlapping_blocks(df: DataFrame, step: str, halo: int, size: int = ROWS_PER
 
 def drop_context(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("_context")).drop("_block", "_context")
+
+
+def running_sums(df: DataFrame, key: str, order: str, sums: Sequence[str]) -> DataFrame:
+    """The rows with the sums of some columns over all rows up to each one in the order of `order`, as `upto_<name>`. The rows
+    of a key are dealt over tasks by ranges of the order, which must not repeat within a key. For few
+    keys: a row for every task and key is broadcast."""
+    dealt = df.repartitionByRange(key, order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(dealt)  # numbers of partitions hold for written rows alone
+    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(key, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    parts = parts.select(key, "_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inside = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.select("*", *[F.sum(c).over(inside).alias(f"upto_{c}") for c in sums])
+    # one short row per task and key
+    return near.join(F.broadcast(cut_lineage(parts)), [key, "_part"]).select(*df.columns, *[(F.col(f"upto_{c}") + F.col(f"_{c}")).alias(f"upto_{c}") for c in sums])

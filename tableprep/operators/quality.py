@@ -6,13 +6,13 @@ import datetime
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, Tokenizer, VectorAssembler, Word2Vec
+from pyspark.ml.feature import StandardScaler, Tokenizer, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableprep.functions.columns import (col, dtype, filled, is_missing, number, numeric_columns, string_columns)
 from tableprep.functions.nearest import neighbours_within
+from tableprep.functions.ordered import running_sums
 from tableprep.functions.quantiles import counted_quantiles, exact_quantiles, sketched
 from tableprep.operators.cleanup import any_date
 from tableprep.operators.guards import is_not_a_number
@@ -153,28 +153,57 @@ def scorecard(df: DataFrame, now: datetime.datetime | None = None) -> dict[str,
     return {**scores, "total": sum(known) / len(known)}
 
 
-def kmeans_outliers(df: DataFrame, seed: int = 0) -> int:
-    """Per column two clusters; values farther from their centre than 95 % of the column count as outliers.
+def two_means(counts: DataFrame) -> DataFrame:
+    """(c, first, second): the centres of the best two clusters of every column c, from (c, v, n) with distinct values.
 
-    Text cells that are no numbers are outliers too. A row dropped for a bad cell stays out for later columns.
+    In one dimension the best clusters are the values up to some cut and those above it. Running counts and sums over the
+    sorted values give the spread between both sides at every cut, so all columns take one pass and no iterations. What is
+    broadcast here and below is one row per column.
     """
-    left, count = df.dropna(), 0
-    for c in df.columns:
-        if c in string_columns(df):
-            bad = is_not_a_number(col(c))
-            count += left.filter(bad).count()
-            left = left.filter(~bad)
-        x = F.trim(col(c)).try_cast("double") if c in string_columns(df) else number(df, c)
-        values = left.select(x.alias("x")).dropna()
-        if values.isEmpty():
-            continue
-        rows = VectorAssembler(inputCols=["x"], outputCol="vec").transform(values).persist()
-        centers = [float(m[0]) for m in KMeans(k=2, seed=seed, featuresCol="vec").fit(rows).clusterCenters()]
-        rows.unpersist()
-        distance = F.least(*[F.abs(F.col("x") - m) for m in (centers * 2)[:max(2, len(centers))]])
-        edge = exact_quantiles(values, {"d": distance}, [0.95])["d"][0]
-        count += values.filter(distance > edge).count()
-    return count
+    whole = counts.groupBy("c").agg(F.sum("n").alias("all"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    centred = counts.join(F.broadcast(whole), "c").withColumn("s", (F.col("v") - F.col("mean")) * F.col("n"))
+    cuts = running_sums(centred, "c", "v", ["n", "s"])
+    below, above = F.col("upto_n"), F.col("all") - F.col("upto_n")
+    between = F.when(above > 0, F.col("upto_s") * F.col("upto_s") / below / above)
+    best = F.max_by(F.struct((F.col("mean") + F.col("upto_s") / below).alias("first"), (F.col("mean") - F.col("upto_s") / above).alias("second")),
+                    F.when(above > 0, F.struct(between, -F.col("v"))))
+    found = cuts.groupBy("c").agg(best.alias("m"), F.first("mean").alias("mean"))
+    return found.select("c", F.coalesce("m.first", "mean").alias("first"), F.coalesce("m.second", "mean").alias("second"))
+
+
+def _quantile_of_counts(counts: DataFrame, share: float) -> DataFrame:
+    """(c, edge): the quantile of every column, between neighbouring ranks in a straight line, from (c, d, n) with distinct d."""
+    whole = counts.groupBy("c").agg(F.sum("n").alias("all"))
+    upto = running_sums(counts.join(F.broadcast(whole), "c"), "c", "d", ["n"])
+    place = (F.col("all") - 1) * share
+    at = lambda rank: F.min(F.when(F.col("upto_n") > rank, F.col("d")))
+    found = upto.groupBy("c").agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.first(place - F.floor(place)).alias("rest"))
+    return found.select("c", (F.col("low") + (F.col("high") - F.col("low")) * F.col("rest")).alias("edge"))
+
+
+def kmeans_outliers(df: DataFrame, share: float = 0.95) -> int:
+    """Per column the two best clusters; values farther from the nearer centre than `share` of the column count as outliers.
+
+    Text cells that are no numbers are outliers too. A row dropped for a bad cell stays out for later columns, and rows with a
+    missing cell are left out. Values that are not finite are left aside. The clusters are those of least spread (of equal
+    ones, the lowest cut); all columns are counted in one pass.
+    """
+    bad, x = [], []
+    for i, c in enumerate(df.columns):
+        text = c in string_columns(df)
+        bad.append(F.when(is_not_a_number(col(c)) if text else F.lit(False), F.lit(i)))
+        x.append(F.trim(col(c)).try_cast("double") if text else number(df, c).cast("double"))
+    gone = F.coalesce(*bad, F.lit(len(x)))
+    cells = [F.struct(F.lit(i).alias("c"), v.alias("v")) for i, v in enumerate(x)]
+    lost = F.struct(F.lit(-1).alias("c"), F.when(F.col("_gone") < len(x), 0.0).alias("v"))
+    kept = F.filter(F.array(lost, *cells), lambda e: (F.abs(e["v"]) < float("inf")) & (e["c"] < F.col("_gone")))
+    rows = df.dropna().withColumn("_gone", gone).select(F.explode(kept).alias("e"))
+    counts = cut_lineage(rows.groupBy("e.c", (F.col("e.v") + 0.0).alias("v")).agg(F.count("*").alias("n")))
+    values = counts.where("c >= 0")
+    far = F.least(F.abs(F.col("v") - F.col("first")), F.abs(F.col("v") - F.col("second")))
+    distances = cut_lineage(values.join(F.broadcast(two_means(values)), "c").groupBy("c", far.alias("d")).agg(F.sum("n").alias("n")))
+    outside = distances.join(F.broadcast(_quantile_of_counts(distances, share)), "c").where("d > edge").select("n")
+    return counts.where("c < 0").select("n").unionByName(outside).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def text_vectors(df: DataFrame, name: str, size: int = 32, seed: int = 0, min_count: int = 1) -> DataFrame:

@@ -131,6 +131,27 @@ def i8(spark, sf):
     return one_row(spark, outliers=quality.kmeans_outliers(rows))
 
 
+def _two_means_sql(name: str, value: str, where: str) -> str:
+    """Counts of the values beyond the 95 % quantile of the distance to the nearer of the two best centres."""
+    return f"""{name}c AS (SELECT {value} AS v, count(*) AS n FROM k8 WHERE {where} GROUP BY v),
+  {name}t AS (SELECT sum(n) AS total, sum(v * n) / sum(n) AS mean FROM {name}c),
+  {name}r AS (SELECT v, sum(n) OVER w AS a, sum(n * (v - mean)) OVER w AS s, total, mean FROM {name}c, {name}t WINDOW w AS (ORDER BY v)),
+  {name}m AS (SELECT mean + s / a AS m1, mean - s / (total - a) AS m2 FROM {name}r WHERE a < total ORDER BY s * s / a / (total - a) DESC, v LIMIT 1),
+  {name}d AS (SELECT least(abs({value} - m1), abs({value} - m2)) AS d FROM k8, {name}m WHERE {where}),
+  {name} AS (SELECT count(*) AS n FROM {name}d WHERE d > (SELECT quantile_cont(d, 0.95) FROM {name}d))"""
+
+
+@query("i8_kmeans_outliers_columns", f"""WITH k8 AS (SELECT l_extendedprice * l_extendedprice / 1e5 AS price, l_quantity AS quantity, l_tax AS tax,
+  l_linenumber = 3 AS bad FROM lineitem), {_two_means_sql('ka', 'price', 'true')}, {_two_means_sql('kb', 'quantity', 'NOT bad')},
+  {_two_means_sql('kc', 'tax', 'NOT bad')} SELECT (SELECT count(*) FILTER (bad) FROM k8) + ka.n + kb.n + kc.n AS outliers FROM ka, kb, kc""")
+def i8_columns(spark, sf):
+    """Several columns at once; rows with a bad text cell are gone for the columns from there on."""
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") * F.col("l_extendedprice") / 1e5).alias("price"),
+        F.when(F.col("l_linenumber") == 3, "n3").otherwise(F.col("l_quantity").cast("string")).alias("quantity"), F.col("l_tax").alias("tax"))
+    return one_row(spark, outliers=quality.kmeans_outliers(rows))
+
+
 @query("i9_vector_outliers", """WITH d AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b
   WHERE array_distance(a.embedding::DOUBLE[64], b.embedding::DOUBLE[64]) <= 1.16),
   n AS (SELECT a, count(*) AS near FROM d GROUP BY a), core AS (SELECT a FROM n WHERE near >= 5)

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tableprep.functions.columns import one_row
 from tableprep.functions.ordered import drop_context, number_rows, overlapping_blocks, time_block
-from tableprep.operators import catalog, logs, search, textindex
+from tableprep.operators import catalog, logs, search, textindex, vectorindex
 from tableprep.operators.metafeatures import FEATURES
 from tableprep.plans.registry import query, scratch, table
 from tableprep.plans.tables import rounded
@@ -92,6 +92,35 @@ def c5(spark, sf):
     return rounded(hits.select("doc_id", "dist"))
 
 
+def _grown_index(vectors):
+    """Half of the labels first, the other half added to the stored cells."""
+    path = scratch(vectors.sparkSession)
+    vectorindex.build(vectors.filter("label <= 4"), path, key="vec_id")
+    vectorindex.append(vectors.filter("label > 4"), path, key="vec_id")
+    return path
+
+
+@query("c4_vector_index_grown", f"""WITH {CENTRES} SELECT c.label AS query, vec_id, round({L2.format('c')}, 6) AS dist
+  FROM embeddings e, c QUALIFY row_number() OVER (PARTITION BY c.label ORDER BY {L2.format('c')}, vec_id) <= 5""")
+def c4_index(spark, sf):
+    """The vectors nearest to the mean of each label, from a stored index to which rows were added."""
+    vectors = table(spark, sf, "embeddings")
+    queries = _centres(vectors, "label").withColumnRenamed("label", "query")
+    return rounded(vectorindex.search(spark, _grown_index(vectors), queries, 5, key="vec_id").select("query", "vec_id", "dist"))
+
+
+@query("c6_dedup_index", f"""WITH {CENTRES}, h AS (SELECT c.label AS query, e.label, {L2.format('c')} AS dist FROM embeddings e, c
+  QUALIFY row_number() OVER (PARTITION BY c.label ORDER BY {L2.format('c')}, vec_id) <= 25)
+  SELECT query, label, round(min(dist), 6) AS dist FROM h GROUP BY query, label
+  QUALIFY row_number() OVER (PARTITION BY query ORDER BY min(dist)) <= 5""")
+def c6_index(spark, sf):
+    """The nearest vector of each label counts once, for many queries on the stored index."""
+    vectors = table(spark, sf, "embeddings")
+    queries = _centres(vectors, "label").withColumnRenamed("label", "query")
+    hits = vectorindex.search_distinct(spark, _grown_index(vectors), queries, "label", 5, key="vec_id")
+    return rounded(hits.select("query", "label", "dist"))
+
+
 # Weights of all texts by the frequencies in some of them (`known`), and the five best texts for every hundredth one.
 TEXT_HITS = """WITH tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang,
     unnest(regexp_extract_all(lower(text), '[^\\x09-\\x0D ]+')) AS term FROM documents) GROUP BY ALL),

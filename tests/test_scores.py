@@ -70,6 +70,25 @@ def test_kmeans_outliers(spark):
     assert quality.kmeans_outliers(df) == 2
 
 
+def two_means_reference(x):
+    x = np.sort(np.array(x, dtype=float))
+    cuts = [i for i in range(1, len(x)) if x[i] > x[i - 1]]
+    best = min(cuts, key=lambda i: (round(((x[:i] - x[:i].mean()) ** 2).sum() + ((x[i:] - x[i:].mean()) ** 2).sum(), 6), i), default=None)
+    m = [x.mean()] * 2 if best is None else [x[:best].mean(), x[best:].mean()]
+    d = np.minimum(abs(x - m[0]), abs(x - m[1]))
+    return int((d > np.quantile(d, 0.95)).sum())
+
+
+def test_kmeans_outliers_take_the_best_clusters(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.exponential(size=400), "b": rng.integers(0, 9, 400), "c": 1e6 + rng.normal(size=400), "flat": 5.0})
+    df = spark.createDataFrame(pdf).repartition(4)
+    assert quality.kmeans_outliers(df) == sum(two_means_reference(pdf[c]) for c in pdf)
+    odd = spark.createDataFrame([(1.0, "3"), (float("inf"), "4"), (None, "5"), (2.0, "x"), (9.0, " 6 ")], "x double, s string")
+    assert quality.kmeans_outliers(odd) == 1 + two_means_reference([1.0, 2.0, 9.0]) + two_means_reference([3.0, 4.0, 6.0])
+    assert quality.kmeans_outliers(odd.limit(0)) == 0
+
+
 def noise_reference(x, eps, least):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= eps
     core = d.sum(axis=1) >= least
