@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from tableprep.functions.columns import col, number, numeric_columns, string_columns
 from tableprep.functions.counts import value_counts
 from tableprep.functions.moments import correlations, sample_skewness
+from tableprep.functions.tiles import correlation_table
 from tableprep.operators.profile import missing_counts
 
 # Order of the feature vector.
@@ -159,14 +160,22 @@ def _correlation_spread(matrix: np.ndarray) -> float:
     return _mean([float(np.std(c, ddof=1)) for c in columns if len(c) > 1])
 
 
+def _by_column(df: DataFrame) -> DataFrame:
+    """(c, r): every known absolute correlation of a column, its own included; for any number of columns."""
+    names = numeric_columns(df)
+    table = correlation_table(df, names if len(names) > 1 else [], diagonal=True).where("r IS NOT NULL")
+    once = table.select(F.col("first").alias("c"), F.abs("r").alias("r"))
+    return once.unionByName(table.where("first <> second").select(F.col("second").alias("c"), F.abs("r").alias("r")))
+
+
 def mean_absolute_correlation(df: DataFrame) -> float:
     """Mean of the absolute correlation matrix, diagonal included."""
-    return _mean_correlation(_matrix(df))
+    return _by_column(df).groupBy("c").agg(F.avg("r").alias("m")).agg(F.coalesce(F.avg("m"), F.lit(0.0))).first()[0]
 
 
 def correlation_std(df: DataFrame) -> float:
     """Mean over the columns of the deviation of the absolute correlations."""
-    return _correlation_spread(_matrix(df))
+    return _by_column(df).groupBy("c").agg(F.stddev_samp("r").alias("m")).agg(F.coalesce(F.avg("m"), F.lit(0.0))).first()[0]
 
 
 def all_features(df: DataFrame) -> dict[str, float]:

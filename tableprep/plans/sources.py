@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from tableprep.functions import sketches
 from tableprep.functions.columns import Roles, small_frame
 from tableprep.operators import cleanup, profile, split
 from tableprep.plans.registry import query, scratch, table
@@ -122,6 +123,25 @@ def a10(spark, sf):
     return rounded(profile.column_profile(gaps(spark, sf)), 4)
 
 
+SKETCHED = ["part", "quantity", "price", "discount", "tax", "flag", "status"]
+
+
+@query("a10_sketched_profile", f"WITH {GAPS} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) FILTER ({c} IS NULL) AS missing,
+  CASE WHEN count(DISTINCT {c}) < 100 THEN count(DISTINCT {c}) END AS few, count(DISTINCT {c}) AS "distinct" FROM gaps""" for c in SKETCHED))
+def a10_sketched(spark, sf):
+    """Two stored batches of sketches, united. Estimates of few values are exact; those of many must lie within four standard
+    errors, and then the exact count stands for them."""
+    path, rows = scratch(spark), gaps(spark, sf)
+    sketches.add_batch(rows.filter("quantity < 20"), path, SKETCHED)
+    sketches.add_batch(rows.filter("quantity >= 20 OR quantity IS NULL"), path, SKETCHED)
+    exact = small_frame(spark, ["column", "exact"], list(profile.distinct_counts(rows, SKETCHED).items()))
+    both = sketches.estimates(sketches.stored(spark, path)).join(exact, "column")
+    off = F.abs(F.col("distinct") - F.col("exact")) / F.col("exact")
+    return both.select("column", "rows", "missing", F.when(F.col("distinct") < 100, F.col("distinct")).alias("few"),
+                       F.when(off <= 4 * sketches.relative_error(), F.col("exact")).otherwise(F.col("distinct")).alias("distinct"))
+
+
 @query("a11_value_frequencies", f"WITH {GAPS} " + " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", cast({c} AS VARCHAR) AS value, count(*) AS n FROM gaps WHERE {c} IS NOT NULL
   GROUP BY {c}""" for c in ("part", "quantity", "discount", "tax", "flag", "status")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +27,7 @@ def get_session(app: str = "tableprep", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes `df` to the cluster's shared checkpoint folder and returns the reloaded frame.
-
-    The folder comes from `spark.checkpoint.dir`. Only a local master may fall back to a temporary folder:
-    on a cluster a machine-local folder would be lost with its executor.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +36,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="tableprep-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes `df` to the cluster's shared checkpoint folder and returns the reloaded frame.
+
+    The folder comes from `spark.checkpoint.dir`. Only a local master may fall back to a temporary folder:
+    on a cluster a machine-local folder would be lost with its executor.
+    """
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Kept:
+    """A frame written as a Parquet table in the checkpoint folder, for `with`: smaller than a checkpoint, and gone at the end."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{_checkpoint_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+
+    def __enter__(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
