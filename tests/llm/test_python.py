@@ -286,7 +286,8 @@ def test_toxicity(spark):
     assert (held.predicted == held.toxic).mean() > 0.9 and held.score[held.toxic == 1].mean() > held.score[held.toxic == 0].mean() + 0.3
     flipped = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     same = toxicity.train(docs, flipped.withColumn("score", F.lit(1)))
-    assert (same.features == model.features).all() and (same.weights == model.weights).all()
+    # sums over shuffled rows may differ in their last bits from run to run
+    assert (same.features == model.features).all() and np.allclose(same.weights, model.weights, rtol=0, atol=1e-9)
     odd = spark.createDataFrame([(1, None, 0.1), (1, "", 0.1), (None, "you idiot " * 30_000, 0.1)], "doc_id long, text string, score double")
     rows = toxicity.score(odd, model).collect()
     assert len(rows) == 3 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1 and all(0 <= r["score"] <= 1 for r in rows)
