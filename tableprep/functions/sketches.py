@@ -22,6 +22,7 @@ def sketch_columns(df: DataFrame, names: Sequence[str] | None = None, precision:
     for c in names:
         value = value_or_null(df, c)
         value = (value + 0.0 if is_float(df, c) else value).cast("string")  # -0.0 is 0.0
+        value = F.concat(F.lit("="), value)  # a sketch passes over empty texts
         cells.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(is_missing(df, c)).alias("missing"),
                               F.hll_sketch_agg(value, precision).alias("sketch")))
     schema = "column string, rows long, missing long, sketch binary"

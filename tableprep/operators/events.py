@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import col
-from tableprep.functions.counts import modes
+from tableprep.functions.counts import lookup, modes
 from tableprep.functions.ordered import ROWS_PER_BLOCK, previous_in_order, time_block
 from tableprep.functions.quantiles import exact_quantiles
+from tableprep.session import cut_lineage
 
 Z_FACTOR, Z_LIMIT = 0.6745, 3.5  # fixed values of the modified z-score
 
@@ -29,11 +30,12 @@ def inter_arrival(df: DataFrame, key: str, ts: str, rows_per_block: int = ROWS_P
 def mode_deviation(iat: DataFrame, key: str, value: str = "iat") -> DataFrame:
     """(key, mode, deviation): mean distance of the values from their mode, per key.
 
-    Works on counted values, so a key with very many events is merged before any row moves.
+    Works on counted values, so a key with very many events is merged before any row moves. The modes are written before they
+    meet the counts: broadcast if they are few, else a join whose sides are bare shuffles, which is split at a hot key.
     """
-    counts = iat.filter(col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))
+    counts = cut_lineage(iat.filter(col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n")))
     mode = counts.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias("mode"))
-    return (counts.join(mode, key).groupBy(key)
+    return (lookup(counts, cut_lineage(mode), key, "inner").groupBy(key)
             .agg(F.first("mode").alias("mode"),
                  (F.sum(F.abs(F.col(value) - F.col("mode")) * F.col("n")) / F.sum("n")).alias("deviation")))
 

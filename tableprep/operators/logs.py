@@ -152,9 +152,9 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
     keys = list(keys)
     if block < wait:
         raise ValueError("a block must be at least as long as the waiting time")
-    rows = score_slopes(episodes, keys, window, block).withColumn("_block", F.floor(F.col("step") / block))
+    rows = cut_lineage(score_slopes(episodes, keys, window, block).withColumn("_block", F.floor(F.col("step") / block)))
     group = [*keys, "_block"]
-    candidates = cut_lineage(rows.filter(F.col("slope") <= threshold).select(*group, "step"))
+    candidates = rows.filter(F.col("slope") <= threshold).select(*group, "step")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema[:-1])
 
     def in_order(df: DataFrame) -> DataFrame:

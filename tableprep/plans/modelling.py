@@ -92,6 +92,18 @@ _decided("h8_gradient_boosting", trees.gradient_boosting, BAND, ["quantity", "pr
 _decided("h19_kernel_svc", svc.kernel_svc, PAID, ["quantity", "full_price", "untaxed"], scaled=True)
 _decided("h20_balanced_forest", trees.balanced_forest, MANY, ["quantity", "discount", "tax"], look=3)
 
+# The other classifiers on labels that a column decides: trees on flags, stumps on a threshold, linear models on two halves.
+HALF = "CASE WHEN l_quantity > 25 THEN 'much' ELSE 'little' END"
+for _name, _model in (("h3_bagging", trees.bagging), ("h5_decision_tree", trees.decision_tree)):
+    _decided(f"{_name}_decided", _model, PAID, ["quantity", "price", "full_price", "untaxed"])
+for _name, _model in (("h2_ada_boost", trees.ada_boost), ("h21_easy_ensemble", trees.easy_ensemble), ("h22_rus_boost", trees.rus_boost)):
+    _decided(f"{_name}_decided", _model, MANY, ["quantity", "discount", "tax"])
+for _name, _model in (("h11_linear_discriminant", bayes.linear_discriminant), ("h16_ridge_classifier", linear.ridge_classifier),
+                      ("h17_ridge_classifier_cv", linear.ridge_classifier_cv), ("h12_linear_svc", linear.linear_svc),
+                      ("h13_logistic_regression", linear.logistic_regression), ("h18_sgd_classifier", linear.sgd_classifier)):
+    _decided(f"{_name}_decided", _model, HALF, ["quantity", "discount", "tax"], scaled=True)
+_decided("h1_random_forest_decided", trees.random_forest, HALF, ["quantity"])
+
 
 @query("h20_balanced_draws", f"""WITH {STEPS.format(label=MANY)}, n AS (SELECT label, count(*) AS n FROM steps WHERE split = 'train' GROUP BY label)
   SELECT tree, label, (SELECT min(n) FROM n) AS drawn FROM n, range(10) t(tree)""")
@@ -194,6 +206,23 @@ _regressor("h24_ada_boost_regressor", trees.ada_boost_regressor, 0.6)
 _regressor("h25_bagging_regressor", trees.bagging_regressor, 0.2)
 
 
+def _sums(name: str, model, target: str, places: int):
+    """Registers a regressor on a target that the quantity decides: predictions by value of the quantity."""
+    @query(name, f"WITH {STEPS.format(label=target)} SELECT quantity, count(*) AS n, round(min(label), {places}) AS least, round(max(label), {places}) AS most "
+                 "FROM steps WHERE split = 'test' GROUP BY quantity")
+    def run(spark, sf):
+        predicted = model(_bands(spark, sf, target).select(*KEYS, "quantity", "discount", "tax", "label", "split"), ROLES)
+        return predicted.groupBy("quantity").agg(F.count("*").alias("n"), (F.round(F.min("prediction"), places) + 0.0).alias("least"),
+                                                 (F.round(F.max("prediction"), places) + 0.0).alias("most"))
+    return run
+
+
+TWO_LEVELS = "CASE WHEN l_quantity > 25 THEN 100.0::DOUBLE ELSE 10.0::DOUBLE END"
+_sums("h23_ard_regression_decided", linear.ard_regression, "(3 * l_quantity - 7)::DOUBLE", 3)
+_sums("h24_ada_boost_regressor_decided", trees.ada_boost_regressor, TWO_LEVELS, 6)
+_sums("h25_bagging_regressor_decided", trees.bagging_regressor, TWO_LEVELS, 6)
+
+
 @query("h26_accuracy", """SELECT round(avg(CASE WHEN (o_totalprice > 250000) = (o_orderstatus = 'F') THEN 1.0::DOUBLE
   ELSE 0.0::DOUBLE END), 9) AS accuracy FROM orders""")
 def h26(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tableprep.functions.columns import one_row
+from tableprep.functions.nearest import nearest, neighbours_within
 from tableprep.functions.ordered import drop_context, number_rows, overlapping_blocks, time_block
 from tableprep.operators import catalog, logs, search, textindex, vectorindex
 from tableprep.operators.metafeatures import FEATURES
@@ -121,6 +122,25 @@ def c6_index(spark, sf):
     return rounded(hits.select("query", "label", "dist"))
 
 
+@query("c7_neighbour_votes", f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v, label, label >= 5 AS known FROM embeddings),
+  d AS (SELECT t.vec_id, r.label FROM e t JOIN e r ON NOT t.known AND r.known
+    QUALIFY row_number() OVER (PARTITION BY t.vec_id ORDER BY array_distance(t.v, r.v), r.vec_id) <= 5)
+  SELECT vec_id, label, count(*) AS votes FROM d GROUP BY vec_id, label""")
+def c7(spark, sf):
+    """How the five nearest vectors with other labels vote."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    hits = nearest(vectors.filter("label < 5"), vectors.filter("label >= 5"), 5)
+    return hits.groupBy(F.col("qid").alias("vec_id"), "label").agg(F.count("*").alias("votes"))
+
+
+@query("c8_radius_join", """SELECT a.vec_id, count(*) AS near FROM embeddings a JOIN embeddings b
+  ON array_distance(a.embedding::DOUBLE[64], b.embedding::DOUBLE[64]) <= 1.2 GROUP BY a.vec_id""")
+def c8(spark, sf):
+    """How many vectors, itself included, lie within a radius of each vector."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return neighbours_within(vectors, vectors, 1.2).withColumnRenamed("qid", "vec_id")
+
+
 # Weights of all texts by the frequencies in some of them (`known`), and the five best texts for every hundredth one.
 TEXT_HITS = """WITH tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang,
     unnest(regexp_extract_all(lower(text), '[^\\x09-\\x0D ]+')) AS term FROM documents) GROUP BY ALL),

@@ -11,7 +11,7 @@ from tableprep.operators import describe, metafeatures, profile
 def test_sketches_of_batches_unite(spark, tmp_path):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"few": rng.integers(0, 40, 20_000), "many": rng.integers(0, 9_000, 20_000), "x": rng.normal(size=20_000).round(3)})
-    pdf["s"] = pdf["few"].map(lambda v: None if v == 3 else f"v{v}")
+    pdf["s"] = pdf["few"].map(lambda v: None if v == 3 else "" if v == 4 else f"v{v}")
     pdf.loc[::50, "x"] = np.nan
     df = spark.createDataFrame(pdf)
     path = str(tmp_path / "sketches")
