@@ -132,6 +132,9 @@ def _runs(batches, group: list[str]):
         yield now, pd.concat(parts)
 
 
+PACKED = 10_000  # short rows that a task hands on together
+
+
 def _hits(following: list[int], first: int) -> list[int]:
     """Places of the hits: from one to the first place that is far enough behind it."""
     found = []
@@ -163,6 +166,7 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
     # A rest of r at a block start means that no step before start + r may hit. Rows come sorted, so a task reads its
     # blocks as one stream and holds the steps of a single block.
     def outcomes(batches):
+        found = []
         for key, rows in _runs(batches, group):
             steps = rows["step"].to_numpy()
             following = np.searchsorted(steps, steps + wait).tolist()
@@ -171,7 +175,12 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
                 hits = _hits(following, int(np.searchsorted(steps, key[-1] * block + r)))
                 ready = steps[hits[-1]] + wait if hits else key[-1] * block + r
                 ends.append(max(0, int(ready - (key[-1] + 1) * block)))
-            yield pd.DataFrame([(*key, ends)], columns=[*group, "ends"])
+            found.append((*key, ends))
+            if len(found) >= PACKED:
+                yield pd.DataFrame(found, columns=[*group, "ends"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=[*group, "ends"])
 
     ends = in_order(candidates).mapInPandas(outcomes, f"{kinds}, ends array<long>")
 
@@ -189,10 +198,17 @@ def plateau_hits(episodes: DataFrame, keys: Sequence[str], threshold: float = 0.
         *keys, F.explode(F.aggregate("links", start, chain, lambda s: s["done"])).alias("r")).select(*keys, "r.*")
 
     def mark(batches):
+        found = []
         for key, rows in _runs(batches, group):
             steps = rows["step"].to_numpy()
             first = int(np.searchsorted(steps, key[-1] * block + rows["_rest"].iloc[0]))
-            yield rows.iloc[_hits(np.searchsorted(steps, steps + wait).tolist(), first)][[*keys, "step"]]
+            hits = _hits(np.searchsorted(steps, steps + wait).tolist(), first)
+            found += [(*key[:-1], int(s)) for s in steps[hits]]
+            if len(found) >= PACKED:
+                yield pd.DataFrame(found, columns=[*keys, "step"])
+                found = []
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "step"])
 
     marked = in_order(candidates.join(rests, group).select(*group, "step", "_rest"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema if f.name != "_block")
