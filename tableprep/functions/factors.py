@@ -56,15 +56,20 @@ def _times(batch: pa.RecordBatch, q: np.ndarray):
     return product, back
 
 
+def _lists(pieces: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(pieces)))
+
+
 def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
     """Cells by block from pieces (block, task, cells), added in the order of the tasks."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = [(r["block"], r["task"], np.array(r["cells"])) for b in batches for r in b.to_pylist()]
+        pieces = [(b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].values.to_numpy()) for b in batches for k in range(b.num_rows)]
         total: dict[int, np.ndarray] = {}
         for block, _, cells in sorted(pieces, key=lambda p: p[:2]):
             total[block] = total[block] + cells if block in total else cells
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tolist() for c in total.values()])], ["block", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _lists(list(total.values()))], ["block", "cells"])
 
     rows = parts.repartition("block").mapInArrow(add, "block int, cells array<double>").collect()
     return {r["block"]: np.array(r["cells"]) for r in rows}
@@ -87,7 +92,7 @@ def _pass(rows: DataFrame, q: np.ndarray, mean: np.ndarray) -> np.ndarray:
         task = TaskContext.get().partitionId()
         blocks = range(-(-d // PART))
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([task] * len(blocks), pa.int32()),
-                                          pa.array([total[b * PART:b * PART + PART].ravel().tolist() for b in blocks])], ["block", "task", "cells"])
+                                          _lists([total[b * PART:b * PART + PART].ravel() for b in blocks])], ["block", "task", "cells"])
 
     found = _summed(rows.mapInArrow(run, "block int, task int, cells array<double>"))
     return np.concatenate([found[b] for b in sorted(found)]).reshape(d, width) if found else np.zeros((d, width))
