@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,17 +51,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside the block are removed as they end. Meant for writes of tables: what was
+    written stays, so nobody reads the shuffles again. Queries that only start here are not touched."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Kept:
     """A frame written as a Parquet table in the checkpoint folder, for `with`: smaller than a checkpoint, and gone at the end."""
 
     def __init__(self, df: DataFrame):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{_checkpoint_folder(self.spark)}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with dropping_shuffles(self.spark):
+            df.write.parquet(self.path)
 
     def __enter__(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(self.spark, self.path)
