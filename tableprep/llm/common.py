@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableprep.session import drop_folder, dropping_shuffles
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,10 +38,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage: writes `df` as Parquet in the shared checkpoint folder and reads it back."""
+    """Cuts lineage: writes `df` as Parquet in the shared checkpoint folder and reads it back. The shuffles behind it are
+    removed, as the table stands for them."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    with dropping_shuffles(spark):
+        df.write.parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.written_to = folder
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` that nothing lazy reads any more."""
+    for table in tables:
+        drop_folder(table.sparkSession, table.written_to)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -11,8 +11,10 @@ Two documents link when 100 * |A n B| >= 80 * |A u B| for their sets of distinct
    together with about as many comparisons as documents.
 4. Rows (shingle, size, document, component) are dealt by shingle and sorted by size: the rows of a shingle are a tile.
    Tiles of one component have nothing to offer. A small tile gives its pairs of different components whose sizes fit.
-   Rows of a large tile get their bitmaps, and the tile compares blocks of them, size band by size band, inside its task:
-   bit counts bound each overlap from above, and only pairs with room for a link come out.
+   Rows of a large tile get their bitmaps. A tile of more than TILE_ROWS rows is cut into blocks, and every pair of blocks
+   is a tile of its own, so a task never holds more than two blocks of one tile. Inside, size band by size band, bit counts
+   bound each overlap from above, and only pairs with room for a link come out. Tiles of shingles that the sample shows to
+   be common are counted before any row moves and go there at once; a tile that meets whole in one task is a rare one.
 5. What is left is decided on the whole texts by intersecting the two sorted arrays. Union-find over all links gives the
    classes.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.llm import graph, shingles
-from tableprep.llm.common import broadcast_if_small, written
+from tableprep.llm.common import broadcast_if_small, drop, written
 
 MINIMA = 8
 #: Documents in the sample that finds common shingles, how often one must occur there, and how many are kept at most.
@@ -35,6 +37,8 @@ MINIMA = 8
 SAMPLE, COMMON, MOST_COMMON = 3000, 4, 50_000
 #: A tile of more rows compares bitmaps before it gives pairs.
 SMALL_TILE = 12
+#: Rows of a block of a large tile.
+TILE_ROWS = 2_000
 #: Id tables up to so many rows are broadcast (16 bytes a row); longer ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -130,13 +134,13 @@ def common_shingles(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows (token, size, doc, comp) sorted by token and size: pairs (a, b) of small tiles of several components, and
-    the rows (token, doc, comp) of large ones."""
+    the rows (token, doc, comp, rows of the tile) of large ones."""
     def tiles(token, size, doc, comp) -> Iterator[pa.RecordBatch]:
         edge = np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
         rows = np.diff(edge)
         mixed = np.minimum.reduceat(comp, edge[:-1]) != np.maximum.reduceat(comp, edge[:-1])
         large = np.repeat(mixed & (rows > SMALL_TILE), rows)
-        yield _tile_batch(token=token[large], doc=doc[large], comp=comp[large])
+        yield _tile_batch(token=token[large], doc=doc[large], comp=comp[large], rows=np.repeat(rows, rows)[large])
         keep = np.repeat(mixed & (rows <= SMALL_TILE), rows)
         token, size, doc, comp = token[keep], size[keep], doc[keep], comp[keep]
         left, found = np.arange(len(token)), [np.zeros((2, 0), np.int64)]
@@ -154,7 +158,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _tile_batch(**columns: np.ndarray) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     empty = pa.nulls(n, pa.int64())
-    names = ["a", "b", "token", "doc", "comp"]
+    names = ["a", "b", "token", "doc", "comp", "rows"]
     return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else empty for c in names], names)
 
 
@@ -254,7 +258,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, features: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of distinct candidate pairs (a, b) that are links."""
+    """Those of distinct candidate pairs (a, b) that are links, as a written table."""
     side = lambda x: features.select(F.col("id").alias(x), F.col("size").cast("long").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     near = written(near.mapInArrow(_bounded, "a long, b long").distinct())
@@ -262,7 +266,20 @@ def _links(pairs: DataFrame, features: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.join(broadcast_if_small(ids, 2 * near.count(), BROADCAST_ROWS), "id", "left_semi")
     both = near.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact, "a long, b long")
+    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(_exact, "a long, b long"))
+    drop(near)
+    return links
+
+
+def _block_pairs(large: DataFrame) -> DataFrame:
+    """Rows of large tiles under the keys of the tiles they are compared in. A tile of k > 1 blocks becomes k (k - 1) / 2
+    tiles of two blocks; rows of one block meet in any of them."""
+    blocks = F.ceil(F.col("rows") / F.lit(TILE_ROWS)).cast("int")
+    mine = F.pmod(F.xxhash64("doc"), blocks).cast("int")
+    others = F.when(blocks == 1, F.array(mine)).otherwise(F.filter(F.sequence(F.lit(0), blocks - 1), lambda j: j != mine))
+    rows = large.select("token", "size", "doc", "comp", "bits", mine.alias("mine"), F.explode(others).alias("other"))
+    key = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
+    return rows.select(key.alias("token"), "size", "doc", "comp", "bits")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,41 +299,51 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     features = written(named.mapInArrow(_features(common), columns))
 
     known = features.where("size > 0 and id is not null")
-    same = known.groupBy("size", "d1", "d2").agg(F.min("id").alias("id"))
-    first = known.join(same, ["size", "d1", "d2", "id"], "left_semi").dropDuplicates(["size", "d1", "d2"])
+    same = written(known.groupBy("size", "d1", "d2").agg(F.min("id").alias("id")))
+    first = written(known.join(same, ["size", "d1", "d2", "id"], "left_semi").dropDuplicates(["size", "d1", "d2", "id"]))
+    own = written(features.select("id", "size", "d1", "d2"))
+    drop(features)  # representatives alone go on with bitmaps and prefixes
 
     minima = first.select("id", F.posexplode("minima").alias("k", "value"))
     star = minima.join(minima.groupBy("k", "value").agg(F.min("id").alias("a")), ["k", "value"])
     star = star.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    strong = written(_links(star, first, docs))
-    tied = written(graph.components(strong))
+    strong = _links(star, first, docs)
+    tied = graph.components(strong)
 
     comps = first.join(broadcast_if_small(tied, tied.count(), BROADCAST_ROWS), "id", "left")
     tokens = comps.select(F.explode("prefix").alias("token"), F.col("size").cast("long").alias("size"), F.col("id").alias("doc"),
                           F.coalesce("component", "id").alias("comp"))
-    # a common shingle whose documents are one component has no pair to offer: drop it before the shuffle
+    # tiles of common shingles are counted before any row moves: those of one component have no pair to offer, large ones
+    # are cut into blocks
     usual = spark.createDataFrame(pa.table({"token": common[0].view(np.int64)}))
-    pure = (tokens.join(F.broadcast(usual), "token", "left_semi").groupBy("token")
-            .agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least = most").select("token"))
-    tokens = tokens.join(F.broadcast(pure), "token", "left_anti")  # both lists have MOST_COMMON rows at most
-    tiles = tokens.repartition("token").sortWithinPartitions("token", "size", "doc")
-    found = written(tiles.mapInArrow(_tiles, "a long, b long, token long, doc long, comp long"))
+    counted = written(tokens.join(F.broadcast(usual), "token").groupBy("token").agg(
+        F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("rows")))
+    settled = counted.where((F.col("least") == F.col("most")) | (F.col("rows") > SMALL_TILE))
+    hot = counted.where((F.col("least") < F.col("most")) & (F.col("rows") > SMALL_TILE)).select("token", "rows")
+    rest = tokens.join(F.broadcast(settled.select("token")), "token", "left_anti")  # lists of MOST_COMMON rows at most
+    tiles = rest.repartition("token").sortWithinPartitions("token", "size", "doc")
+    found = written(tiles.mapInArrow(_tiles, "a long, b long, token long, doc long, comp long, rows long"))
     sides = first.select(F.col("id").alias("doc"), F.col("size").cast("long").alias("size"), "bits")
-    large = found.where("token is not null").select("token", "doc", "comp").join(sides, "doc").select("token", "size", "doc", "comp", "bits")
-    large = large.repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(_large_tiles, "a long, b long")
-    cross = found.where("token is null").select("a", "b").unionByName(large).distinct()
-    weak = written(_links(cross, first, docs))
-
-    joined = written(graph.components(strong.unionByName(weak)))
+    large = found.where("token is not null").select("token", "doc", "comp", "rows").join(sides, "doc")
+    # a hot tile takes its bitmaps along from the features; they need no shuffle of their own
+    large = large.unionByName(comps.select(F.explode("prefix").alias("token"), F.col("id").alias("doc"), F.coalesce("component", "id").alias("comp"),
+                                           F.col("size").cast("long").alias("size"), "bits").join(F.broadcast(hot), "token"))
+    large = _block_pairs(large).repartition("token").sortWithinPartitions("token", "size", "doc").mapInArrow(_large_tiles, "a long, b long")
+    cross = written(found.where("token is null").select("a", "b").unionByName(large).distinct())
+    drop(found, counted)
+    weak = _links(cross, first, docs)
+    drop(cross, tied, first)
+
+    joined = graph.components(strong.unionByName(weak))
+    drop(strong, weak)
     final = same.join(broadcast_if_small(joined, joined.count(), BROADCAST_ROWS), "id", "left")
     final = final.select("size", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    own = features.select("id", "size", "d1", "d2").join(final, ["size", "d1", "d2"], "left")
-    return own.select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"),
+    return own.join(final, ["size", "d1", "d2"], "left").select(F.col("id").alias(key), F.col("size").cast("long").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df`, all columns, without those whose class has a smaller key; null keys stay."""
-    found = classes(df, key, text).where(F.col(key) != F.col("component_id"))
-    gone = written(found.select(F.col(key).alias("_gone")).distinct())
-    return df.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), df[key] == F.col("_gone"), "left_anti")
+    found = classes(df.select(key, text), key, text).where(F.col(key) != F.col("component_id"))
+    gone = written(found.select(F.col(key)).distinct())
+    return df.join(broadcast_if_small(gone, gone.count(), BROADCAST_ROWS), key, "left_anti").select(*df.columns)

@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tableprep.llm import chat, graph, line_dedup, sharding, url_reputation
+from tableprep.llm import chat, common, graph, line_dedup, sharding, url_reputation
 import plain
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -118,11 +118,37 @@ def test_linked_lines_share_a_band_and_pass_the_bitmaps(spark):
             lines += [one, other]
     distinct = spark.createDataFrame([(x, i, 1) for i, x in enumerate(lines)], "line string, first long, n long")
     signed = line_dedup._signed(distinct).select(F.col("first").alias("id"), F.col("first").alias("doc"), F.lit(0).alias("pos"), "values", "bits", "most")
-    signed = signed.localCheckpoint()
+    signed = common.written(signed)
     keys = {r["id"]: set(r["keys"]) for r in signed.select("id", line_dedup._keys(F.col("values")).alias("keys")).collect()}
     assert sum(not keys[a] & keys[b] for a, b in pairs) <= 0.001 * len(pairs)
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc long, text string")
-    assert line_dedup._links(spark.createDataFrame(pairs, "a long, b long"), signed, docs).count() == len(pairs)
+    near = line_dedup._bounded(spark.createDataFrame(pairs, "a long, b long"), signed)
+    assert near.count() == len(pairs) and line_dedup._links(near, signed, docs).count() == len(pairs)
+
+
+def test_hot_buckets_are_cut_into_blocks(monkeypatch, spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    base, rows = words[:20], []
+    for i in range(120):  # one template whose lines are partly linked, partly just below the threshold
+        line = list(base)
+        for k in rng.sample(range(20), rng.choice((1, 2, 3))):
+            line[k] = rng.choice(words)
+        rows.append((i, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain.dedup_lines(rows)
+    for size in (1_000, 7):
+        monkeypatch.setattr(line_dedup, "BUCKET_ROWS", size)
+        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()} == want
+
+
+def test_clashing_names_of_lines(spark):
+    df = spark.createDataFrame([(1, LINE, "a", "b", "c", 9), (2, LINE, "d", "e", "f", 9)],
+                               "doc_id long, text string, gone string, _doc string, row string, n_lines_removed int")
+    out = line_dedup.dedup(df)
+    assert sorted(out.columns) == sorted(df.columns)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert (got[1]["text"], got[2]["text"], got[2]["gone"], got[2]["row"], got[2]["n_lines_removed"]) == (LINE, "", "d", "f", 1)
 
 
 def test_repeated_rows_of_lines(spark):

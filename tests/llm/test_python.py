@@ -233,6 +233,8 @@ def test_classes(spark):
     df = spark.createDataFrame([(d, t, 1, 2, "k") for d, t in rows], "doc_id long, text string, a int, size int, component_id string")
     got = ngram_join.classes(df)
     assert sorted(map(tuple, got.collect())) == plain.classes(rows)
+    clash = ngram_join.keep_one(df.withColumn("_gone", F.lit(1)))
+    assert clash.columns == [*df.columns, "_gone"] and clash.count() == len({c for _, _, c in plain.classes(rows)})
     kept = ngram_join.keep_one(df)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _, c in plain.classes(rows) if d == c) and kept.columns == df.columns
     more = df.unionByName(df.where("doc_id < 0")).unionByName(df.where("doc_id = 6002").withColumn("doc_id", F.lit(None).cast("long")))
@@ -262,8 +264,9 @@ def test_tiles_find_every_linked_pair(monkeypatch, spark):
         rows.append((10_000 + k, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain.classes(rows)
-    for small in (12, 1):
+    for small, block in ((12, 2_000), (1, 2_000), (1, 5)):
         monkeypatch.setattr(ngram_join, "SMALL_TILE", small)
+        monkeypatch.setattr(ngram_join, "TILE_ROWS", block)
         monkeypatch.setattr(ngram_join, "_links", alone(ngram_join._links) if small == 1 else ngram_join._links)
         assert sorted(map(tuple, ngram_join.classes(df).collect())) == want
 
