@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -49,28 +50,50 @@ def date_parts(x: Column, name: str) -> list[Column]:
     return [v.cast("double").alias(f"{name}_{part}") for part, v in parts.items()]
 
 
+def _readings(df: DataFrame, names: Sequence[str], dates: bool) -> dict[str, tuple[bool, int | None]]:
+    """(every value is a number, place of the first spelling of a date that fits every value) of text columns; a column
+    without values has neither.
+
+    A value that does not fit rules a reading out for the whole column, so the least and the greatest value are tried first;
+    only readings that fit both are tried on every row. Failed readings cost far more than others.
+    """
+    if not names:
+        return {}
+    row = df.agg(*[F.struct(F.min(col(c)), F.max(col(c))).alias(f"c{i}") for i, c in enumerate(names)]).first()
+    ends = {c: tuple(r) for c, r in zip(names, row) if r[0] is not None}
+    readings = [lambda x: x.try_cast("double"), *[lambda x, form=form: read_date(x, form) for form in (DATE_FORMATS if dates else ())]]
+
+    def failed(at: dict[str, tuple[Column, ...]], left: dict[str, list[int]]) -> list[Column]:
+        return [F.array(*[reduce(Column.__or__, [x.isNotNull() & readings[r](x).isNull() for x in at[c]]) for r in left[c]]) for c in left]
+
+    every = {c: list(range(len(readings))) for c in ends}
+    if not ends:
+        return {c: (False, None) for c in names}
+    texts = df.sparkSession.createDataFrame([tuple(v for c in ends for v in ends[c])], ", ".join(f"l{i} string, h{i} string" for i in range(len(ends))))
+    tried = texts.select(*failed({c: (F.col(f"l{i}"), F.col(f"h{i}")) for i, c in enumerate(ends)}, every)).first()
+    left = {c: [r for r, bad in zip(every[c], found) if not bad] for c, found in zip(ends, tried)}
+    left = {c: some for c, some in left.items() if some}
+    if left:
+        counted = df.agg(*[F.array(*[F.count_if(col(c).isNotNull() & readings[r](col(c)).isNull()) for r in left[c]]).alias(f"c{i}")
+                           for i, c in enumerate(left)]).first()
+        left = {c: [r for r, bad in zip(left[c], found) if not bad] for c, found in zip(left, counted)}
+    return {c: (0 in left.get(c, []), next((r - 1 for r in left.get(c, []) if r), None)) for c in names}
+
+
 def coerce(df: DataFrame, names: Sequence[str] | None = None, dates: bool = True) -> DataFrame:
     """Turns a text column into doubles if every value is a number, else into date parts if every value is a date in the
     same spelling, the first of DATE_FORMATS that fits all.
 
-    One aggregation tests all columns; one projection converts them. Date and timestamp columns become date parts.
+    Two aggregations test all columns; one projection converts them. Date and timestamp columns become date parts.
     """
     names = list(df.columns) if names is None else list(names)
-    texts = string_columns(df, names)
-    tests = {}
-    if texts:
-        row = df.agg(*[
-            F.struct(F.count_if(col(c).isNotNull() & col(c).try_cast("double").isNull()).alias("not_number"),
-                     F.array(*[F.count_if(col(c).isNotNull() & read_date(col(c), form).isNull()) for form in DATE_FORMATS])
-                     .alias("not_date"),
-                     F.count(col(c)).alias("n")).alias(f"c{i}") for i, c in enumerate(texts)]).first()
-        tests = dict(zip(texts, row))
+    tests = _readings(df, string_columns(df, names), dates)
     out: list[Column] = []
     for c in df.columns:
-        if c in tests and tests[c]["n"] and tests[c]["not_number"] == 0:
+        if c in tests and tests[c][0]:
             out.append(col(c).try_cast("double").alias(c))
-        elif dates and c in tests and tests[c]["n"] and 0 in tests[c]["not_date"]:
-            out += date_parts(read_date(col(c), DATE_FORMATS[tests[c]["not_date"].index(0)]), c)
+        elif c in tests and tests[c][1] is not None:
+            out += date_parts(read_date(col(c), DATE_FORMATS[tests[c][1]]), c)
         elif dates and c in names and isinstance(dtype(df, c), (T.TimestampType, T.TimestampNTZType, T.DateType)):
             out += date_parts(col(c), c)
         else:
