@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -80,13 +81,15 @@ def counted_quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Colum
             left = {k for p in probs if n for k in (math.floor(_place(p, n)), math.ceil(_place(p, n)))}
             for (low, high), below, rows in zip(sketch[c][3], inside[::2], inside[1::2]):
                 held = {k for k in left if below <= k < below + rows}
-                if held:
+                if held and low == high:  # one repeated value, as often in columns of few values
+                    found.update({(c, k): low + 0.0 for k in held})
+                elif held:
                     todo.append(_Span(c, low, high, rows, below, held, 1.0))
-                    left -= held
+                left -= held
             if left:
                 todo.append(_Span(c, -math.inf, math.inf, n, 0, left, 1.0))
 
-    # ends of a bracket need not be values, so nothing is settled before the first split
+    # ends of a wider bracket need not be values, so nothing more is settled before the first split
     while todo:
         todo = [child for start in range(0, len(todo), BATCH)
                 for child in _settle(_split(df, exprs, todo[start:start + BATCH], found), found)]
@@ -158,7 +161,9 @@ def _split(df: DataFrame, exprs, spans: list[_Span], found) -> list[_Span]:
         held = [F.when(exprs[s.column].between(s.low, s.high),
                        F.struct(F.lit(i).alias("j"), key(exprs[s.column], s).alias("b"), exprs[s.column].alias("v")))
                 for i, s in enumerate(part)]
-        return df.select(F.explode(F.array(*held)).alias("s")).filter("s is not null").select("s.*")
+        # most rows lie in no interval; they must not be copied once for each
+        near = df.where(reduce(Column.__or__, [exprs[s.column].between(s.low, s.high) for s in part]))
+        return near.select(F.explode(F.array(*held)).alias("s")).filter("s is not null").select("s.*")
 
     children = []
     if few:
