@@ -108,6 +108,7 @@ class _Stored(_Cells):
         self.used = np.array([s["cell"] for s in found], dtype="int32")
         self.size = np.array([s["n"] for s in found])
         self.reach = np.array([s["r"] for s in found])
+        self.group = np.arange(len(found))  # a cell alone: what a query does not need is not read
 
     def only(self, cells: list[int]) -> DataFrame:
         count = len(self.pivots)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableprep.functions import quantiles
+from tableprep.functions import nearest, quantiles
 from tableprep.operators import cleanup
 
 
@@ -43,3 +43,60 @@ def test_columns_of_few_values_need_no_split(spark, monkeypatch):
     b = (np.arange(10_000) % 2)[np.arange(10_000) % 3 > 0]
     assert np.allclose(got["a"], np.quantile(a, [0.2, 0.6, 0.9])) and np.allclose(got["b"], np.quantile(b, [0.2, 0.6, 0.9]))
     assert math.copysign(1, got["a"][0]) == 1
+
+
+def plain(a, b):
+    diff = a[:, None, :] - b[None, :, :]
+    return np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_blocks_by_products_give_plain_distances(shift):
+    rng = np.random.default_rng(3)
+    b = np.round(rng.normal(size=(300, 5)), 1) + shift
+    b[50:90] = b[7]
+    a = np.vstack([b[:40], np.round(rng.normal(size=(60, 5)), 1) + shift])
+    d = plain(a, b)
+    for radius in (0.0, 0.5, float(np.sqrt(1.25)), float(d[3, 9]), 3.0):
+        assert (nearest.count_within(a, b, radius) == (d <= radius).sum(axis=1)).all()
+    none, kth = np.full(len(a), np.nan), np.sort(d, axis=1)[:, 6]
+    for limit in (none, kth, np.where(np.arange(len(a)) % 2, kth, np.nan)):
+        i, j, dist = nearest.closest(a, b, 7, limit)
+        assert (j.reshape(len(a), 7) == d.argsort(axis=1, kind="stable")[:, :7]).all() and (dist == d[i, j]).all()
+
+
+def test_blocks_with_huge_and_missing_entries():
+    b = np.array([[0.0, 1.0], [1e200, 0.0], [np.nan, 0.0], [np.inf, 0.0], [0.0, 1.5]])
+    with np.errstate(all="ignore"):
+        d = plain(b, b)
+        assert (nearest.count_within(b, b, 0.6) == (d <= 0.6).sum(axis=1)).all()
+
+
+def test_few_pairs_need_plain_differences(monkeypatch):
+    rng = np.random.default_rng(4)
+    a, seen, of_pairs = rng.normal(size=(400, 16)), [], nearest._of_pairs
+    monkeypatch.setattr(nearest, "_of_pairs", lambda a, b, i, j: seen.append(len(i)) or of_pairs(a, b, i, j))
+    nearest.count_within(a, a, 4.0)
+    nearest.closest(a, a, 5, np.full(len(a), np.nan))
+    assert sum(seen) < 400 * 400 / 20
+
+
+def test_a_query_skips_cells_on_the_far_side(spark):
+    """All cells reach far along one axis, so that their radii alone would leave none out."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 8, 1_600) * 10.0 + rng.normal(size=1_600), rng.normal(size=1_600) * 20])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").cache()
+    cells = nearest._Cells(df)
+    d = plain(x, x)
+    reach = cells.reach
+    choose = lambda d, rows: (d - reach <= 1.0, np.full(len(d), 1.0))
+    assert len(cells.used) > 30 and cells.send(df, choose).count() == len(x)  # small cells are one group, a query goes there once
+    cells.group = np.arange(len(cells.used))
+    sent = cells.send(df, choose).count()
+    ball = (plain(x, cells.pivots[cells.used]) - reach <= 1.0).sum()
+    assert sent < 0.9 * ball
+    near = {r["qid"]: r["near"] for r in nearest.neighbours_within(df, df, 1.0).collect()}
+    assert near == dict(enumerate((d <= 1.0).sum(axis=1)))
+    hits = nearest.nearest(df, df, 4).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("h")).collect()
+    order = d.argsort(axis=1, kind="stable")[:, :4]
+    assert all([h["id"] for h in r["h"]] == order[r["qid"]].tolist() for r in hits) and len(hits) == len(x)
