@@ -327,6 +327,11 @@ def bucketed(base: DataFrame, edges: list[np.ndarray]) -> DataFrame:
     return base.mapInArrow(run, f"x array<short>, {rest}")
 
 
+def merged(base: DataFrame) -> DataFrame:
+    """(x, y, n): rows of the same buckets and class as one, with their number."""
+    return base.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"))
+
+
 def unbucketed(forest: Forest, edges: list[np.ndarray]) -> Forest:
     """Cuts at bucket numbers become cuts at values."""
     for columns, cuts in zip(forest.column, forest.cut):
@@ -458,23 +463,23 @@ def chances(scores: np.ndarray) -> np.ndarray:
 
 
 def _with_scores(base: DataFrame, model: Boosted, first: int) -> DataFrame:
-    """(x, y, f): f grown by the rounds from `first` on."""
+    """(x, y, f, n): f grown by the rounds from `first` on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _filled(batches):
             x = _values(batch.column(0), batch.num_rows)
             f = _values(batch.column(2), batch.num_rows) + model.scores(x, first)
             offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * f.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(f.ravel()))],
-                                             ["x", "y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(f.ravel())), batch.column(3)],
+                                             ["x", "y", "f", "n"])
 
-    return cut_lineage(base.mapInArrow(run, "x array<short>, y int, f array<double>"))
+    return cut_lineage(base.mapInArrow(run, "x array<short>, y int, f array<double>, n double"))
 
 
 def boost_softmax(base: DataFrame, sizes: np.ndarray, d: int, rounds: int, depth: int, rate: float, seed: int, keep: int = 20) -> Boosted:
     """Gradient boosting of the softmax loss (logistic for two classes). base: (x as buckets, y).
 
     A round grows the trees of all classes in the same passes, one job a level. Nodes are cut where the gradients lie
-    furthest apart and take a Newton step. Rows carry their scores; every `keep` rounds these are written anew, in between
+    furthest apart and take a Newton step. Equal rows are one with their number. Rows carry their scores; every `keep` rounds these are written anew, in between
     tasks add the few latest trees.
     """
     k = len(sizes) if len(sizes) > 2 else 1
@@ -482,7 +487,7 @@ def boost_softmax(base: DataFrame, sizes: np.ndarray, d: int, rounds: int, depth
     start = np.log(share) if k > 1 else np.log(share[1:] / share[:1])
     model = Boosted(start)
     factor = rate * ((k - 1) / k if k > 1 else 1.0)
-    rows = cut_lineage(base.select("x", "y", F.array(*[F.lit(float(s)) for s in start]).alias("f")))
+    rows = cut_lineage(merged(base).select("x", "y", F.array(*[F.lit(float(s)) for s in start]).alias("f"), "n"))
     kept = 0
     for i in range(rounds):
         if i - kept >= keep:
@@ -495,8 +500,9 @@ def boost_softmax(base: DataFrame, sizes: np.ndarray, d: int, rounds: int, depth
                 p = chances(_values(batch.column(2), batch.num_rows) + model.scores(x, first))
                 y = batch.column(1).to_numpy()
                 hit = (y[:, None] == np.arange(k)) if k > 1 else (y[:, None] == 1)
-                state.update(batch=batch, g=hit - p, h=p * (1 - p))
-            return [(0, None), (1, state["g"][:, tree]), (2, state["h"][:, tree])]
+                n = batch.column(3).to_numpy()
+                state.update(batch=batch, n=n, g=(hit - p) * n[:, None], h=p * (1 - p) * n[:, None])
+            return [(0, state["n"]), (1, state["g"][:, tree]), (2, state["h"][:, tree])]
 
         def done(stats: np.ndarray) -> bool:
             return stats[0] < 2

@@ -128,10 +128,11 @@ def _best_stump(sample: np.ndarray, whole: np.ndarray, edges: list[np.ndarray])
 def boost(task: Task, rounds: int, seed: int, subsets: int = 1, balanced: bool = False, fresh: bool = False) -> list[list[Stump]]:
     """SAMME boosting of stumps, for several ensembles side by side.
 
-    Columns are cut at quantiles once and rows keep bucket numbers alone. A round is one job: every task adds up the
-    weights by column, bucket and class for all ensembles (the weight of a row follows from the stumps so far), and the
-    driver reads these sums. `balanced` gives each ensemble its own class-balanced sample, `fresh` a new one each round;
-    a hash of the row decides, so a partition that is computed again gives the same rows.
+    Columns are cut at quantiles once and rows keep bucket numbers alone; rows of the same buckets and class are one from
+    then on, with their number in the table and in every sample. A round is one job: every task adds up the weights by
+    column, bucket and class for all ensembles (the weight of a row follows from the stumps so far), and the driver reads
+    these sums. `balanced` gives each ensemble its own class-balanced sample, `fresh` a new one each round; a hash of the row
+    decides, so a partition that is computed again gives the same rows.
     """
     k, d = len(task.classes), len(task.names)
     train = task.train
@@ -140,22 +141,31 @@ def boost(task: Task, rounds: int, seed: int, subsets: int = 1, balanced: bool =
     sizes = _class_sizes(train) if balanced or fresh else {}
     share = np.array([min(sizes.values()) / sizes[float(c)] if sizes.get(float(c)) else 1.0 for c in range(k)]) if sizes else np.ones(k)
 
+    salts = [((e if balanced else 0) * 1_000 + (turn if fresh else 0) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+             for e in range(subsets if balanced else 1) for turn in range(rounds if fresh else 1)] if balanced or fresh else []
+    cell = [*[f"b{j}" for j in range(d)], "y"]
+
     def buckets(batches):
         for pdf in batches:
-            cells = [np.searchsorted(e, pdf[f"x{j}"].to_numpy(), "left") for j, e in enumerate(edges)]
-            yield pd.DataFrame({**{f"b{j}": c.astype(np.int16) for j, c in enumerate(cells)},
-                                "y": pdf["y"].astype(np.int32), "h": pdf["h"]})
+            y, h = pdf["y"].to_numpy().astype(np.int32), pdf["h"].to_numpy().view(np.uint64)
+            made = {f"b{j}": np.searchsorted(e, pdf[f"x{j}"].to_numpy(), "left").astype(np.int16) for j, e in enumerate(edges)}
+            made |= {"y": y, "n": np.ones(len(y), np.int64)}
+            for i, salt in enumerate(salts):
+                mixed = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
+                made[f"s{i}"] = ((mixed >> np.uint64(11)) / float(1 << 53) < share[y]).astype(np.int64)
+            yield pd.DataFrame(made).groupby(cell, as_index=False, sort=False).sum()
 
-    base = train.select(*[x.alias(f"x{j}") for j, x in enumerate(task.x)], F.col(TARGET).alias("y"),
-                        F.xxhash64(*task.x, F.lit(seed)).alias("h")).mapInPandas(
-        buckets, ", ".join([*[f"b{j} short" for j in range(d)], "y int", "h long"])).persist()
+    counts = ["n", *[f"s{i}" for i in range(len(salts))]]
+    rows = train.select(*[x.alias(f"x{j}") for j, x in enumerate(task.x)], F.col(TARGET).alias("y"), F.xxhash64(*task.x, F.lit(seed)).alias("h"))
+    base = rows.mapInPandas(buckets, ", ".join([*[f"b{j} short" for j in range(d)], "y int", *[f"{c} long" for c in counts]])).groupBy(
+        *cell).agg(*[F.sum(c).alias(c) for c in counts]).persist()
     ensembles: list[list[Stump]] = [[] for _ in range(subsets)]
     going = set(range(subsets if d else 0))
     try:
         for i in range(rounds):
             if not going:
                 break
-            part = base.mapInPandas(_weigher(ensembles, sorted(going), i, k, d, share, balanced, fresh), "e int, w int, c int, v double")
+            part = base.mapInPandas(_weigher(ensembles, sorted(going), i, k, d, rounds, balanced, fresh), "e int, w int, c int, v double")
             sums = np.zeros((subsets, 2, d, BUCKETS, k))
             for e, w, c, v in part.groupBy("e", "w", "c").agg(F.sum("v")).collect():
                 sums[e, w].reshape(-1)[c] = v
@@ -177,25 +187,23 @@ def boost(task: Task, rounds: int, seed: int, subsets: int = 1, balanced: bool =
     return ensembles
 
 
-def _weigher(ensembles, going, turn, k, d, share, balanced, fresh):
+def _weigher(ensembles, going, turn, k, d, rounds, balanced, fresh):
     def run(batches):
         sums = np.zeros((len(going), 2, d, BUCKETS, k))
         for pdf in batches:
-            y, h = pdf["y"].to_numpy(), pdf["h"].to_numpy().view(np.uint64)
+            y, n = pdf["y"].to_numpy(), pdf["n"].to_numpy()
             cells = [pdf[f"b{j}"].to_numpy().astype(np.int64) for j in range(d)]
             for at, e in enumerate(going):
                 weight = np.ones(len(y))
                 if ensembles[e]:
                     wrong = _predictions(ensembles[e], lambda s: cells[s.column] <= s.place) != y
                     weight = np.exp(np.array([s.weight for s in ensembles[e]]) @ wrong)
-                salt = ((e if balanced else 0) * 1_000 + (turn if fresh else 0) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-                mixed = (h ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
-                drawn = (mixed >> np.uint64(11)) / float(1 << 53) < share[y]
-                whole = drawn if balanced else np.ones(len(y), bool)  # its own sample is all that an ensemble sees
-                for w, rows in enumerate((whole, drawn)):
+                sample = (e if balanced else 0) * (rounds if fresh else 1) + (turn if fresh else 0)
+                drawn = pdf[f"s{sample}"].to_numpy() if balanced or fresh else n
+                whole = drawn if balanced else n  # its own sample is all that an ensemble sees
+                for w, times in enumerate((whole, drawn)):
                     for j in range(d):
-                        sums[at, w, j] += np.bincount(cells[j][rows] * k + y[rows], weights=weight[rows],
-                                                      minlength=BUCKETS * k).reshape(BUCKETS, k)
+                        sums[at, w, j] += np.bincount(cells[j] * k + y, weights=weight * times, minlength=BUCKETS * k).reshape(BUCKETS, k)
         flat = sums.reshape(len(going), 2, -1)
         e, w, c = np.nonzero(flat)
         yield pd.DataFrame({"e": np.array(going)[e], "w": w, "c": c, "v": flat[e, w, c]})

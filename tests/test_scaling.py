@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprep.functions import nearest, quantiles
+from tableprep.functions.columns import Roles
 from tableprep.operators import cleanup
+from tableprep.operators.models import growing, trees
+from tableprep.operators.models.common import classification
 
 
 def test_only_readings_that_fit_both_ends_are_tried_on_all_rows(spark, monkeypatch):
@@ -100,3 +103,31 @@ def test_a_query_skips_cells_on_the_far_side(spark):
     hits = nearest.nearest(df, df, 4).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("h")).collect()
     order = d.argsort(axis=1, kind="stable")[:, :4]
     assert all([h["id"] for h in r["h"]] == order[r["qid"]].tolist() for r in hits) and len(hits) == len(x)
+
+
+def test_boosting_works_on_merged_rows(spark, monkeypatch):
+    """Rounds see rows of the same buckets and class once, however often they come."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 4, 3_000), rng.integers(0, 3, 3_000)]).astype(float)
+    y = (x[:, 0] > 2) ^ (rng.random(3_000) < 0.2)
+    df = spark.createDataFrame([(i, *map(float, v), "ab"[int(c)], "train") for i, (v, c) in enumerate(zip(x, y))], "k long, p double, q double, label string, split string")
+    task = classification(df.repartition(5), Roles(keys=("k",)))
+    weigher = trees._weigher
+    total = spark.sparkContext.accumulator(0)
+
+    def counted(*args):
+        run = weigher(*args)
+
+        def wrapped(batches):
+            def each():
+                for pdf in batches:
+                    total.add(len(pdf))
+                    yield pdf
+            return run(each())
+        return wrapped
+
+    monkeypatch.setattr(trees, "_weigher", counted)
+    stumps = trees.boost(task, 1, 0)[0]
+    assert stumps and 0 < total.value <= 24
+    counts = growing.merged(growing.bucketed(growing.raw_base(task), [np.arange(4.0), np.arange(3.0)])).collect()
+    assert len(counts) <= 24 and sum(r["n"] for r in counts) == 3_000
