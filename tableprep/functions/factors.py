@@ -2,7 +2,8 @@
 
 `leading` is a block Krylov method: a pass multiplies every row with a few vectors and the transposed table with the
 results, tasks add up tall thin matrices, and the driver solves a small problem on the space spanned so far. It works on
-dense arrays and on sparse rows (indices and values); centring never fills in a sparse row.
+dense arrays and on sparse rows (indices and values); centring never fills in a sparse row. Sparse rows of more than WIDE
+columns keep their vectors in tables (`_leading_wide`): the driver gets sums of a few numbers and the directions asked for.
 
 `Factor` is the mergeable state of an incremental decomposition: row count, means, and a short matrix with the scatter of the
 rows seen. Two states merge by one small decomposition, so batches, tasks and tables can be added in any order.
@@ -18,12 +19,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tableprep.session import Kept
+
 EXTRA = 6        # vectors carried beyond those asked for
 SPAN = 200       # vectors of the space after which it starts again from the best ones
 PASSES = 300     # most passes over the table
 TOLERANCE = 1e-9
 PART = 4_096     # columns of one summed piece
 GROUP = 32       # about as many states meet in one task
+WIDE = 50_000    # columns of sparse rows beyond which vectors are kept in tables
+GUARDS = 4       # vectors such a search carries beyond those asked for
+PAIRS = 8        # pairs of cells per cell up to which the products of columns are added up once, for all passes
 
 
 def sparse_row(vector: Column) -> tuple[Column, Column]:
@@ -154,8 +160,11 @@ def _against(w: np.ndarray, span: np.ndarray) -> np.ndarray:
 def leading(rows: DataFrame, d: int, k: int, center: bool, tolerance: float = TOLERANCE, passes: int = PASSES, seed: int = 0) -> Leading:
     """The k leading directions of rows given as one column (arrays of d doubles) or two (indices, values); no nulls.
 
-    The driver holds a few hundred vectors of d numbers. Passes go on until the residual is below the tolerance.
+    Passes go on until the residual is below the tolerance. The driver holds a few hundred vectors of d numbers, or the k
+    directions alone for sparse rows of more than WIDE columns.
     """
+    if len(rows.columns) == 2 and d > WIDE:
+        return _leading_wide(rows, d, k, center, tolerance, passes, seed)
     n, mean = column_means(rows, d)
     if not center:
         mean = np.zeros(d)
@@ -183,6 +192,147 @@ def leading(rows: DataFrame, d: int, k: int, center: bool, tolerance: float = TO
                 span, image = span @ kept, image @ kept
 
 
+# --- sparse rows of very many columns ----------------------------------------------------------------------------------
+
+def _doubles(m: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+
+
+def _block(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _scatter_times(cells: DataFrame, paired: bool):
+    """The function that multiplies the scatter with a table (j, w: an array of `width` numbers), as (j, a0, a1, ...). cells:
+    the scatter itself as (i, j, v), or the filled places of the rows as (r, j, v), which take two joins."""
+    def summed(joined: DataFrame, by: str, width: int) -> DataFrame:
+        return joined.groupBy(by).agg(*[F.sum(F.col("v") * F.col("w")[t]).alias(f"a{t}") for t in range(width)])
+
+    def times(q: DataFrame, width: int) -> DataFrame:
+        if paired:
+            return summed(cells.join(q, "j"), "i", width).withColumnRenamed("i", "j")
+        rows = summed(cells.join(q, "j"), "r", width).select("r", F.array(*[f"a{t}" for t in range(width)]).alias("w"))
+        return summed(cells.join(rows, "r"), "j", width)
+
+    return times
+
+
+def _inner(basis: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(S'S, S'A, S'm) of a table (j, m, s, a)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                s, a = _block(batch.column(1), batch.num_rows), _block(batch.column(2), batch.num_rows)
+                part = s.T @ np.column_stack((s, a, batch.column(0).to_numpy()))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), _doubles(total.reshape(1, -1))], ["task", "cells"])
+
+    found = basis.select("m", "s", "a").mapInArrow(run, "task int, cells array<double>").collect()
+    if not found:
+        return np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0)
+    cells = sum(np.array(r["cells"]) for r in sorted(found, key=lambda r: r["task"]))
+    b = int((np.sqrt(1 + 8 * len(cells)) - 1) / 4 + 0.5)  # b * (2 b + 1) numbers
+    cells = cells.reshape(b, 2 * b + 1)
+    return cells[:, :b], cells[:, b:2 * b], cells[:, -1]
+
+
+def _moved_on(basis: DataFrame, x: np.ndarray, p: np.ndarray, values: np.ndarray, pull: np.ndarray) -> DataFrame:
+    """(j, m, x, p, ax, ap, w) from (j, m, s, a): the new vectors and steps, given by coefficients, and the residuals w. pull:
+    what the means take from the products, per vector."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s, a = _block(batch.column(2), batch.num_rows), _block(batch.column(3), batch.num_rows)
+                made, image = s @ x, a @ x
+                rest = image - np.outer(batch.column(1).to_numpy(), pull) - made * values
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(_doubles, (made, s @ p, image, a @ p, rest))],
+                                                 ["j", "m", "x", "p", "ax", "ap", "w"])
+
+    return basis.select("j", "m", "s", "a").mapInArrow(run, "j int, m double, " + ", ".join(f"{c} array<double>" for c in ("x", "p", "ax", "ap", "w")))
+
+
+def _best_of(inner: np.ndarray, images: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, coefficients of the leading vectors, coefficients of the steps) on a basis with these inner products; the first
+    `width` vectors of the basis are the present ones."""
+    size = 1 / np.sqrt(np.maximum(np.diag(inner), 1e-300))
+    size[np.diag(inner) <= 0] = 0.0
+    weight, turn = np.linalg.eigh(inner * np.outer(size, size))
+    white = size[:, None] * turn[:, weight > 1e-11] / np.sqrt(weight[weight > 1e-11])
+    values, vectors = np.linalg.eigh(white.T @ ((images + images.T) / 2) @ white)
+    x = white @ vectors[:, ::-1][:, :width]
+    step = x.copy()
+    step[:width] = 0.0  # what came from the residuals and the steps before, then free of x
+    step -= x @ (x.T @ inner @ step)
+    weight, turn = np.linalg.eigh(step.T @ inner @ step)
+    keep = weight > 1e-20
+    return values[::-1][:width], x, step @ turn[:, keep] / np.sqrt(weight[keep])
+
+
+def _leading_wide(rows: DataFrame, d: int, k: int, center: bool, tolerance: float, passes: int, seed: int) -> Leading:
+    """`leading` by locally optimal block steps: every pass takes the best vectors out of the span of the present ones, their
+    residuals and their last steps. These are rows by column number in a table; the driver sees their inner products."""
+    rows = rows.toDF("i", "v")
+    size = F.size("i").cast("long")
+    n, filled, squares = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * size), F.lit(0))).first()
+    k, paired = min(k, d), squares <= PAIRS * filled
+    if not filled:
+        return Leading(n, np.zeros(d), np.zeros(k), np.eye(d, k), 0.0, 0)
+    both = F.arrays_zip("i", "v")
+    if paired:
+        products = F.flatten(F.transform(both, lambda a: F.transform(both, lambda b: F.struct(
+            a["i"].alias("i"), b["i"].alias("j"), (a["v"] * b["v"]).alias("v")))))
+        cells = rows.select(F.explode(products).alias("c")).select("c.*").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    else:
+        numbered = rows.withColumn("r", F.monotonically_increasing_id())  # before the explode, which would number cells
+        cells = numbered.select("r", F.explode(both).alias("c")).select("r", F.col("c.i").alias("j"), "c.v")
+    means = rows.select(F.explode(both).alias("c")).groupBy(F.col("c.i").alias("j")).agg(
+        (F.sum("c.v") / n if center else F.lit(0.0)).alias("m"))
+    width = min(d, k + GUARDS)
+    start = F.array(*[F.xxhash64("j", F.lit(seed * width + t)) / float(1 << 63) for t in range(width)])
+
+    with Kept(cells) as cells, Kept(means) as means:
+        times = _scatter_times(cells, paired)
+
+        def basis(made: DataFrame, q: str, old: list[str], images: list[str], wide: int) -> DataFrame:
+            image = times(made.select("j", F.col(q).alias("w")), wide)
+            held = made.join(image, "j", "left")
+            a = F.array(*[F.coalesce(f"a{t}", F.lit(0.0)) for t in range(wide)])
+            parts = {**{c: F.col(c) for c in made.columns}, "aw": a}
+            return held.select("j", "m", F.concat(*[parts[c] for c in old]).alias("s"), F.concat(*[parts[c] for c in images]).alias("a"))
+
+        now = Kept(basis(means.select("j", "m", start.alias("x")), "x", ["x"], ["aw"], width))
+        done, values, residual, present = 1, np.zeros(width), np.inf, width
+        try:
+            while True:
+                table = now.__enter__()
+                inner, images, lean = _inner(table)
+                if done > 1:
+                    lengths = np.sqrt(np.maximum(np.diag(inner)[present:present + k], 0.0))
+                    residual = float(lengths.max() / values[0]) if values[0] > 0 else 0.0
+                    if residual <= tolerance or done >= passes:
+                        break
+                values, x, p = _best_of(inner, images - n * np.outer(lean, lean), width)
+                present = x.shape[1]
+                made = _moved_on(table, x, p, values, n * (lean @ x))
+                after = Kept(basis(made, "w", ["x", "w", "p"], ["ax", "aw", "ap"], present))
+                now.__exit__()
+                now, done = after, done + 1
+            found = table.select("j", *[F.col("s")[t].alias(f"x{t}") for t in range(min(k, present))]).toPandas()
+            mean = np.zeros(d)
+            if center:
+                held = means.toPandas()
+                mean[held["j"]] = held["m"]
+        finally:
+            now.__exit__()
+    axes, top = np.zeros((d, k)), np.zeros(k)
+    top[:min(k, present)] = values[:k]
+    for t in range(min(k, present)):
+        axes[found["j"], t] = found[f"x{t}"]
+    return Leading(n, mean, np.maximum(top, 0.0), positive(axes), residual, done)
+
+
 def project(rows: DataFrame, keep: list[Column], x: list[Column], axes: np.ndarray, mean: np.ndarray, name: str) -> DataFrame:
     """The columns `keep` and the array `name` of projections of rows given as for `leading`."""
     shift = mean @ axes

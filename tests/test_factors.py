@@ -119,3 +119,24 @@ def test_incremental_operator(spark):
     small = df.select("k", "a", "b", "split")
     for f in (features.pca_auto, features.pca_two, features.incremental_pca, features.truncated_svd, features.kernel_pca):
         assert f(small, ROLES).columns == small.columns
+
+
+@pytest.mark.parametrize("per, center", [(2, True), (30, False)])
+def test_directions_of_very_many_columns_stay_in_tables(spark, monkeypatch, per, center):
+    monkeypatch.setattr(factors, "_pass", lambda *_: pytest.fail("vectors of every column on the driver"))
+    rng, d = np.random.default_rng(3), factors.WIDE + 7
+    x, rows = np.zeros((300, 60)), []
+    for r in range(300):
+        places = rng.choice(50, per, replace=False)
+        x[r, places] = rng.normal(size=per) * (1 + (places < 3) * 4) + (places < 10)
+        rows.append(([int(p) for p in places * 1_000], [float(v) for v in x[r, places]]))
+    found = factors.leading(spark.createDataFrame(rows, "i array<int>, v array<double>"), d, 2, center)
+    values, axes = np.linalg.eigh((y := x - x.mean(axis=0) * center).T @ y)
+    assert found.rows == 300 and found.axes.shape == (d, 2) and found.residual <= factors.TOLERANCE
+    assert np.allclose(found.values, values[::-1][:2], rtol=1e-9)
+    assert np.allclose(found.axes[np.arange(60) * 1_000 % d], factors.positive(axes[:, ::-1][:, :2]), atol=1e-6)
+
+
+def test_very_many_columns_without_a_number(spark):
+    empty = spark.createDataFrame([([], [])], "i array<int>, v array<double>")
+    assert factors.leading(empty, factors.WIDE + 1, 2, False).values.tolist() == [0, 0]
