@@ -7,12 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions.columns import Roles
-from tableprep.operators.models import growing
+from tableprep.operators.models import bagged, growing
 from tableprep.operators.models.common import FEATURES, TARGET, Task, classification, regression
 from tableprep.session import cut_lineage
 
@@ -31,16 +31,15 @@ def _direct(task: Task, classifier) -> DataFrame:
 
 
 def random_forest(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth: int = DEEP, seed: int = 0):
+    """Trees on bootstrap samples that try the square root of the columns, rounded up, at each node."""
     task = classification(df, roles)
-    return _direct(task, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed,
-                                                featureSubsetStrategy="sqrt"))
+    return bagged.classify(task, trees, depth, seed, math.ceil(math.sqrt(len(task.names))))
 
 
 def bagging(df: DataFrame, roles: Roles = Roles(), trees: int = 10, depth: int = DEEP, seed: int = 0) -> DataFrame:
     """Trees on bootstrap samples over all columns; their class shares are averaged."""
     task = classification(df, roles)
-    return _direct(task, RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=True,
-                                                featureSubsetStrategy="all"))
+    return bagged.classify(task, trees, depth, seed, len(task.names))
 
 
 def decision_tree(df: DataFrame, roles: Roles = Roles(), depth: int = DEEP, seed: int = 0) -> DataFrame:
@@ -65,10 +64,9 @@ def gradient_boosting(df: DataFrame, roles: Roles = Roles(), rounds: int = 100,
 
 
 def bagging_regressor(df: DataFrame, roles: Roles = Roles(), trees: int = 10, depth: int = DEEP, seed: int = 0):
+    """Regression trees on bootstrap samples over all columns; their predictions are averaged."""
     task = regression(df, roles)
-    model = _seeded(RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed, bootstrap=True,
-                                          featureSubsetStrategy="all")).fit(task.vectors(task.train))
-    return task.predicted(model.transform(task.vectors(task.test).drop(TARGET)), F.col("prediction"))
+    return bagged.regress(task, trees, depth, seed, len(task.names))
 
 
 def tree_expression(model, x: list[Column], value=lambda node: float(node.prediction())) -> Column:
