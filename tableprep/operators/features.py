@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableprep.functions import factors
 from tableprep.functions.columns import Roles, col, filled, number
 from tableprep.functions.moments import dot
+from tableprep.operators.models import bagged, growing
+from tableprep.operators.models.common import Task
+from tableprep.session import cut_lineage
 
 FEWEST = 3  # fixed value: numeric columns from which on a projection does something
 
@@ -176,16 +179,30 @@ def random_trees_embedding(df: DataFrame, roles: Roles = Roles(), trees: int = 1
     if not names:
         return df
     _check_width(names, width)
-    rows = _assembled(df, roles, names, "_raw")
-    target = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c) for c in names], F.lit(seed))), 1, 8), 16, 10)
-    train = roles.train(rows).select("_raw", (target.cast("double") / 2.0 ** 32).alias("_y"))
-    forest = RandomForestRegressor(featuresCol="_raw", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed,
-                                   bootstrap=False, featureSubsetStrategy="1", leafCol="_leaf").fit(train)
-    leaves = [(t.numNodes + 1) // 2 for t in forest.trees]
+    rows = df.select(*_others(df, roles), *[filled(df, c).cast("double").alias(c) for c in names])
+    target = F.conv(F.substring(F.md5(F.concat_ws("|", *[filled(df, c) for c in names], F.lit(seed))), 1, 8), 16, 10)
+    task = Task(rows, roles, names)
+    edges, keys = bagged.edges_of(task), [f"_b{j}" for j in range(len(names))]
+    drawn = Task(df.select(*_others(df, roles), *[filled(df, c).cast("double").alias(c) for c in names],
+                           (target.cast("double") / 2.0 ** 32).alias("_y")), roles, names)
+    # rows that no cut tells apart are one, with their number and the sum of their targets
+    merged = bagged.with_buckets(drawn, drawn.train, edges).groupBy(*keys).agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("y"))
+    base = cut_lineage(merged.select(F.array(*keys).alias("x"), "n", "y"))
+    grown = growing.grow(growing.Growth(base, len(names), 2, bagged.mean_gain,
+                                        lambda batch, tree, state: [(0, batch.column(1).to_numpy()), (1, batch.column(2).to_numpy())],
+                                        lambda s: False, 1, depth, seed), trees)
+    shape = growing.unbucketed(grown, edges).shape()
+    number = [(column < 0).cumsum() - 1 for column, *_ in shape]  # of a leaf within its tree
+    leaves = [int(n[-1]) + 1 for n in number]
     starts = np.concatenate([[0], np.cumsum(leaves)])
-    active = F.zip_with(vector_to_array(F.col("_leaf")), F.array(*[F.lit(int(s)) for s in starts[:-1]]),
-                        lambda leaf, start: leaf.cast("int") + start)
-    result = forest.transform(rows).select(*_others(df, roles), active.alias("embed"))
+
+    @F.pandas_udf("array<int>")
+    def active(*columns: pd.Series) -> pd.Series:
+        x = np.stack([c.to_numpy(dtype=float) for c in columns], axis=1)
+        found = [starts[t] + number[t][growing.place(tree, x)] for t, tree in enumerate(shape)]
+        return pd.Series(list(np.stack(found, axis=1).astype(np.int32)))
+
+    result = rows.select(*_others(df, roles), active(*[col(c) for c in names]).alias("embed"))
     if not dense:
         return result
     hot = [F.when(F.col("embed")[t] == int(starts[t] + i), 1.0).otherwise(0.0).alias(f"embed_{starts[t] + i}")

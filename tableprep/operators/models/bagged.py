@@ -57,7 +57,7 @@ def _bucket(edges: np.ndarray):
     return place
 
 
-def _with_buckets(task: Task, rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+def with_buckets(task: Task, rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
     return rows.withColumns({f"_b{j}": _bucket(e)(x.cast("double")) for j, (e, x) in enumerate(zip(edges, task.x))})
 
 
@@ -229,7 +229,7 @@ def _sums(task: Task, base: DataFrame, size: int, trees: int, depth: int, seed:
     fields = "tree int, node int, deep int, test boolean, x array<short>, stats array<double>, v array<double>"
     order = ["tree", "node", "test"]
     keys = [f"_b{j}" for j in range(d)]
-    cells = cut_lineage(_with_buckets(task, task.test, edges).select(*keys).distinct().select(F.array(*keys).alias("x")))
+    cells = cut_lineage(with_buckets(task, task.test, edges).select(*keys).distinct().select(F.array(*keys).alias("x")))
     totals = [F.sum(F.col("v")[c]).alias(f"v{c}") for c in range(width)] + [F.count("*").alias("n")]
     with ExitStack() as held:
         parts = []
@@ -251,7 +251,7 @@ def _sums(task: Task, base: DataFrame, size: int, trees: int, depth: int, seed:
 
 def _joined(task: Task, sums: DataFrame, edges: list[np.ndarray], prediction) -> DataFrame:
     keys = [f"_b{j}" for j in range(len(task.names))]
-    return task.predicted(_with_buckets(task, task.test, edges).join(sums, keys, "left"), prediction)
+    return task.predicted(with_buckets(task, task.test, edges).join(sums, keys, "left"), prediction)
 
 
 def classify(task: Task, trees: int, depth: int, seed: int, look: int) -> DataFrame:
@@ -263,7 +263,7 @@ def classify(task: Task, trees: int, depth: int, seed: int, look: int) -> DataFr
         return task.predicted(task.test, task.class_of(F.lit(max(range(k), key=lambda c: sizes.get(c, 0)))))
     edges = edges_of(task)
     keys = [f"_b{j}" for j in range(len(edges))]
-    rows = _with_buckets(task, task.train, edges).groupBy(*keys, F.col(TARGET).cast("int").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    rows = with_buckets(task, task.train, edges).groupBy(*keys, F.col(TARGET).cast("int").alias("y")).agg(F.count("*").cast("double").alias("n"))
     base = cut_lineage(rows.select(F.array(*keys).alias("x"), "y", "n"))
 
     def draw(batch: pa.RecordBatch, tree: int, state: dict) -> np.ndarray:
@@ -311,7 +311,7 @@ def regress(task: Task, trees: int, depth: int, seed: int, look: int) -> DataFra
             drawn = [rng.poisson(1.0, len(y)).astype(float) for _ in range(trees)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:d], *[pa.array(v) for w in drawn for v in (w, w * y)]], [*keys, *counted])
 
-    rows = _with_buckets(task, task.train, edges).select(*keys, F.col(TARGET).alias("y"))
+    rows = with_buckets(task, task.train, edges).select(*keys, F.col(TARGET).alias("y"))
     rows = rows.mapInArrow(sample, ", ".join([*[f"{c} short" for c in keys], *[f"{c} double" for c in counted]]))
     merged = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counted])
     base = cut_lineage(merged.select(F.array(*keys).alias("x"), *counted))
