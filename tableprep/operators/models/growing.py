@@ -5,8 +5,8 @@ gives the same), adds up statistics by open node, column and bucket, and sends o
 by node and column, the best cut of each is found there, and the driver reads one short row per node and column. It holds
 the trees, never rows of the table.
 
-Balanced bootstraps are counted, not copied: how often a row is drawn follows from its number within its class by splitting
-the number of draws over halves, quarters, ... of the class at random, so that every tree gets exactly as many draws.
+Balanced bootstraps are counted, not copied: the number of draws of a class is split over partitions, batches and rows at
+random, so that every tree gets exactly as many draws. Equal rows are one with their number.
 """
 
 from __future__ import annotations
@@ -395,41 +395,46 @@ def draw_counts(seed: int, tree: int, label: int, rows: int, draws: int, low: in
     return out
 
 
-def class_offsets(base: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of each class before each partition, rows of each class). The base is written, so partitions keep their rows."""
+def class_parts(base: DataFrame, k: int) -> np.ndarray:
+    """Rows of each class by partition of (x, y, n). The base is written, so partitions keep their rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k, np.int64)
+        total = np.zeros(k)
         for batch in _filled(batches):
-            total += np.bincount(batch.column(1).to_numpy(), minlength=k)
+            total += np.bincount(batch.column(1).to_numpy(), batch.column(2).to_numpy(), minlength=k)
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(total)], ["part", "y", "n"])
 
-    found = base.mapInArrow(run, "part int, y int, n long").toPandas()
-    counts = np.zeros((int(found["part"].max()) + 1 if len(found) else 1, k), np.int64)
+    found = base.mapInArrow(run, "part int, y int, n double").toPandas()
+    counts = np.zeros((int(found["part"].max()) + 1 if len(found) else 1, k))
     counts[found["part"], found["y"]] = found["n"]
-    return counts.cumsum(axis=0) - counts, counts.sum(axis=0)
+    return counts
 
 
 def balanced_draws(base: DataFrame, k: int, seed: int) -> tuple[Callable, Callable, int]:
-    """(start, measures, draws per class): each tree's own bootstrap with the size of the rarest class for every class."""
-    offsets, sizes = class_offsets(base, k)
+    """(start, measures, draws per class): each tree's own bootstrap with the size of the rarest class for every class. base:
+    (x, y, n), n equal rows as one. Draws are split over partitions, then over batches, then over rows by their numbers."""
+    counts = class_parts(base, k)
+    sizes = counts.sum(axis=0)
     draws = int(sizes[sizes > 0].min()) if (sizes > 0).any() else 0
 
     def start():
-        part = TaskContext.get().partitionId()
-        return {"before": offsets[part] if part < len(offsets) else np.zeros(k, np.int64), "seen": np.zeros(k, np.int64), "batch": None}
+        return {"batch": None, "number": 0, "left": {}}
 
     def measures(batch: pa.RecordBatch, tree: int, state):
-        if state["batch"] is not batch:  # numbers of this batch's rows within their classes
-            y = batch.column(1).to_numpy()
-            order = np.argsort(y, kind="stable")
-            size = np.bincount(y, minlength=k)
-            low = state["before"] + state["seen"]
-            state.update(batch=batch, y=y, order=order, size=size, low=low, seen=state["seen"] + size)
-        drawn = [draw_counts(seed, tree, c, int(sizes[c]), draws, int(state["low"][c]), int(state["low"][c] + state["size"][c]))
-                 for c in range(k) if state["size"][c]]
-        weight = np.empty(len(state["y"]))
-        weight[state["order"]] = np.concatenate(drawn) if drawn else 0
+        part = TaskContext.get().partitionId()
+        if state["batch"] is not batch:
+            y, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            state.update(batch=batch, number=state["number"] + 1, y=y, mine=[(c, r, n[r]) for c in range(k) if len(r := np.flatnonzero(y == c))])
+        if tree not in state["left"]:
+            state["left"][tree] = {c: [np.random.default_rng([seed, tree, c]).multinomial(draws, counts[:, c] / sizes[c])[part], counts[part, c]]
+                                   for c in range(k) if sizes[c]}
+        weight = np.zeros(len(state["y"]))
+        for c, rows, n in state["mine"]:
+            rng, left = np.random.default_rng([seed, tree, c, part, state["number"]]), state["left"][tree][c]
+            total = n.sum()
+            drawn = rng.binomial(left[0], total / left[1]) if total < left[1] else left[0]
+            weight[rows] = rng.multinomial(drawn, n / total)
+            left[0], left[1] = left[0] - drawn, left[1] - total
         return [(state["y"], weight)]
 
     return start, measures, draws

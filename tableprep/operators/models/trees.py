@@ -255,7 +255,8 @@ def _look(task: Task, look: int | None) -> int:
 def balanced_trees(task: Task, trees: int, depth: int, seed: int, look: int | None) -> growing.Forest:
     """The trees of `balanced_forest`, with cuts at values; the statistics of their nodes are class counts."""
     edges = growing.quantile_edges(task) if task.names else []
-    base = cut_lineage(growing.bucketed(growing.raw_base(task), edges))
+    base = growing.bucketed(growing.raw_base(task), edges) if edges else growing.raw_base(task)
+    base = cut_lineage(growing.merged(base))
     start, measures, _ = growing.balanced_draws(base, len(task.classes), seed)
     grown = growing.grow(growing.Growth(base, len(task.names), len(task.classes), growing.gini_gain, measures,
                                         lambda s: not growing.impure(s), _look(task, look), depth, seed, start=start), trees)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tableprep.functions import nearest, quantiles
 from tableprep.functions.columns import Roles
-from tableprep.operators import cleanup
+from tableprep.operators import cleanup, features
 from tableprep.operators.models import growing, trees
 from tableprep.operators.models.common import classification
 
@@ -131,3 +131,26 @@ def test_boosting_works_on_merged_rows(spark, monkeypatch):
     assert stumps and 0 < total.value <= 24
     counts = growing.merged(growing.bucketed(growing.raw_base(task), [np.arange(4.0), np.arange(3.0)])).collect()
     assert len(counts) <= 24 and sum(r["n"] for r in counts) == 3_000
+
+
+def test_an_embedding_reads_different_rows(spark, monkeypatch):
+    sizes, kept = [], features.cut_lineage
+    monkeypatch.setattr(features, "cut_lineage", lambda df: sizes.append((made := kept(df)).count()) or made)
+    df = spark.range(3_000).select(F.col("id").alias("k"), (F.col("id") % 6).cast("double").alias("a"), (F.col("id") % 4).alias("b"),
+                                   F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    got = features.random_trees_embedding(df, Roles(keys=("k",)), trees=20, depth=5, dense=False)
+    assert sizes == [12]
+    same = got.join(df.select("k", "a", "b"), "k").groupBy("a", "b").agg(F.count_distinct("embed").alias("n"))
+    assert got.count() == 3_000 and same.where("n <> 1").count() == 0
+    assert got.where("size(array_distinct(embed)) <> 20").count() == 0 and got.select("embed").distinct().count() == 12
+
+
+def test_a_balanced_forest_reads_different_rows(spark, monkeypatch):
+    sizes, kept = [], trees.cut_lineage
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: sizes.append((made := kept(df)).count()) or made)
+    df = spark.range(4_000).select(F.col("id").alias("k"), (F.col("id") % 20).cast("double").alias("a"), F.lit("train").alias("split"),
+                                   F.when(F.col("id") % 20 > 16, "x").otherwise("z").alias("label")).repartition(7)
+    forest = trees.balanced_trees(classification(df, Roles(keys=("k",))), 4, 1, 3, None)
+    assert sizes == [20]
+    assert [s[0].tolist() for s in forest.stats] == [[600, 600]] * 4  # as many draws of each class as the rarer one has rows
+    assert len({tuple(s[1]) for s in forest.stats} | {tuple(s[2]) for s in forest.stats}) >= 2
