@@ -13,12 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tableprep.operators.models.common import TARGET, Task
@@ -28,6 +28,9 @@ CELLS = 4_000_000  # numbers of one pass's statistics; more open nodes are worke
 STRETCH = 1_024    # rows of a class whose draws are placed together
 BUCKETS = 64       # places where a bucketed column may be cut, plus 1
 
+#: Rows of a partition as (bucket numbers by column and row, targets, logarithms of weights).
+Chunk = tuple[np.ndarray, np.ndarray, np.ndarray]
+
 
 @dataclass
 class Forest:
@@ -524,6 +527,146 @@ def boost_softmax(base: DataFrame, sizes: np.ndarray, d: int, rounds: int, depth
     return model
 
 
+def walked(tree: tuple[np.ndarray, ...], value: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The value of each row's leaf; x: (columns, rows). For small trees, whose conditions are cheaper than moving rows about."""
+    column, cut, left, right = tree
+
+    def walk(node: int) -> np.ndarray:
+        if column[node] < 0:
+            return value[node]
+        return np.where(x[column[node]] <= cut[node], walk(left[node]), walk(right[node]))
+
+    return np.broadcast_to(walk(0), x.shape[1:])
+
+
+@dataclass
+class Voters:
+    """Regression trees with the value of every node and the weight of each in a median. losses: (beta, largest error) of each,
+    from which the weights of rows follow."""
+
+    trees: list[tuple[np.ndarray, ...]] = field(default_factory=list)
+    values: list[np.ndarray] = field(default_factory=list)
+    weights: list[float] = field(default_factory=list)
+    losses: list[tuple[float, float]] = field(default_factory=list)
+
+    def carried(self, chunk: Chunk, first: int) -> np.ndarray:
+        """Logarithms of the rows' weights after the rounds from `first` on."""
+        x, y, log = chunk
+        for tree, value, (beta, worst) in list(zip(self.trees, self.values, self.losses))[first:]:
+            log = log + math.log(beta) * (1 - np.abs(walked(tree, value, x) - y) / worst)
+        return log
+
+    def median(self, x: np.ndarray) -> np.ndarray:
+        """The least prediction that, with all smaller ones, has half of the weight."""
+        found = np.stack([walked(tree, value, x) for tree, value in zip(self.trees, self.values)], axis=1)
+        order = found.argsort(axis=1, kind="stable")
+        weight = np.array(self.weights)
+        upto = weight[order].cumsum(axis=1) >= weight.sum() / 2 - 1e-12
+        return np.take_along_axis(found, np.take_along_axis(order, upto.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+
+
+def chunks(rows: DataFrame, edges: list[np.ndarray]) -> RDD:
+    """Chunks of rows (x0, x1, ..., y), with columns as bucket numbers and weights of 1."""
+    d, kind = len(edges), np.uint8 if max(map(len, edges)) < 256 else np.int16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _filled(batches):
+            x = np.stack([np.searchsorted(e, batch.column(j).to_numpy(), "left") for j, e in enumerate(edges)]).astype(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([batch.column(d).to_numpy().tobytes()])], ["x", "y"])
+
+    def unpacked(row) -> Chunk:
+        y = np.frombuffer(bytes(row[1]))
+        return np.frombuffer(bytes(row[0]), kind).reshape(d, -1), y, np.zeros(len(y))
+
+    return rows.mapInArrow(run, "x binary, y binary").rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _level(model: Voters, first: int, tree: tuple[np.ndarray, ...], open_: list[int], buckets: int):
+    """The function over a partition's chunks that adds up (weight, weighted target) by column, open node and bucket."""
+    spot = np.full(len(tree[0]), -1)
+    spot[open_] = np.arange(len(open_))
+
+    def run(part: Iterator[Chunk]) -> Iterator[np.ndarray]:
+        total: np.ndarray | int = 0
+        for chunk in part:
+            x, y, _ = chunk
+            weight, node = np.exp(model.carried(chunk, first)), walked(tree, spot, x)
+            if node.min() < 0:
+                rows = np.flatnonzero(node >= 0)
+                x, y, weight, node = x[:, rows], y[rows], weight[rows], node[rows]
+            flat = [node * buckets + column for column in x]
+            total = total + np.array([[np.bincount(at, w, len(open_) * buckets) for at in flat] for w in (weight, weight * y)])
+        if not isinstance(total, int):
+            yield total.reshape(2, -1, len(open_), buckets)
+
+    return run
+
+
+def _errors(model: Voters, first: int, tree: tuple[np.ndarray, ...], value: np.ndarray):
+    """The function over a partition's chunks that gives (largest error, weighted sum of errors, sum of weights) of a tree."""
+    def run(part: Iterator[Chunk]) -> Iterator[tuple[float, float, float]]:
+        for chunk in part:
+            weight, error = np.exp(model.carried(chunk, first)), np.abs(walked(tree, value, chunk[0]) - chunk[1])
+            yield float(error.max()), float(weight @ error), float(weight.sum())
+
+    return run
+
+
+def _median_tree(rows: RDD, model: Voters, first: int, depth: int, buckets: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """A weighted regression tree and the means of its nodes; one job a level."""
+    forest, open_ = Forest(1), [0]
+    for _ in range(depth):
+        sums = rows.mapPartitions(_level(model, first, forest.shape()[0], open_, buckets)).treeReduce(np.add)
+        left = np.moveaxis(sums, 0, -1).cumsum(axis=2)  # (column, node, bucket, statistic)
+        right = left[:, :, -1:] - left
+        gain, valid = spread_gain(left[:, :, :-1], right[:, :, :-1])
+        gain = np.where(valid, gain, -np.inf)
+        next_ = []
+        for i, node in enumerate(open_):
+            forest.stats[0][node] = left[0, i, -1]
+            if gain[:, i].size and gain[:, i].max() > 0:
+                j, c = np.unravel_index(gain[:, i].argmax(), gain[:, i].shape)
+                next_ += forest.split(0, node, int(j), float(c), left[j, i, c], right[j, i, c])
+        open_ = next_
+        if not open_:
+            break
+    return forest.shape()[0], np.array([s[1] / s[0] for s in forest.stats[0]])
+
+
+def boost_median(rows: RDD, spread: float, buckets: int, rounds: int, depth: int, keep: int = 5) -> Voters:
+    """AdaBoost.R2 with linear loss on chunks of rows, targets at most `spread` away from zero.
+
+    A round is one job a level of its tree, and one for the errors. Rows carry their weights; every `keep` rounds these are
+    made anew, in between tasks carry them on by the few latest trees.
+    """
+    model, first = Voters(), 0
+    try:
+        for i in range(rounds):
+            if i - first >= keep:
+                before, at = rows, first
+                rows = before.map(lambda chunk: (*chunk[:2], model.carried(chunk, at))).persist(StorageLevel.MEMORY_AND_DISK)
+                rows.count()  # the closure is sent with the trees so far
+                before.unpersist()
+                first = i
+            tree, value = _median_tree(rows, model, first, depth, buckets)
+            worst, lost, total = rows.mapPartitions(_errors(model, first, tree, value)).treeReduce(
+                lambda a, b: (max(a[0], b[0]), a[1] + b[1], a[2] + b[2]))
+            loss = 0.0 if worst <= 1e-12 * spread else lost / worst / total
+            if loss >= 0.5 and model.trees:
+                break
+            model.trees.append(tree)
+            model.values.append(value)
+            if loss <= 0 or loss >= 0.5:
+                model.weights.append(1.0)
+                break
+            beta = loss / (1 - loss)
+            model.weights.append(math.log(1 / beta))
+            model.losses.append((beta, worst))
+    finally:
+        rows.unpersist()
+    return model
+
+
 def boosted_class(task: Task, model: Boosted) -> DataFrame:
     """The class of the largest score; the first one on ties. The model's cuts are values."""
     @F.pandas_udf("int")
@@ -536,10 +679,10 @@ def boosted_class(task: Task, model: Boosted) -> DataFrame:
     return task.predicted(task.test, task.class_of(winner(*[c.cast("double") for c in task.x])))
 
 
-def valued(model: Boosted, edges: list[np.ndarray]) -> Boosted:
+def valued(model: Boosted | Voters, edges: list[np.ndarray]) -> Boosted | Voters:
     """Cuts at bucket numbers become cuts at values."""
     trees = []
     for column, cut, left, right in model.trees:
         value = [float(edges[c][int(b)]) if c >= 0 and int(b) < len(edges[c]) else math.inf for c, b in zip(column, cut)]
         trees.append((column, np.array(value), left, right))
-    return Boosted(model.start, trees, model.values)
+    return replace(model, trees=trees)

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tableprep.functions.columns import Roles
 from tableprep.operators.models import bagged, growing
@@ -69,18 +68,6 @@ def bagging_regressor(df: DataFrame, roles: Roles = Roles(), trees: int = 10, de
     return bagged.regress(task, trees, depth, seed, len(task.names))
 
 
-def tree_expression(model, x: list[Column], value=lambda node: float(node.prediction())) -> Column:
-    """A fitted tree as one nested condition, so that later rounds need neither a join nor a model in the plan."""
-    def walk(node) -> Column:
-        if node.subtreeDepth() == 0:
-            return F.lit(value(node))
-        split = node.split()
-        test = x[split.featureIndex()] <= F.lit(float(split.threshold()))
-        return F.when(test, walk(node.leftChild())).otherwise(walk(node.rightChild()))
-
-    return walk(model._call_java("rootNode"))
-
-
 def _class_sizes(rows: DataFrame) -> dict[float, int]:
     return {r[TARGET]: r["count"] for r in rows.groupBy(TARGET).count().collect()}
 
@@ -284,35 +271,22 @@ def extra_trees(df: DataFrame, roles: Roles = Roles(), trees: int = 100, depth:
 
 
 def ada_boost_regressor(df: DataFrame, roles: Roles = Roles(), rounds: int = 50, depth: int = 3, seed: int = 0):
-    """AdaBoost.R2 with linear loss: weighted trees, combined by their weighted median."""
+    """AdaBoost.R2 with linear loss: weighted trees, combined by their weighted median. Columns are cut at quantiles, or at all
+    values where there are few."""
     task = regression(df, roles)
-    base = task.vectors(task.train).select(*task.x, FEATURES, TARGET).persist()
-    members: list[tuple[Column, float]] = []
-    weight = F.lit(1.0)
-    try:
-        for i in range(rounds):
-            rows = base.withColumn("_w", weight)
-            tree = _seeded(DecisionTreeRegressor(maxDepth=depth, weightCol="_w", seed=seed + i)).fit(rows)
-            prediction = tree_expression(tree, task.x)
-            error = F.abs(prediction - F.col(TARGET))
-            worst = base.agg(F.max(error)).first()[0]
-            if not worst:
-                members.append((prediction, 1.0))
-                break
-            lost, total = rows.agg(F.sum(F.col("_w") * error / worst), F.sum("_w")).first()
-            loss = lost / total
-            if loss >= 0.5:
-                members = members or [(prediction, 1.0)]
-                break
-            beta = loss / (1 - loss)
-            members.append((prediction, math.log(1 / beta)))
-            weight = weight * F.pow(F.lit(beta), 1 - error / worst)
-    finally:
-        base.unpersist()
-    half = sum(w for _, w in members) / 2
-    ranked = F.array_sort(F.array(*[F.struct(p.alias("p"), F.lit(w).alias("w")) for p, w in members]))
-    start = F.struct(F.lit(0.0).alias("t"), F.lit(None).cast("double").alias("v"))
-    median = F.aggregate(ranked, start, lambda s, m: F.struct(
-        (s["t"] + m["w"]).alias("t"),
-        F.coalesce(s["v"], F.when(s["t"] + m["w"] >= half - 1e-12, m["p"])).alias("v")))["v"]
-    return task.predicted(task.test, median)
+    y = F.col(TARGET)
+    middle, least, most = task.train.agg(F.avg(y), F.min(y), F.max(y)).first()
+    if middle is None:
+        raise ValueError("no labelled train row")
+    cut = bool(task.names) and depth > 0  # without a place to cut, a column that is the same everywhere leaves the root alone
+    edges = bagged.edges_of(task) if cut else [np.zeros(0)]
+    columns = [c.cast("double") for c in task.x] if cut else [F.lit(0.0)]
+    rows = growing.chunks(task.train.select(*[c.alias(f"x{j}") for j, c in enumerate(columns)], (y - F.lit(middle)).alias("y")), edges)
+    model = growing.boost_median(rows, max(most - middle, middle - least), max(map(len, edges)) + 1, rounds, depth if cut else 1)
+    model = growing.valued(model, edges)
+
+    @F.pandas_udf("double")
+    def median(*x: pd.Series) -> pd.Series:
+        return pd.Series(middle + model.median(np.stack([c.to_numpy(dtype=float) for c in x])))
+
+    return task.predicted(task.test, median(*columns))

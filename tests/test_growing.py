@@ -169,3 +169,52 @@ def test_passes_are_cut_when_many_nodes_are_open(spark, table, monkeypatch):
     monkeypatch.setattr(growing, "CELLS", 1_000)
     parts = trees.balanced_trees(task, 5, 5, 2, 3)
     assert whole.column == parts.column and whole.cut == parts.cut
+
+
+def _plain_median(x, y, rounds, depth):
+    """AdaBoost.R2 with linear loss on all values as cuts: predictions of the rows themselves."""
+    def tree(rows, w, level):
+        mean, best = (w[rows] @ y[rows]) / w[rows].sum(), (0.0, None)
+        for j in range(x.shape[1]):
+            for c in np.unique(x[rows, j])[:-1]:
+                a, b = rows[x[rows, j] <= c], rows[x[rows, j] > c]
+                p, q = w[a].sum(), w[b].sum()
+                gain = (w[a] @ y[a] / p - w[b] @ y[b] / q) ** 2 * p * q / (p + q)
+                if gain > best[0] * (1 + 1e-12):
+                    best = gain, (a, b)
+        if level == 0 or best[1] is None:
+            return [(rows, mean)]
+        return [leaf for side in best[1] for leaf in tree(side, w, level - 1)]
+
+    w, found, votes = np.ones(len(y)), [], []
+    for _ in range(rounds):
+        p = np.zeros(len(y))
+        for rows, mean in tree(np.arange(len(y)), w, depth):
+            p[rows] = mean
+        error = np.abs(p - y)
+        loss = (w @ error) / error.max() / w.sum()
+        if loss >= 0.5:
+            break
+        beta = loss / (1 - loss)
+        found, votes, w = [*found, p], [*votes, -np.log(beta)], w * beta ** (1 - error / error.max())
+    found, votes = np.array(found), np.array(votes)
+    order = found.argsort(axis=0)
+    at = (votes[order].cumsum(axis=0) >= votes.sum() / 2 - 1e-12).argmax(axis=0)
+    return found[order[at, np.arange(len(y))], np.arange(len(y))]
+
+
+def test_ada_boost_regressor_is_the_plain_one_in_one_job_a_level(spark):
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.integers(0, 12, 400), rng.integers(0, 7, 400)], axis=1).astype(float)
+    y = 100 + x[:, 0] ** 2 - 9 * x[:, 1] + rng.normal(0, 6, 400)
+    rows = [(i, *map(float, v), float(t), s) for s in ("train", "test") for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, label double, split string").repartition(3)
+    context, rounds, depth = spark.sparkContext, 12, 3  # more rounds than trees that are carried along
+    context.setJobGroup("boost", "")
+    out = trees.ada_boost_regressor(df, Roles(keys=("id",)), rounds=rounds, depth=depth)
+    context.setJobGroup("after", "")
+    assert len(context.statusTracker().getJobIdsForGroup("boost")) <= rounds * (depth + 1) + 10
+    got = {r["id"]: r["prediction"] for r in out.collect()}
+    assert np.allclose([got[i] for i in range(400)], _plain_median(x, y, rounds, depth))
+    flat = df.selectExpr("id", "'x' AS a", "label", "split")
+    assert len({r["prediction"] for r in trees.ada_boost_regressor(flat, Roles(keys=("id",)), rounds=3).collect()}) == 1
