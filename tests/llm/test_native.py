@@ -126,6 +126,34 @@ def test_linked_lines_share_a_band_and_pass_the_bitmaps(spark):
     assert near.count() == len(pairs) and line_dedup._links(near, signed, docs).count() == len(pairs)
 
 
+def test_bitmaps_tell_long_lines_apart(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(400)]
+    lines = []
+    for n in (40, 60, 120):  # 280 to 840 characters, half of them shared
+        for _ in range(10):
+            one, other = rng.sample(words, n), rng.sample(words, n)
+            lines += [" ".join(one), " ".join(one[:n // 2] + other[n // 2:])]
+    distinct = spark.createDataFrame([(x, i, 1) for i, x in enumerate(lines)], "line string, first long, n long")
+    signed = common.written(line_dedup._signed(distinct).select(F.col("first").alias("id"), "bits", "most"))
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, len(lines), 2)], "a long, b long")
+    assert line_dedup._bounded(pairs, signed).count() == 0
+
+
+def test_shared_keys_of_all_bands(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.randrange(2) for _ in range(line_dedup.VALUES)]) for i in range(40)]
+    signed = common.written(spark.createDataFrame(rows, "id long, values array<int>"))
+    want = {}
+    for i, values in rows:
+        for b in range(line_dedup.VALUES):
+            want.setdefault((b, *(values[(b + d) % line_dedup.VALUES] for d in line_dedup.BAND)), []).append(i)
+    tables = line_dedup._shared(signed)
+    got = [[(r["id"], r["a"]) for r in t.collect()] for t in tables]
+    assert sorted(x for t in got for x in t) == sorted((i, ids[0]) for ids in want.values() if len(ids) > 1 for i in ids)
+    assert all(t.select("key").distinct().count() < len(want) // 3 for t in tables)
+
+
 def test_hot_buckets_are_cut_into_blocks(monkeypatch, spark):
     rng = random.Random(9)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
