@@ -79,3 +79,23 @@ def test_predictor_on_rings(spark, cloud):
     assert out.selectExpr("avg(int(label = prediction))").first()[0] > 0.85
     one = svc.kernel_svc(df.where("label = 'b'"), Roles(keys=("k",)))
     assert {r["prediction"] for r in one.collect()} == {"b"}
+
+
+@pytest.mark.parametrize("working, block", [(1000, 1000), (40, 25)])
+def test_equal_rows_are_one_with_their_number(spark, cloud, working, block):
+    x, y = cloud[0].round(0), cloud[1]  # many equal rows, some of both signs
+    want, _ = plain(x, y, 0.5, 1.0)
+    merged = state(spark, x, y).groupBy("x", "sign").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    vectors, constant, gap = svc.fit(merged, 0.5, 1.0, 1e-6, working=working, block=block)
+    assert gap <= 1e-6
+    got = state(spark, x, y).select("id", svc.decision(vectors, constant, 0.5, F.col("x")).alias("d")).orderBy("id").toPandas()["d"].to_numpy()
+    np.testing.assert_allclose(got - got.mean(), want - want.mean(), atol=1e-4)
+
+
+def test_the_work_is_on_different_rows(spark, monkeypatch):
+    sizes, fit = [], svc.fit
+    monkeypatch.setattr(svc, "fit", lambda rows, *a, **k: sizes.append(rows.count()) or fit(rows, *a, **k))
+    rows = spark.range(3000).select((F.col("id") % 30).cast("double").alias("v"), (F.col("id") % 30 < 12).alias("label"),
+                                    F.when(F.col("id") < 2900, "train").otherwise("test").alias("split"))
+    out = svc.kernel_svc(rows, Roles())
+    assert sizes == [30] and out.where("label = prediction").count() == out.count() == 100
