@@ -36,6 +36,10 @@ OPERATORS: list[Callable[[DataFrame, Roles], DataFrame]] = [
     features.random_trees_embedding, features.variance_filter,
 ]
 
+# Operators that only add a projection: their frames cost less to compute from a persisted one than to persist again.
+PROJECTIONS = {impute.category_imputer, impute.mean_imputer, impute.median_imputer, impute.mode_imputer, encode.one_hot_encoder,
+               scale.min_max_scaler, scale.max_abs_scaler, scale.robust_scaler, scale.standard_scaler}
+
 
 def sample_rows(df: DataFrame, roles: Roles, sizes: tuple[int, int] = SMALL_SAMPLE, seed: int = DEFAULT_SEED):
     """A seeded sample for quick scores: the given number of train and test rows, a quarter of each at most.
@@ -55,8 +59,8 @@ def sample_rows(df: DataFrame, roles: Roles, sizes: tuple[int, int] = SMALL_SAMP
 class ChainRunner:
     """Applies chains to one dataset and scores them. Results of chain starts are kept and shared.
 
-    `keep` is how many prepared frames stay persisted; 0 computes every frame from the input again. The predictor sees
-    all numeric columns unless `columns` limits them.
+    `keep` is how many prepared frames stay held; 0 computes every frame from the input again. A held frame is persisted,
+    unless it is a projection of a persisted one. The predictor sees all numeric columns unless `columns` limits them.
     """
 
     def __init__(self, df: DataFrame, roles: Roles = Roles(), predictor=logistic_regression, metric=accuracy,
@@ -77,10 +81,12 @@ class ChainRunner:
             if held is not None:
                 self._frames.move_to_end(key)
                 return held
-        frame = self.operators[key[-1]](self.prepared(key[:-1]), self.roles)
+        operator = self.operators[key[-1]]
+        frame = operator(self.prepared(key[:-1]), self.roles)
         if not self.keep:
             return frame
-        frame.persist()
+        if operator not in PROJECTIONS or not self._on_persisted(key[:-1]):
+            frame.persist()
         with self._lock:
             frame = self._frames.setdefault(key, frame)
             old = [k for k in self._frames if k != key[:len(k)]][:max(len(self._frames) - self.keep, 0)]
@@ -88,6 +94,16 @@ class ChainRunner:
                 self._frames.pop(k).unpersist()
         return frame
 
+    def _on_persisted(self, key: tuple) -> bool:
+        """Whether the frame of these operators, or one that it is a projection of, is persisted."""
+        while True:
+            frame = self._frames.get(key) if key else self.df
+            if frame is not None and _persisted(frame):
+                return True
+            if not key or self.operators[key[-1]] not in PROJECTIONS:
+                return False
+            key = key[:-1]
+
     def predict(self, ops: Sequence[int]) -> DataFrame:
         frame = self.prepared(ops)
         names = self.roles.numeric(frame)[:self.columns]
@@ -137,6 +153,10 @@ class ChainRunner:
         self._frames.clear()
 
 
+def _persisted(df: DataFrame) -> bool:
+    return df.storageLevel.useMemory or df.storageLevel.useDisk
+
+
 def grid_chains(spark: SparkSession, choices: Sequence[Sequence[int | None]]) -> list[list[int]]:
     """Valid chains that take one operator (or none) from each place."""
     chains = [[op for op in c if op is not None] + [DONE] for c in product(*choices)]

@@ -21,14 +21,14 @@ def one_vs_rest(task: Task, classifier, rows: DataFrame | None = None) -> DataFr
     """Fits one binary model per class on Spark and predicts the test rows."""
     if len(task.classes) == 1:
         return task.by_score([F.lit(0.0)])
-    # vectors are made once, for all classes and iterations
-    train = (task.vectors(task.train) if rows is None else rows).select(FEATURES, TARGET).persist()
+    train = (task.vectors(task.train) if rows is None else rows).select(FEATURES, TARGET)
     classifier = classifier.setFeaturesCol(FEATURES).setLabelCol(TARGET)
-    if len(task.classes) == 2:
+    if len(task.classes) == 2:  # the fit keeps its rows itself, in blocks
         model = classifier.fit(train)
     else:
+        train.persist()  # vectors are made once for all classes
         model = OneVsRest(classifier=classifier, featuresCol=FEATURES, labelCol=TARGET, parallelism=PARALLEL_FITS).fit(train)
-    train.unpersist()
+        train.unpersist()
     scored = model.transform(task.vectors(task.test).drop(TARGET))
     return task.predicted(scored, task.class_of(F.col("prediction")))
 

@@ -199,6 +199,21 @@ def test_chain_runner(spark, dataset):
     runner.close()
 
 
+def test_projections_of_a_persisted_frame_are_not_persisted(dataset):
+    def persisted(runner):
+        return {key for key, frame in runner._frames.items() if frame.storageLevel.useMemory}
+
+    rows = dataset.where("k >= 0").persist()
+    runner, plain = (chains.ChainRunner(df, Roles(keys=("k",))) for df in (rows, dataset))
+    assert runner.step_scores([1, 5, 9, 14]) == plain.step_scores([1, 5, 9, 14])
+    assert persisted(runner) == {(1, 5, 9, 14)} and persisted(plain) == {(1,), (1, 5, 9, 14)}
+    assert len(runner._frames) == len(plain._frames) == 4
+    runner.close()
+    assert rows.storageLevel.useMemory
+    plain.close()
+    rows.unpersist()
+
+
 def test_random_chains(spark):
     found = chains.random_chains(spark, 20, seed=1)
     assert found and found == chains.random_chains(spark, 20, seed=1) and all(c[-1] == 25 for c in found)

@@ -111,3 +111,11 @@ def test_too_many_classes(table, monkeypatch):
     monkeypatch.setattr(common, "MAX_CLASSES", 2)
     with pytest.raises(ValueError):
         bayes.gaussian_nb(table, ROLES)
+
+
+def test_two_classes_are_fitted_without_a_second_copy(spark, monkeypatch):
+    seen, fit = [], linear.LogisticRegression.fit
+    monkeypatch.setattr(linear.LogisticRegression, "fit", lambda self, rows: seen.append(rows.storageLevel.useMemory) or fit(self, rows))
+    rows = spark.range(60).select(F.col("id").cast("double").alias("v"), (F.col("id") < 30).alias("label"), F.when(F.col("id") % 3 > 0, "train").otherwise("test").alias("split"))
+    out = linear.logistic_regression(rows)
+    assert seen == [False] and out.where("label = prediction").count() >= 18
