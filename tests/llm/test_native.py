@@ -168,6 +168,12 @@ def test_hot_buckets_are_cut_into_blocks(monkeypatch, spark):
     for size in (1_000, 7):
         monkeypatch.setattr(line_dedup, "BUCKET_ROWS", size)
         assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()} == want
+    monkeypatch.setattr(line_dedup, "BITMAP_ROWS", 200)
+    monkeypatch.setattr(line_dedup, "TEXT_PAIRS", 20)
+    stored, write = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df: stored.append(df.columns) or write(df))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()} == want
+    assert stored.count(["key", "id", "c", "bits", "most"]) > 2  # bitmaps of some buckets at a time
 
 
 def test_clashing_names_of_lines(spark):
