@@ -271,14 +271,52 @@ def _best_of(inner: np.ndarray, images: np.ndarray, width: int) -> tuple[np.ndar
 
 
 def _leading_wide(rows: DataFrame, d: int, k: int, center: bool, tolerance: float, passes: int, seed: int) -> Leading:
-    """`leading` by locally optimal block steps: every pass takes the best vectors out of the span of the present ones, their
-    residuals and their last steps. These are rows by column number in a table; the driver sees their inner products."""
+    """`leading` by `_search_wide`, its directions brought to the driver."""
+    k = min(k, d)
+    axes, mean = np.zeros((d, k)), np.zeros(d)
+
+    def bring(table: DataFrame, present: int) -> None:
+        found = table.select("j", "m", *[F.col("s")[t].alias(f"x{t}") for t in range(present)]).toPandas()
+        mean[found["j"]] = found["m"]
+        for t in range(present):
+            axes[found["j"], t] = found[f"x{t}"]
+
+    n, values, residual, done = _search_wide(rows, d, k, center, tolerance, passes, seed, bring)
+    if not done:
+        return Leading(n, mean, values, np.eye(d, k), residual, done)
+    return Leading(n, mean, values, positive(axes), residual, done)
+
+
+def wide_axes(rows: DataFrame, d: int, k: int, center: bool) -> tuple[DataFrame, np.ndarray]:
+    """(table (j, w) with the entries of the k leading directions by column number, shift of their projections) for sparse rows of
+    any number of columns. The table stays in the checkpoint folder; the driver sees a few numbers of each direction. Without a
+    filled place the directions are the first columns."""
+    k = min(k, d)
+    held, shift = [], np.zeros(k)
+
+    def keep(table: DataFrame, present: int) -> None:
+        x = [F.col("s")[t] for t in range(present)]
+        tops = table.agg(*[F.max_by(v, F.struct(F.abs(v).alias("a"), (-F.col("j")).alias("j"))) for v in x]).first()
+        signed = [v * (-1.0 if top < 0 else 1.0) for v, top in zip(x, tops)]
+        shift[:present] = table.agg(*[F.sum(F.col("m") * v) for v in signed]).first()
+        held.append(Kept(table.select("j", F.array(*signed, *[F.lit(0.0)] * (k - present)).alias("w"))).__enter__())
+
+    _search_wide(rows, d, k, center, TOLERANCE, PASSES, 0, keep)
+    first = held[0] if held else rows.sparkSession.createDataFrame(list(enumerate(np.eye(k).tolist())), "j int, w array<double>")
+    return first, shift
+
+
+def _search_wide(rows: DataFrame, d: int, k: int, center: bool, tolerance: float, passes: int, seed: int, finish) -> tuple[int, np.ndarray, float, int]:
+    """(rows, values, residual, passes) of locally optimal block steps: every pass takes the best vectors out of the span of the
+    present ones, their residuals and their last steps. These are rows by column number in a table; the driver sees their inner
+    products. `finish` gets the table (j, m, s) of the last ones, s beginning with the directions, and the number of these; it is
+    not called where no row has a filled place."""
     rows = rows.toDF("i", "v")
     size = F.size("i").cast("long")
     n, filled, squares = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * size), F.lit(0))).first()
-    k, paired = min(k, d), squares <= PAIRS * filled
+    paired = squares <= PAIRS * filled
     if not filled:
-        return Leading(n, np.zeros(d), np.zeros(k), np.eye(d, k), 0.0, 0)
+        return n, np.zeros(k), 0.0, 0
     both = F.arrays_zip("i", "v")
     if paired:
         products = F.flatten(F.transform(both, lambda a: F.transform(both, lambda b: F.struct(
@@ -319,18 +357,23 @@ def _leading_wide(rows: DataFrame, d: int, k: int, center: bool, tolerance: floa
                 after = Kept(basis(made, "w", ["x", "w", "p"], ["ax", "aw", "ap"], present))
                 now.__exit__()
                 now, done = after, done + 1
-            found = table.select("j", *[F.col("s")[t].alias(f"x{t}") for t in range(min(k, present))]).toPandas()
-            mean = np.zeros(d)
-            if center:
-                held = means.toPandas()
-                mean[held["j"]] = held["m"]
+            finish(table, min(k, present))
         finally:
             now.__exit__()
-    axes, top = np.zeros((d, k)), np.zeros(k)
+    top = np.zeros(k)
     top[:min(k, present)] = values[:k]
-    for t in range(min(k, present)):
-        axes[found["j"], t] = found[f"x{t}"]
-    return Leading(n, mean, np.maximum(top, 0.0), positive(axes), residual, done)
+    return n, np.maximum(top, 0.0), residual, done
+
+
+def project_wide(rows: DataFrame, keep: list[Column], i: Column, v: Column, axes: DataFrame, shift: np.ndarray, name: str) -> DataFrame:
+    """`project` for sparse rows and axes as `wide_axes` gives them. The rows are written with a number, in the checkpoint folder,
+    so that it stays the same where their places meet the axes and where the sums come back."""
+    staged = rows.select(F.struct(*keep).alias("row"), i.alias("_i"), v.alias("_v"), F.monotonically_increasing_id().alias("_n"))
+    none = F.array(*[F.lit(-float(s)) for s in shift])
+    stored = Kept(staged).__enter__()
+    cells = stored.select("_n", F.explode(F.arrays_zip(F.col("_i").alias("j"), F.col("_v").alias("v"))).alias("c")).select("_n", "c.j", "c.v")
+    sums = cells.join(axes, "j").groupBy("_n").agg(F.array(*[F.sum(F.col("v") * F.col("w")[t]) - float(s) for t, s in enumerate(shift)]).alias(name))
+    return stored.select("row", "_n").join(sums, "_n", "left").select("row.*", F.coalesce(name, none).alias(name))
 
 
 def project(rows: DataFrame, keep: list[Column], x: list[Column], axes: np.ndarray, mean: np.ndarray, name: str) -> DataFrame:

@@ -151,9 +151,13 @@ def truncated_svd_sparse(df: DataFrame, indices: Column, values: Column, width:
     arrays are null gets null and counts for nothing."""
     rows = df.withColumn("_i", indices.cast("array<int>")).withColumn("_v", values.cast("array<double>"))
     given = F.col("_i").isNotNull() & F.col("_v").isNotNull()
-    found = factors.leading(roles.train(rows).where(given).select("_i", "_v"), width, components, center)
+    train, keep = roles.train(rows).where(given).select("_i", "_v"), [*[col(c) for c in df.columns], given.alias("_given")]
     filled_in = [F.when(given, F.col(c)).otherwise(F.array().cast(t)) for c, t in (("_i", "array<int>"), ("_v", "array<double>"))]
-    made = factors.project(rows, [*[col(c) for c in df.columns], given.alias("_given")], filled_in, found.axes, found.mean, output)
+    if width > factors.WIDE:
+        made = factors.project_wide(rows, keep, *filled_in, *factors.wide_axes(train, width, components, center), output)
+    else:
+        found = factors.leading(train, width, components, center)
+        made = factors.project(rows, keep, filled_in, found.axes, found.mean, output)
     return made.withColumn(output, F.when(F.col("_given"), col(output))).drop("_given")
 
 

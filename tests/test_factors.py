@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tableprep.functions import factors
 from tableprep.functions.columns import Roles
@@ -140,3 +140,27 @@ def test_directions_of_very_many_columns_stay_in_tables(spark, monkeypatch, per,
 def test_very_many_columns_without_a_number(spark):
     empty = spark.createDataFrame([([], [])], "i array<int>, v array<double>")
     assert factors.leading(empty, factors.WIDE + 1, 2, False).values.tolist() == [0, 0]
+
+
+def test_wide_rows_are_projected_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(r, sorted(rng.choice(12, 3, replace=False).tolist()), (rng.normal(size=3) * [9, 3, 1]).tolist(), "train" if r < 60 else "test") for r in range(80)]
+    rows += [(80, [], [], "train"), (81, None, [1.0], "train"), (82, None, None, "test"), (83, [1, 1, 4], [1.0, 2.0, 5.0], "test")]
+    df = spark.createDataFrame(rows, "k int, i array<int>, v array<double>, split string").repartition(3)
+
+    def made(df, center):
+        out = features.truncated_svd_sparse(df, F.col("i"), F.col("v"), 12, ROLES, 2, center=center)
+        assert out.columns == ["k", "i", "v", "split", "svd"]
+        return {r["k"]: r["svd"] for r in out.collect()}
+
+    narrow = {center: made(df, center) for center in (False, True)}
+    monkeypatch.setattr(factors, "WIDE", 5)
+    monkeypatch.setattr(factors, "_leading_wide", None)  # no direction is brought to the driver
+    monkeypatch.setattr(factors, "project", None)
+    for center, want in narrow.items():
+        got = made(df, center)
+        assert got.keys() == want.keys() and got[81] is None and got[82] is None
+        for k in got.keys() - {81, 82}:
+            np.testing.assert_allclose(got[k], want[k], atol=1e-6)
+    empty = made(df.where("k >= 80"), False)
+    assert [list(empty[k]) for k in (80, 83)] == [[0, 0], [0, 3]]
