@@ -142,3 +142,22 @@ def test_a_balanced_forest_reads_different_rows(spark, monkeypatch):
     assert sizes == [20]
     assert [s[0].tolist() for s in forest.stats] == [[600, 600]] * 4  # as many draws of each class as the rarer one has rows
     assert len({tuple(s[1]) for s in forest.stats} | {tuple(s[2]) for s in forest.stats}) >= 2
+
+
+def test_counts_within_a_radius_send_no_vectors(spark, monkeypatch):
+    from tableprep.functions import nearest
+
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(150, 3)) * 2, 1)
+    x[140:] = x[5]
+    rows = [(int(i) if i < 148 else 147, v.tolist()) for i, v in enumerate(x)]  # an id that comes more than once adds up
+    df = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    monkeypatch.setattr(nearest, "PACK_ROWS", 7)
+    monkeypatch.setattr(nearest, "PACKS", 2)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(nearest._Cells, "send", None)
+    monkeypatch.setattr(nearest._Cells, "blocks", None)
+    want = {}
+    for (i, _), n in zip(rows, (np.sqrt(((x[:, None] - x) ** 2).sum(axis=2)) <= 1.0).sum(axis=1)):
+        want[i] = want.get(i, 0) + int(n)
+    assert {r["qid"]: r["near"] for r in nearest.neighbours_within(df, df, 1.0).collect()} == want
