@@ -168,12 +168,23 @@ def test_hot_buckets_are_cut_into_blocks(monkeypatch, spark):
     for size in (1_000, 7):
         monkeypatch.setattr(line_dedup, "BUCKET_ROWS", size)
         assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()} == want
-    monkeypatch.setattr(line_dedup, "BITMAP_ROWS", 200)
-    monkeypatch.setattr(line_dedup, "TEXT_PAIRS", 20)
-    stored, write = [], line_dedup.written
-    monkeypatch.setattr(line_dedup, "written", lambda df: stored.append(df.columns) or write(df))
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(df).collect()} == want
-    assert stored.count(["key", "id", "c", "bits", "most"]) > 2  # bitmaps of some buckets at a time
+
+
+def test_bitmaps_and_texts_go_in_parts(monkeypatch, spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)]
+    rows = []
+    for i in range(24):
+        line = words[:20]
+        for k in rng.sample(range(20), rng.choice((1, 2, 3))):
+            line[k] = rng.choice(words)
+        rows.append((i, " ".join(line)))
+    monkeypatch.setattr(line_dedup, "BITMAP_ROWS", 250)
+    monkeypatch.setattr(line_dedup, "TEXT_PAIRS", 60)
+    parts, of = [], line_dedup.blocks_for
+    monkeypatch.setattr(line_dedup, "blocks_for", lambda rows, most: parts.append(of(rows, most)) or parts[-1])
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == plain.dedup_lines(rows) and max(parts) > 1
 
 
 def test_clashing_names_of_lines(spark):
